@@ -18,6 +18,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup,)}
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's 64-bit fingerprint and the component it belongs to."""
+    from .simhash import near_duplicates
+
+    out = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op8_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
