@@ -26,6 +26,19 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op8_substring_dedup)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded with the public byte-level vocabulary, and decoded again."""
+    import public_tokenizers
+
+    from .bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    out = decode(ids, path)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op8_substring_dedup, op9_bpe)}
 
 ORACLES: dict[str, str] = {}
