@@ -183,7 +183,7 @@ def _applied(length: int, names: list[str], text: str):
     return run
 
 
-def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 20, bucket_bytes: int = 36 << 20, batch_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 20, bucket_bytes: int = 20 << 20, batch_bytes: int = 5 << 20) -> DataFrame:
     """df with kept_text (kept words joined by a space), n_words, n_removed and removed_spans (word intervals).
 
     bucket_bytes and batch_bytes bound the text whose windows one reduce group or one map step holds at a time.
