@@ -39,6 +39,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op8_substring_dedup, op9_bpe)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the two thirds that aren't held out."""
+    from .langid import fit, identify, remainder
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = remainder("doc_id", 3)
+    model = fit(docs.filter(fold != 1))
+    out = identify(docs.select("doc_id", "text", (fold == 1).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_language_id, op8_substring_dedup, op9_bpe)}
 
 ORACLES: dict[str, str] = {}
