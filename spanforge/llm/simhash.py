@@ -79,7 +79,7 @@ def _fingerprints(shingle: int, limit: int):
     return run
 
 
-def simhash(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, batch_bytes: int = 16 << 20) -> DataFrame:
+def simhash(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, batch_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, rid (a hash of doc_id and text) and fp (the fingerprint as a signed long) of every row."""
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_rid"), F.col(text).alias("_text"))
     return own.mapInArrow(_fingerprints(shingle, batch_bytes), "doc_id long, rid long, fp long")
