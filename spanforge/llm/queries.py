@@ -10,6 +10,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix with 150% of all words takes of every document."""
+    from .mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.array("source"))
+    rows = [(s, n, out.targets[s]) for s, n in out.sizes.items()]
+    totals = F.broadcast(spark.createDataFrame(rows, "name string, source_size long, target double"))  # one row a source, at most mixing.MOST_PATTERNS
+    return out.taken.join(totals, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a 20-word window starting earlier covers are removed."""
     from .substrings import remove_repeats
@@ -50,6 +60,6 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_language_id, op8_substring_dedup, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_language_id, op7_mixing, op8_substring_dedup, op9_bpe)}
 
 ORACLES: dict[str, str] = {}
