@@ -10,6 +10,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the model learned from nine tenths of them."""
+    from .hpylm import score
+    from .langid import remainder
+
+    held = remainder("doc_id", 10) == 0
+    out = score(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held)
+    return out.select(F.col("key").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix with 150% of all words takes of every document."""
     from .mixing import mix
@@ -60,6 +70,6 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_language_id, op7_mixing, op8_substring_dedup, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_language_id, op5_lm_scoring, op7_mixing, op8_substring_dedup, op9_bpe)}
 
 ORACLES: dict[str, str] = {}
