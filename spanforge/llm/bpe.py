@@ -30,7 +30,7 @@ from .flat import chunks, lists
 #: Fixed: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -190,7 +190,7 @@ def _with(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*[f for f in df.schema if f.name != name], T.StructField(name, T._parse_datatype_string(kind))])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", batch_bytes: int = 8 << 20) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", batch_bytes: int = 2 << 20) -> DataFrame:
     """df with the column ids: the token ids of each whole text. path: a tokenizers JSON file that the driver reads."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(path))  # a vocabulary's size is fixed
     schema = _with(df, ids, "array<int>")
