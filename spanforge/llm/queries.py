@@ -10,6 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .boilerplate import extract
+
+    out = extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under the model learned from nine tenths of them."""
     from .hpylm import score
@@ -84,7 +92,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_dedup, op3_language_id, op5_lm_scoring, op7_mixing, op8_substring_dedup, op9_bpe, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_dedup, op3_language_id, op4_html_extraction, op5_lm_scoring, op7_mixing, op8_substring_dedup, op9_bpe, op10_neighbours)}
 
 _OP1 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
