@@ -28,6 +28,13 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by rule or else by its host's trust and distrust."""
+    from .urlfilter import judge
+
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix with 150% of all words takes of every document."""
     from .mixing import mix
@@ -92,7 +99,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_dedup, op3_language_id, op4_html_extraction, op5_lm_scoring, op7_mixing, op8_substring_dedup, op9_bpe, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_dedup, op3_language_id, op4_html_extraction, op5_lm_scoring, op6_url_filter, op7_mixing, op8_substring_dedup, op9_bpe, op10_neighbours)}
 
 _OP1 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
