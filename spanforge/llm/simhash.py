@@ -169,7 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, rid, fp, component_id (the smallest doc_id reachable over fingerprints within the radius) of every row."""
+    """doc_id, rid, fp, root, component_id of every row: root is a fingerprint that stands for the component,
+    component_id the smallest doc_id reachable over fingerprints within the radius."""
     shared_dir(df.sparkSession)
     prints = simhash(df, text, doc_id, shingle).checkpoint()
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
@@ -180,4 +181,4 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     roots = components(met.mapInArrow(_stars(radius), "u long, v long")).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     placed = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "rid", "fp", "component_id")
+    return prints.join(placed.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "rid", "fp", "root", "component_id")
