@@ -2,10 +2,10 @@
 
 Every window of `length` consecutive words gets a polynomial hash. Map tasks keep the first occurrence
 that they see of a hash, so a passage that a third of all documents share costs one entry for each task.
-Entries meet in buckets chosen by a second, independent hash; the number of buckets follows the input,
-so a bucket's size doesn't, and the two hashes together tell windows apart. Every occurrence after the
-smallest (doc_id, start) is reported, the reported windows of a document merge into maximal intervals,
-and one join applies them.
+Entries meet in buckets, chosen by the smallest hash of any few words inside the window, so that neighbouring
+windows mostly share a bucket and travel as runs; the number of buckets follows the input, so a bucket's size
+doesn't. Every occurrence after the smallest (doc_id, start) is reported, as runs again; the reported runs of a
+document merge into maximal intervals, and one join applies them.
 
 Defined results: null or empty texts have no words and stay empty; a document shorter than the window
 loses nothing; rows with the same doc_id and text are one document and don't remove each other; a null
@@ -28,8 +28,9 @@ from .flat import U64, chunks, flat, lists, mix, text_bytes, words
 #: Bases of the two polynomial hashes.
 BASE_KEY, BASE_BUCKET = U64(0x9E6C63D0876A9A47), U64(0xD1342543DE82EF95)
 LAST = np.iinfo(np.int64).max
-SEGMENT = 1 << 15
-ENTRIES = "bucket int, h array<long>, lo array<smallint>, rid array<long>, ord array<long>, seg array<int>, cnt array<int>, drop_rid array<long>, drop_cnt array<int>, drop_start array<int>"
+#: Words behind the hash that chooses a window's bucket.
+INNER = 5
+ENTRIES = "bucket int, h array<long>, rid array<long>, ord array<long>, at array<int>, cnt array<int>, drop_rid array<long>, drop_low array<int>, drop_high array<int>"
 
 
 def rolling(values: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
@@ -52,6 +53,15 @@ def rolling(values: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     return out[:n]
 
 
+def smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each `width` consecutive values."""
+    span = 1
+    while 2 * span <= width:
+        values, span = np.minimum(values[:-span], values[span:]) if len(values) > span else values[:0], 2 * span
+    rest = width - span
+    return values if not rest else np.minimum(values[:-rest], values[rest:]) if len(values) > rest else values[:0]
+
+
 def _windows(table: pa.Table, length: int):
     """Of each window in a table of documents: key, bucket hash, row and start, in the order of (ord, start)."""
     table = table.take(pa.array(np.argsort(np.asarray(table["_ord"]), kind="stable")))
@@ -62,22 +72,34 @@ def _windows(table: pa.Table, length: int):
     start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.repeat(w.first[:-1], counts) + start
     key = rolling(hashes, length, BASE_KEY)[at]
-    other = rolling(mix(hashes), length, BASE_BUCKET)[at]
+    inner = min(INNER, length)
+    other = smallest(mix(rolling(hashes, inner, BASE_BUCKET)), length - inner + 1)[at]
     return table, mix(key), mix(other), row, start
 
 
+def runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last start of each run of consecutive starts."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    head = np.flatnonzero(new)
+    return row[head], start[head], start[np.append(head[1:], len(row)) - 1] if len(row) else start
+
+
 def _entries(length: int, buckets: int, limit: int):
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
+    none = np.zeros(0, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, "_text", limit):
             table, key, other, row, start = _windows(table, length)
             rid, order = np.asarray(table["_rid"]), np.asarray(table["_ord"])
-            at = np.argsort(key, kind="stable")
-            same = np.zeros(len(at), bool)
-            same[1:] = (key[at[1:]] == key[at[:-1]]) & (other[at[1:]] == other[at[:-1]])
+            by = np.argsort(key, kind="stable")
+            same = np.zeros(len(by), bool)
+            same[1:] = (key[by[1:]] == key[by[:-1]]) & (other[by[1:]] == other[by[:-1]])
             heads = np.flatnonzero(~same)
-            head = at[np.repeat(heads, np.diff(np.append(heads, len(at))))]
-            later = (order[row[at]] > order[row[head]]) | ((order[row[at]] == order[row[head]]) & (start[at] > start[head]))
-            gone = np.sort(at[later])
+            head = by[np.repeat(heads, np.diff(np.append(heads, len(by))))]
+            later = (order[row[by]] > order[row[head]]) | ((order[row[by]] == order[row[head]]) & (start[by] > start[head]))
+            gone = np.sort(by[later])
             keep = np.ones(len(key), bool)
             keep[gone] = False
             keep = np.flatnonzero(keep)
@@ -86,41 +108,40 @@ def _entries(length: int, buckets: int, limit: int):
             keep, bucket = keep[by], bucket[by].astype(np.int32)
             r, s = row[keep], start[keep]
             edge = np.ones(len(keep) + 1, bool)
-            edge[1:-1] = (bucket[1:] != bucket[:-1]) | (r[1:] != r[:-1]) | (s[1:] // SEGMENT != s[:-1] // SEGMENT)
-            runs = np.flatnonzero(edge)
-            first = runs[:-1]
+            edge[1:-1] = (bucket[1:] != bucket[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)
+            edges = np.flatnonzero(edge) if len(keep) else np.zeros(1, np.int64)
+            first = edges[:-1]
             cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-            cut_runs = np.searchsorted(runs, cut)
+            cut_runs = np.searchsorted(edges, cut)
             n = len(cut) - 1
-            none = np.zeros(n + 1, np.int64)
-            cols = [pa.array(bucket[cut[:-1]], pa.int32()), lists(key[keep].view(np.int64), cut, pa.int64()), lists((s % SEGMENT).astype(np.int16), cut, pa.int16())]
-            cols += [lists(v, cut_runs, k) for v, k in ((rid[r[first]], pa.int64()), (order[r[first]], pa.int64()), ((s[first] // SEGMENT).astype(np.int32), pa.int32()), (np.diff(runs).astype(np.int32), pa.int32()))]
-            cols += [lists(np.zeros(0, np.int64), none, k) for k in (pa.int64(), pa.int32(), pa.int32())]
             if n:
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ENTRIES.split(", ")])
+                cols = [pa.array(bucket[cut[:-1]], pa.int32()), lists(key[keep].view(np.int64), cut, pa.int64())]
+                cols += [lists(v, cut_runs, k) for v, k in ((rid[r[first]], pa.int64()), (order[r[first]], pa.int64()), (s[first].astype(np.int32), pa.int32()), (np.diff(edges).astype(np.int32), pa.int32()))]
+                cols += [lists(none, np.zeros(n + 1, np.int64), k) for k in (pa.int64(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names)
             if len(gone):
-                edges = np.flatnonzero(np.diff(row[gone], prepend=-1))
-                empty, one = np.zeros(2, np.int64), np.array([0, len(edges)])
+                where, low, high = runs(row[gone], start[gone])
+                empty, one = np.zeros(2, np.int64), np.array([0, len(where)])
                 cols = [pa.array([int(key[0] % U64(buckets))], pa.int32())]
-                cols += [lists(np.zeros(0, np.int64), empty, k) for k in (pa.int64(), pa.int16(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-                cols += [lists(rid[row[gone[edges]]], one, pa.int64()), lists(np.diff(np.append(edges, len(gone))), one, pa.int32()), lists(start[gone], np.array([0, len(gone)]), pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ENTRIES.split(", ")])
+                cols += [lists(none, empty, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+                cols += [lists(v, one, k) for v, k in ((rid[where], pa.int64()), (low.astype(np.int32), pa.int32()), (high.astype(np.int32), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
 def _reported(table: pa.Table) -> pa.Table:
-    """Of one bucket's entries: for each document the starts of windows that occur earlier."""
+    """Of one bucket's entries: runs of windows that occur earlier, as (document, first start, last start)."""
     key = flat(table["h"], np.int64)[0]
     count = flat(table["cnt"], np.int64)[0]
-    start = flat(table["lo"], np.int64)[0] + np.repeat(flat(table["seg"], np.int64)[0] * SEGMENT, count)
     entry = np.repeat(np.arange(len(count)), count)
-    at = np.argsort(key)
-    sorted_key = key[at]
-    twin = np.zeros(len(at), bool)
+    start = flat(table["at"], np.int64)[0][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+    by = np.argsort(key)
+    sorted_key = key[by]
+    twin = np.zeros(len(by), bool)
     twin[1:] = sorted_key[1:] == sorted_key[:-1]
     twin[:-1] |= twin[1:]
-    at = at[twin]
+    at = by[twin]
     order = flat(table["ord"], np.int64)[0][entry[at]]
     by = np.lexsort((start[at], order, key[at]))
     at, order = at[by], order[by]
@@ -130,15 +151,12 @@ def _reported(table: pa.Table) -> pa.Table:
     heads = np.flatnonzero(new)
     head = np.repeat(heads, np.diff(np.append(heads, len(at))))
     later = (order > order[head]) | (s > s[head])
-    rid = flat(table["rid"], np.int64)[0][entry[at[later]]]
-    drop_rid, drop_count = flat(table["drop_rid"], np.int64)[0], flat(table["drop_cnt"], np.int64)[0]
-    rid = np.concatenate([rid, np.repeat(drop_rid, drop_count)])
-    s = np.concatenate([s[later], flat(table["drop_start"], np.int64)[0]])
-    by = np.argsort(rid, kind="stable")
-    rid, s = rid[by], s[by]
-    cut = np.append(np.flatnonzero(np.diff(rid) != 0) + 1, len(rid))
-    cut = np.insert(cut, 0, 0) if len(rid) else np.zeros(1, np.int64)
-    return pa.table({"_rid": pa.array(rid[cut[:-1]], pa.int64()), "_starts": lists(s, cut, pa.int32())})
+    rid, s = flat(table["rid"], np.int64)[0][entry[at[later]]], s[later]
+    by = np.lexsort((s, rid))
+    found = runs(rid[by], s[by])
+    drops = [flat(table[c], np.int64)[0] for c in ("drop_rid", "drop_low", "drop_high")]
+    rid, low, high = (np.concatenate(x) for x in zip(found, drops, strict=True))
+    return pa.table({"_rid": pa.array(rid, pa.int64()), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
 
 
 def _packed(limit: int):
@@ -159,19 +177,21 @@ def _applied(length: int, names: list[str], text: str):
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
             texts, kept, counts, removed, spans = [], [], [], [], []
-            for packed, starts, absent in zip(b.column("_text"), b.column("_starts"), b.column("_null").to_pylist(), strict=True):
+            for packed, reported, absent in zip(b.column("_text"), b.column("_runs"), b.column("_null").to_pylist(), strict=True):
                 raw = unpack.decompress(packed.as_buffer())
                 mine = raw.split()
                 counts.append(len(mine))
                 texts.append(None if absent else raw.decode())
-                if not starts.is_valid or not len(starts):
+                if not reported.is_valid or not len(reported):
                     removed.append(0)
                     spans.append([])
                     kept.append(b" ".join(mine).decode())
                     continue
-                s = np.unique(np.asarray(starts.values))
-                cut = np.flatnonzero(np.diff(s) > length) + 1
-                low, high = s[np.insert(cut, 0, 0)], s[np.append(cut, len(s)) - 1] + length
+                low, high = (np.asarray(reported.values.field(i)) for i in (0, 1))
+                by = np.argsort(low)
+                low, reach = low[by], np.maximum.accumulate(high[by]) + length
+                cut = np.flatnonzero(low[1:] > reach[:-1]) + 1
+                low, high = low[np.insert(cut, 0, 0)], reach[np.append(cut, len(low)) - 1]
                 # intervals that touch are one
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(low, high, strict=True)])
                 removed.append(int((high - low).sum()))
@@ -194,9 +214,9 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made])
     tagged = base.withColumns({"_rid": F.xxhash64(F.col(doc_id), F.col(text)), "_ord": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_null": F.col(text).isNull()}).withColumnRenamed(text, "_text")
     entries = tagged.select("_rid", "_ord", "_text").mapInArrow(_entries(length, buckets, batch_bytes), ENTRIES)
-    starts = entries.groupBy("bucket").applyInArrow(_reported, "_rid long, _starts array<int>").groupBy("_rid").agg(F.flatten(F.collect_list("_starts")).alias("_starts"))
+    reported = entries.groupBy("bucket").applyInArrow(_reported, "_rid long, low int, high int").groupBy("_rid").agg(F.collect_list(F.struct("low", "high")).alias("_runs"))
     packed = tagged.drop("_ord")
     schema = T.StructType([T.StructField("_text", T.BinaryType()) if f.name == "_text" else f for f in packed.schema])
-    joined = packed.mapInArrow(_packed(batch_bytes), schema).join(starts, "_rid", "left")
+    joined = packed.mapInArrow(_packed(batch_bytes), schema).join(reported, "_rid", "left")
     out = T.StructType([*base.schema.fields, *T._parse_datatype_string("kept_text string, n_words long, n_removed long, removed_spans array<struct<start:int,end:int>>").fields])
     return joined.mapInArrow(_applied(length, out.names, text), out)
