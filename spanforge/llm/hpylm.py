@@ -8,8 +8,8 @@ Dishes are dealt to buckets by word; a bucket holds a word in all contexts, so t
 local to it, and all that buckets share is the number of tables of each context and of the parent. Map steps
 send each bucket their distinct (word, context) pairs with counts, so frequent words are summed before the
 shuffle. A Gibbs sweep takes each section (all customers of a restaurant with one dish) out and seats it anew
-given all others; long sections jump from new table to new table by the closed form of the waiting time, so
-nothing is capped. Buckets run sweeps side by side against the totals of the round before. The samples' totals
+given all others; the customers of long sections come in blocks that grow with those seated, so the work follows
+the logarithm of a section's size and nothing is capped. Buckets run sweeps side by side against the totals of the round before. The samples' totals
 are gathered, the same seeded sweeps run again, and predictive probabilities are averaged over the samples,
 each with its own totals. They go back to the map steps' pairs and are summed by document there.
 
@@ -37,8 +37,8 @@ CONTEXTS = 1 << 16
 END = mix(np.array([0x656E64], np.uint64))[0]
 PAIRS = "batch long, bucket int, w binary, runs binary, ctx binary, n binary, keys array<long>, train array<boolean>, sizes array<int>, at binary"
 STATE = "bucket int, batches array<long>, w array<binary>, runs array<binary>, ctx array<binary>, n array<binary>, tokens long, types long, once long, twice long, c_ctx array<int>, c array<long>, t array<long>, w_once long, w_twice long"
-#: Customers of a section that are seated one by one before waiting times are drawn.
-SINGLY = 48
+#: Customers of a section that are seated one by one, and the part of those seated that later come at once.
+SINGLY, BLOCK = 48, 48
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -71,49 +71,28 @@ class Totals:
         return 1.0 / (self.types + 1)
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """log of the gamma function for x > 0, by eight steps up and Stirling's series."""
-    low = np.ones_like(x)
-    for i in range(8):
-        low *= x + i
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
-
-
 def seat(customers: np.ndarray, a: np.ndarray, b: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of sections of so many customers (at least 1). With i customers at k tables the next opens one at odds
-    a + b * k to i - d * k."""
+    a + b * k to i - d * k.
+
+    The first SINGLY customers come one by one, later ones in blocks of one part in BLOCK of those seated; a block's new
+    tables are binomial, at the chance in its middle.
+    """
     tables = np.ones(len(customers))
     by = np.argsort(-customers, kind="stable")
     n, a, b, k = customers[by], a[by], b[by], tables[by]
-    for i in range(1, min(SINGLY, int(n[0]) if len(n) else 0)):
-        m = int(np.searchsorted(-n, -i, "left"))  # sections with more than i customers
-        if not m:
-            break
+    i = 1
+    while m := int(np.searchsorted(-n, -i, "left")):  # sections with more than i customers
+        size = 1 if i < SINGLY else np.minimum(i // BLOCK, n[:m] - i)
         new = a[:m] + b[:m] * k[:m]
-        k[:m] += rng.random(m) * (new + i - d * k[:m]) < new
-    at = np.flatnonzero(n > SINGLY)
-    i = np.full(len(at), float(SINGLY))
-    while len(at):
-        new, used = a[at] + b[at] * k[at], d * k[at]
-        start = log_gamma(i - used) - log_gamma(new + i - used)
-        draw = np.log(rng.random(len(at)))
-        last = n[at].astype(float)
-
-        def stays(x: np.ndarray, new=new, used=used, start=start) -> np.ndarray:
-            return log_gamma(x - used) - log_gamma(new + x - used) - start
-
-        opens = stays(last) < draw
-        at, i, new, used, start, draw, last = (v[opens] for v in (at, i, new, used, start, draw, last))
-        low, high = i.copy(), last  # no new table up to low customers; one by high
-        while (wide := high - low > 1).any():
-            middle = np.where(wide, np.floor((low + high) / 2), high)
-            over = log_gamma(middle - used) - log_gamma(new + middle - used) - start < draw
-            low, high = np.where(over | ~wide, low, middle), np.where(over, middle, high)
-        k[at] += 1
-        i = high
-        more = i < last
-        at, i = at[more], i[more]
+        chance = new / (new + i - d * k[:m])
+        if i < SINGLY:
+            k[:m] += rng.random(m) < chance
+        else:
+            middle = k[:m] + chance * size / 2
+            new = a[:m] + b[:m] * middle
+            k[:m] += rng.binomial(size, new / (new + i + size / 2 - d * middle))
+        i += 1 if i < SINGLY else i // BLOCK
     tables[by] = k
     return tables
 
