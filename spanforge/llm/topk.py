@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 32
-#: Share of a block's postings that is worked through before the first and between further looks at the bounds.
-FIRST, STEP = 0.5, 0.125
+#: Share of a block's postings that is worked through before the first and between further looks at the bounds, and share of its
+#: rows that may be left to be scored exactly.
+FIRST, STEP, FEW = 0.6, 0.1, 0.25
 PACKED = "dim int, block int, ids binary, data binary"
 
 
@@ -60,54 +61,46 @@ class Index:
         self.values = values
         n, dims = values.shape
         by = np.argsort(values, axis=0, kind="stable").T
-        self.docs = by.ravel().astype(np.int32)
+        self.docs = by.astype(np.int32)
         sorted_ = np.take_along_axis(values.T, by, 1)
         span = np.maximum(sorted_[:, -1:] - sorted_[:, :1], 1)
         level = (sorted_ - sorted_[:, :1]).astype(float) * LEVELS // (span + 1)
         head = np.ones((dims, n), bool)
         head[:, 1:] = level[:, 1:] != level[:, :-1]
-        self.start = np.flatnonzero(head.ravel())
-        self.end = np.append(self.start[1:], n * dims)
-        flat = sorted_.ravel()
-        self.vals = flat.astype(float)
-        self.low, self.high, self.dim = flat[self.start], flat[self.end - 1], self.start // n
-        segment = np.empty((dims, n), np.int32)
-        np.put_along_axis(segment, by, (np.cumsum(head.ravel()) - 1).reshape(dims, n).astype(np.int32), 1)
-        self.segment = segment
+        start = np.flatnonzero(head.ravel())
+        end = np.append(start[1:], n * dims)
+        self.vals = sorted_.astype(float)
+        flat = self.vals.ravel()
+        self.low, self.high, self.dim, self.size = flat[start], flat[end - 1], start // n, end - start
 
     def search(self, q: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
-        """Rows (positions) that hold the k best scores for q, without those in skip: all rows that tie or beat the k-th."""
+        """Rows (positions) that may hold the k best scores for q, without those in skip: all whose bound reaches the k-th best
+        exact score seen."""
         n, dims = self.values.shape
         if n <= 4 * k:
             return np.arange(n)
         weight = q.astype(float)
-        most = np.maximum(weight[self.dim] * self.low, weight[self.dim] * self.high)
-        order = np.argsort(-most, kind="stable")
-        work = np.cumsum((self.end - self.start)[order])
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order))
-        sums = np.zeros(n)
-        best = np.sort(most)[:1]
-        at, share = 0, FIRST
+        order = np.argsort(-np.maximum(weight[self.dim] * self.low, weight[self.dim] * self.high), kind="stable")
+        work = np.cumsum(self.size[order])
+        share = FIRST
         while True:
             to = min(int(np.searchsorted(work, share * n * dims, "left")) + 1, len(order))
-            segs = order[at:to]
-            size = self.end[segs] - self.start[segs]
-            post = np.repeat(self.start[segs] - (np.cumsum(size) - size), size)
-            post += np.arange(len(post))
-            sums += np.bincount(self.docs[post], self.vals[post] * np.repeat(weight[self.dim[segs]], size), n)
-            at = to
-            left = order[at:]
-            best = np.full(dims, -np.inf)
-            np.maximum.at(best, self.dim[left], most[left])
-            unseen = rank[self.segment] >= at
-            reach = sums + np.where(unseen, best[:, None], 0).sum(0) if len(left) else sums.copy()
+            # of each component the segments so far are one end of its postings: the high end where the weight is positive
+            count = np.bincount(self.dim[order[:to]], self.size[order[:to]], dims).astype(np.int64)
+            high = weight > 0
+            next_ = np.clip(np.where(high, n - count - 1, count), 0, n - 1)
+            best = np.where(count < n, weight * self.vals[np.arange(dims), next_], 0.0)  # most that an unseen posting adds
+            ends = [(j, slice(n - c, n) if h else slice(0, c)) for j, (c, h) in enumerate(zip(count.tolist(), high.tolist(), strict=True)) if c]
+            docs = np.concatenate([self.docs[j, s] for j, s in ends])
+            gains = np.concatenate([self.vals[j, s] * weight[j] - best[j] for j, s in ends])
+            # what has been met in place of the bound for it, over the bounds of all components
+            reach = best.sum() + np.bincount(docs, gains, n)
             reach[skip] = -np.inf
             # the k best so far, scored exactly, set the mark that others must reach
             top = np.argpartition(-reach, k)[:k]
             mark = np.sort(self.values[top] @ q)[0] if (reach[top] > -np.inf).all() else -np.inf
             possible = np.flatnonzero(reach >= mark - 0.5)
-            if len(possible) <= max(8 * k, n // 16) or not len(left):
+            if len(possible) <= max(8 * k, int(n * FEW)) or to == len(order):
                 return possible
             share += STEP
 
