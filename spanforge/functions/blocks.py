@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import BLOCKS
+from .let import let
 
 
 def block(s: Column | int, e: Column | int) -> Column:
@@ -118,8 +119,7 @@ def fusion(a: Column, b: Column) -> Column:
 
 def contains(b: Column, inner: Column) -> Column:
     """Whether every block of inner lies within b (touching blocks of b count as one)."""
-    whole = suture(b)
-    return F.forall(inner, lambda y: F.exists(whole, lambda x: (x["s"] <= y["s"]) & (x["e"] >= y["e"])))
+    return let(suture(b), lambda whole: F.forall(inner, lambda y: F.exists(whole, lambda x: (x["s"] <= y["s"]) & (x["e"] >= y["e"]))))
 
 
 def coincides(ref: Column, query: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import EVENTS
 from . import blocks as B
+from .let import let
 
 OPS = "array<struct<op:string,m0:bigint,m1:bigint,r0:bigint,r1:bigint,g0:bigint,g1:bigint>>"
 MD = "array<struct<kind:string,m0:bigint,m1:bigint,bases:string>>"
@@ -58,9 +59,8 @@ def reference_length(cigar: Column) -> Column:
 
 def clipped(cigar: Column) -> Column:
     """struct(left, right): clipped bases at either end, by the outermost operation."""
-    t = tokens(cigar)
     n = lambda x: F.when(x["op"].isin("S", "H"), x["n"]).otherwise(F.lit(0).cast("long"))
-    return F.struct(n(F.get(t, F.lit(0))).alias("left"), F.when(F.size(t) > 1, n(F.get(t, F.size(t) - 1))).otherwise(F.lit(0).cast("long")).alias("right"))
+    return let(tokens(cigar), lambda t: F.struct(n(F.get(t, F.lit(0))).alias("left"), F.when(F.size(t) > 1, n(F.get(t, F.size(t) - 1))).otherwise(F.lit(0).cast("long")).alias("right")))
 
 
 def merge_deletions(cigar: Column, start: Column) -> Column:
@@ -81,15 +81,14 @@ def aligned_sequence(cigar: Column, seq: Column) -> Column:
 
 def aligned_qualities(cigar: Column, qual: Column) -> Column:
     """Scores as aligned_sequence has bases, -1 for deleted ones."""
-    scores = qualities(qual)
     ops = F.filter(operations(cigar, F.lit(0)), lambda x: x["op"].isin("M", "D"))
-    return F.flatten(F.transform(ops, lambda x: F.when(x["op"] == "D", F.array_repeat(F.lit(-1), (x["m1"] - x["m0"]).cast("int"))).otherwise(F.slice(scores, x["r0"].cast("int") + 1, (x["r1"] - x["r0"]).cast("int")))))
+    return let(qualities(qual), lambda scores: F.flatten(F.transform(ops, lambda x: F.when(x["op"] == "D", F.array_repeat(F.lit(-1), (x["m1"] - x["m0"]).cast("int"))).otherwise(F.slice(scores, x["r0"].cast("int") + 1, (x["r1"] - x["r0"]).cast("int"))))))
 
 
 def query_base(cigar: Column, start: Column, seq: Column, pos: Column) -> Column:
     """The read's base at a genomic position: - if deleted there, null if skipped or outside."""
-    at = F.get(F.filter(operations(cigar, start), lambda x: (x["g0"] <= pos) & (pos < x["g1"])), F.lit(0))
-    return F.when(at["op"] == "M", F.substring(seq, (at["r0"] + pos - at["g0"]).cast("int") + 1, F.lit(1))).when(at["op"] == "D", "-")
+    found = F.get(F.filter(operations(cigar, start), lambda x: (x["g0"] <= pos) & (pos < x["g1"])), F.lit(0))
+    return let(found, lambda at: F.when(at["op"] == "M", F.substring(seq, (at["r0"] + pos - at["g0"]).cast("int") + 1, F.lit(1))).when(at["op"] == "D", "-"))
 
 
 def parse_md(md: Column) -> Column:
@@ -109,7 +108,11 @@ def parse_md(md: Column) -> Column:
 
 def snvs(cigar: Column, start: Column, md: Column, seq: Column, qual: Column) -> Column:
     """All differences with every coordinate: array of struct(kind, m0, m1, r0, r1, g0, g1, ref, alt, quals), by mapped position."""
-    ops, items, scores = operations(cigar, start), F.filter(parse_md(md), lambda x: x["kind"] != "="), qualities(qual)
+    return let(operations(cigar, start), lambda ops: let(qualities(qual), lambda scores: _snvs(ops, scores, md, seq)))
+
+
+def _snvs(ops: Column, scores: Column, md: Column, seq: Column) -> Column:
+    items = F.filter(parse_md(md), lambda x: x["kind"] != "=")
     none = F.lit(None).cast("string")
     row = lambda kind, m0, m1, r0, r1, g0, g1, ref, alt, q: F.struct(kind.alias("kind"), m0.alias("m0"), m1.alias("m1"), r0.alias("r0"), r1.alias("r1"), g0.alias("g0"), g1.alias("g1"), ref.alias("ref"), alt.alias("alt"), q.alias("quals"))
     sub = lambda x, a, b: F.substring(x, a.cast("int") + 1, (b - a).cast("int"))
@@ -117,7 +120,10 @@ def snvs(cigar: Column, start: Column, md: Column, seq: Column, qual: Column) ->
     inserted = F.transform(F.filter(ops, lambda x: x["op"] == "I"), lambda x: row(F.lit("I"), x["m0"], x["m1"], x["r0"], x["r1"], x["g0"], x["g1"], none, sub(seq, x["r0"], x["r1"]), cut(x["r0"], x["r1"])))
 
     def listed(i: Column) -> Column:
-        o = F.get(F.filter(ops, lambda x: (x["op"] == F.when(i["kind"] == "X", "M").otherwise("D")) & (x["m0"] <= i["m0"]) & (i["m1"] <= x["m1"])), F.lit(0))
+        holder = F.get(F.filter(ops, lambda x: (x["op"] == F.when(i["kind"] == "X", "M").otherwise("D")) & (x["m0"] <= i["m0"]) & (i["m1"] <= x["m1"])), F.lit(0))
+        return let(holder, lambda o: placed(i, o))
+
+    def placed(i: Column, o: Column) -> Column:
         off = i["m0"] - o["m0"]
         r0, g0 = o["r0"] + F.when(i["kind"] == "X", off).otherwise(0), o["g0"] + off
         r1 = F.when(i["kind"] == "X", r0 + 1).otherwise(r0)
@@ -129,8 +135,11 @@ def snvs(cigar: Column, start: Column, md: Column, seq: Column, qual: Column) ->
 
 def events(cigar: Column, start: Column, md: Column, seq: Column, qual: Column, deletions: bool = True, insertions: bool = True) -> Column:
     """Mismatches, deletions (alt -, quality 0) and insertions (ref -), sorted; dist: mapped bases to the nearer end."""
-    n = mapped_length(cigar)
-    all_ = F.filter(snvs(cigar, start, md, seq, qual), lambda x: (x["kind"] == "X") | ((x["kind"] == "D") & F.lit(deletions)) | ((x["kind"] == "I") & F.lit(insertions)))
+    return let(mapped_length(cigar), lambda n: _events(n, snvs(cigar, start, md, seq, qual), deletions, insertions))
+
+
+def _events(n: Column, found: Column, deletions: bool, insertions: bool) -> Column:
+    all_ = F.filter(found, lambda x: (x["kind"] == "X") | ((x["kind"] == "D") & F.lit(deletions)) | ((x["kind"] == "I") & F.lit(insertions)))
     dist = lambda x: F.when(x["kind"] == "X", F.least(x["m0"], n - x["m0"] - 1)).when(x["kind"] == "D", F.least(x["m0"], n - x["m1"])).otherwise(F.least(x["m0"], n - x["m0"]))
     row = lambda x: F.struct(x["g0"].alias("pos"), F.coalesce(x["ref"], F.lit("-")).alias("ref"), F.coalesce(x["alt"], F.lit("-")).alias("alt"), F.coalesce(x["quals"], F.array(F.lit(0))).alias("qual"), dist(x).alias("dist"))
     return F.array_sort(F.transform(all_, row)).cast(EVENTS)
@@ -138,8 +147,7 @@ def events(cigar: Column, start: Column, md: Column, seq: Column, qual: Column,
 
 def reference_sequence(cigar: Column, md: Column, seq: Column) -> Column:
     """The reference's bases under the mapped bases, from the read and its MD tag."""
-    read = aligned_sequence(cigar, seq)
-    return F.array_join(F.transform(parse_md(md), lambda i: F.coalesce(i["bases"], F.substring(read, i["m0"].cast("int") + 1, (i["m1"] - i["m0"]).cast("int")))), "")
+    return let(aligned_sequence(cigar, seq), lambda read: F.array_join(F.transform(parse_md(md), lambda i: F.coalesce(i["bases"], F.substring(read, i["m0"].cast("int") + 1, (i["m1"] - i["m0"]).cast("int")))), ""))
 
 
 def encode_events(e: Column) -> Column:

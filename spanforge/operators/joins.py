@@ -3,8 +3,9 @@
 Spark joins on equality. An overlap join deals both sides to bins of the coordinate: each row goes to every bin it
 touches, rows meet within (chrom, bin), and a pair belongs to the bin where the later of both starts lies, so it is found
 once. Bins spread a chromosome over many tasks. Rows that touch more than `most_bins` bins would be copied too
-often; they go one level up, to bins `most_bins` times as wide, and so on until none is left, so every pair meets at
-some level and nothing is capped.
+often; they belong one level up, to bins `most_bins` times as wide, and so on, so nothing is capped. A pair meets at the
+higher of its two levels: besides its own level a row visits, as a guest, those higher levels to which rows of the other
+side belong, and guests never meet guests.
 """
 
 from __future__ import annotations
@@ -45,16 +46,23 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", width: i
     keyed = how != "inner"
     if keyed:
         tagged = tagged.withColumn(lid, F.monotonically_increasing_id())
-    # a pair meets at the higher of its two levels: each side goes to its own level and, for the other's sake, to those above
-    mine = F.transform(F.sequence(F.col("_level"), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("k"), _bins(k, F.col("start"), F.col("end"), width, most_bins).alias("bins")))
-    theirs = F.transform(F.sequence(F.col("_rlevel"), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("k"), _bins(k, rs, re, width, most_bins).alias("bins")))
-    spread = lambda df, x: df.withColumn("_x", F.explode(F.flatten(F.transform(x, lambda y: F.transform(y["bins"], lambda b: F.struct(y["k"].alias("k"), b.alias("b"))))))).withColumns({"_k": F.col("_x.k"), "_b": F.col("_x.b")}).drop("_x")
-    a = spread(tagged, mine)
-    b = spread(other, theirs).withColumnsRenamed({"_k": "_rk", "_b": "_rb"})
+    # which levels have rows of their own on either side: a few numbers, from one pass over the coordinates
+    present = tagged.select(F.lit("l").alias("side"), F.col("_level").alias("k")).union(other.select(F.lit("r"), "_rlevel")).distinct().collect()
+    left_levels, right_levels = ([r["k"] for r in present if r["side"] == side] for side in "lr")
+
+    def spread(df: DataFrame, level: str, start: Column, end: Column, others: list[int], own_roles: list[int], guest_role: int, k: str, b: str, role: str) -> DataFrame:
+        ways = [(F.col(level), r, F.lit(True)) for r in own_roles] + [(F.lit(x), guest_role, F.col(level) < x) for x in others]
+        at = lambda x, r: F.transform(_bins(x, start, end, width, most_bins), lambda i: F.struct(x.cast("int").alias("k"), i.alias("b"), F.lit(r).alias("r")))
+        none = F.slice(at(F.lit(0), 0), 1, 0)
+        return df.withColumn("_x", F.explode(F.concat(*[F.when(use, at(x, r)).otherwise(none) for x, r, use in ways]))).withColumns({k: F.col("_x.k"), b: F.col("_x.b"), role: F.col("_x.r")}).drop("_x")
+
+    # role 0: left rows at home, right rows at home or guests; role 1: left guests, right rows at home
+    a = spread(tagged, "_level", F.col("start"), F.col("end"), right_levels, [0], 1, "_k", "_b", "_r")
+    b = spread(other, "_rlevel", rs, re, left_levels, [0, 1], 0, "_rk", "_rb", "_rr")
     w = F.element_at(F.array(*[F.lit(width * most_bins**k).cast("long") for k in range(LEVELS)]), F.col("_k") + 1)
-    on = (F.col("chrom") == F.col(f"{prefix}chrom")) & (F.col("_k") == F.col("_rk")) & (F.col("_b") == F.col("_rb"))
-    hit = (F.col("start") < re) & (F.col("end") > rs) & (F.col("_k") == F.greatest("_level", "_rlevel")) & (F.col("_b") == F.floor(F.greatest(F.col("start"), rs) / w))
-    met = a.join(b, on & hit).drop("_k", "_b", "_rk", "_rb", "_level", "_rlevel")
+    on = (F.col("chrom") == F.col(f"{prefix}chrom")) & (F.col("_k") == F.col("_rk")) & (F.col("_b") == F.col("_rb")) & (F.col("_r") == F.col("_rr"))
+    hit = (F.col("start") < re) & (F.col("end") > rs) & (F.col("_b") == F.floor(F.greatest(F.col("start"), rs) / w))
+    met = a.join(b, on & hit).drop("_k", "_b", "_r", "_rk", "_rb", "_rr", "_level", "_rlevel")
     if not keyed:
         return met
     tagged = tagged.drop("_level")

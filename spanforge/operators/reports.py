@@ -10,6 +10,11 @@ from ..functions import interval as I
 from .joins import overlap_join
 
 
+def _after_overlap(condition: Column) -> Column:
+    """A costly condition on joined rows that is looked at only for spans that overlap, also where it becomes part of the join."""
+    return F.when(I.overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")), condition).otherwise(False)
+
+
 def feature_count(reads: DataFrame, features: DataFrame, strand: str | None = None, mode: str = "overlap", width: int = 1000) -> DataFrame:
     """name, Length, Count for every feature, also those without reads.
 
@@ -24,7 +29,7 @@ def feature_count(reads: DataFrame, features: DataFrame, strand: str | None = No
     if strand:
         met = met.filter(F.col("strand") == F.col("r_strand") if strand == "forward" else F.col("strand") != F.col("r_strand"))
     if mode != "overlap":
-        met = met.filter((B.coincides if mode == "coincide" else B.contains)(F.col("r_blocks"), F.col("blocks")))
+        met = met.filter(_after_overlap((B.coincides if mode == "coincide" else B.contains)(F.col("r_blocks"), F.col("blocks"))))
     counts = met.groupBy(F.col("r_name").alias("name")).agg(F.count("*").alias("Count"))
     size = B.length(F.col("blocks")) if "blocks" in features.columns else F.col("end") - F.col("start")
     return features.select("name", size.alias("Length")).join(counts, "name", "left").select("name", "Length", F.coalesce("Count", F.lit(0)).alias("Count"))
@@ -70,7 +75,7 @@ def strand_summary(assigned: DataFrame, *by: str) -> DataFrame:
 def filter_coincided(fragments: DataFrame, transcripts: DataFrame, key: str, width: int = 1000) -> DataFrame:
     """Fragments that coincide with some transcript."""
     met = overlap_join(fragments.select(F.col(key), "chrom", "start", "end", "blocks"), transcripts.select("chrom", "start", "end", "blocks"), width=width)
-    return fragments.join(met.filter(B.coincides(F.col("r_blocks"), F.col("blocks"))).select(key).distinct(), key, "left_semi")
+    return fragments.join(met.filter(_after_overlap(B.coincides(F.col("r_blocks"), F.col("blocks")))).select(key).distinct(), key, "left_semi")
 
 
 TYPES = ("A-C", "A-G", "A-T", "C-A", "C-G", "C-T", "G-A", "G-C", "G-T", "T-A", "T-C", "T-G")

@@ -232,9 +232,9 @@ def bk_clip(spark, d):
     return _tx(spark, d).select("name", B.text(B.clip(c("blocks"), c("part") * 1000 + 150, c("part") * 1000 + 920)).alias("blocks"))
 
 
-@query(_islands("SELECT part, greatest(s, part * 1000 - 40) AS s, least(e, part * 1000 + 3500) AS e FROM exons WHERE s < part * 1000 + 3500 UNION ALL SELECT part, part * 1000 - 40, min(s) FROM exons GROUP BY part UNION ALL SELECT part, max(e), part * 1000 + 3500 FROM exons GROUP BY part HAVING max(e) < part * 1000 + 3500", 0), V.EXONS)
+@query(_islands("SELECT part, greatest(s, part * 1000 - 40) AS s, least(e, part * 1000 + 3500) AS e FROM exons WHERE s < part * 1000 + 3500 UNION ALL SELECT part, part * 1000 - 40, min(s) FROM exons GROUP BY part UNION ALL SELECT part, max(e), part * 1000 + 3500 FROM exons GROUP BY part HAVING max(e) < part * 1000 + 3500", 0).replace("- 40", "+ CASE WHEN part = 0 THEN 0 ELSE -40 END"), V.EXONS)
 def bk_clip_extend(spark, d):
-    return _tx(spark, d).select("name", B.text(B.clip_extend(c("blocks"), c("part") * 1000 - 40, c("part") * 1000 + 3500)).alias("blocks"))
+    return _tx(spark, d).select("name", B.text(B.clip_extend(c("blocks"), F.greatest(c("part") * 1000 - 40, F.lit(0)), c("part") * 1000 + 3500)).alias("blocks"))
 
 
 @query("""SELECT 'T' || CAST(part AS VARCHAR) AS name, CASE WHEN bool_or(s <= p AND p < e) THEN CAST(sum(greatest(least(p, e) - s, 0)) AS BIGINT) END AS idx, CASE WHEN bool_or(s <= p AND p < e) THEN CAST(sum(e - s) - 1 - sum(greatest(least(p, e) - s, 0)) AS BIGINT) END AS back FROM (SELECT *, part * 1000 + (part * 37) % 900 AS p FROM exons) GROUP BY part""", V.EXONS)
@@ -243,15 +243,15 @@ def bk_index(spark, d):
     return _tx(spark, d).select("name", B.index(c("blocks"), p).alias("idx"), B.index(c("blocks"), p, True).alias("back"))
 
 
-@query("""SELECT 'T' || CAST(part AS VARCHAR) AS name, max(s + i - before) FILTER (i >= before AND i < before + e - s) AS pos FROM (SELECT *, sum(e - s) OVER (PARTITION BY part ORDER BY k) - (e - s) AS before, CASE WHEN part % 2 = 0 THEN (part * 7) % 600 ELSE (part * 7) % 600 - 300 + CASE WHEN (part * 7) % 600 < 300 THEN sum(e - s) OVER (PARTITION BY part) ELSE 0 END END AS i FROM exons) GROUP BY part""", V.EXONS)
+@query("""SELECT 'T' || CAST(part AS VARCHAR) AS name, CAST(max(s + i - before) FILTER (i >= before AND i < before + e - s) AS BIGINT) AS pos FROM (SELECT *, sum(e - s) OVER (PARTITION BY part ORDER BY k) - (e - s) AS before, CASE WHEN part % 2 = 0 THEN (part * 7) % 600 ELSE (part * 7) % 600 - 300 + CASE WHEN (part * 7) % 600 < 300 THEN sum(e - s) OVER (PARTITION BY part) ELSE 0 END END AS i FROM exons) GROUP BY part""", V.EXONS)
 def bk_position(spark, d):
     i = F.when(c("part") % 2 == 0, (c("part") * 7) % 600).otherwise((c("part") * 7) % 600 - 300)
     return _tx(spark, d).select("name", B.position(c("blocks"), i).alias("pos"))
 
 
-@query("SELECT 'T' || CAST(part AS VARCHAR) AS name, string_agg(CAST(s - 7 AS VARCHAR) || '-' || CAST(e - 7 AS VARCHAR), ';' ORDER BY s) AS blocks FROM exons GROUP BY part", V.EXONS)
+@query("SELECT 'T' || CAST(part AS VARCHAR) AS name, string_agg(CAST(s - 7 AS VARCHAR) || '-' || CAST(e - 7 AS VARCHAR), ';' ORDER BY s) AS blocks FROM exons WHERE part > 0 GROUP BY part", V.EXONS)
 def bk_move(spark, d):
-    return _tx(spark, d).select("name", B.text(B.move(c("blocks"), -7)).alias("blocks"))
+    return _tx(spark, d).filter("part > 0").select("name", B.text(B.move(c("blocks"), -7)).alias("blocks"))
 
 
 @query("""SELECT 'T' || CAST(part AS VARCHAR) AS name, count(*) = 1 OR max(q) + 51 <= 100 AS valid, bool_or(s <= part * 1000 + 105 AND part * 1000 + 105 < e) AS included, TRUE AS sorted, count(*) = 1 AS sorted_back FROM exons GROUP BY part""", V.EXONS)
@@ -296,16 +296,16 @@ def tx_region_blocks(spark, d):
     return _tx(spark, d).select("name", c("thick").isNotNull().alias("coding"), size(I.utr5(c("blocks"), c("thick"), c("strand"))).alias("len5"), size(I.utr3(c("blocks"), c("thick"), c("strand"))).alias("len3"))
 
 
-AT = """at AS (SELECT idx.*, CASE WHEN strand = '-' THEN n - 1 ELSE 0 END AS at FROM idx)"""
+AT = """pt AS (SELECT idx.*, CASE WHEN strand = '-' THEN n - 1 ELSE 0 END AS p FROM idx)"""
 
 
-@query("SELECT name, at AS tss, at - i1 AS cds_start, at - i2 AS cds_end, at - n AS tes FROM (SELECT name, i1, i2, n, CASE WHEN i1 IS NOT NULL THEN at END AS at FROM at)", V.TRANSCRIPTS, INDEXES, AT)
+@query("SELECT name, p AS tss, p - i1 AS cds_start, p - i2 AS cds_end, p - n AS tes FROM (SELECT name, i1, i2, n, CASE WHEN i1 IS NOT NULL THEN CAST(p AS BIGINT) END AS p FROM pt)", V.TRANSCRIPTS, INDEXES, AT)
 def landmark_distances(spark, d):
     p = B.first(c("blocks"))["s"]
     return _tx(spark, d).withColumn("x", I.landmark_distances(c("blocks"), c("thick"), c("strand"), p)).select("name", "x.*")
 
 
-@query("SELECT name, round(CASE WHEN at < i1 THEN (at + 0.5) / i1 WHEN at < i2 THEN (at - i1 + 0.5) / (i2 - i1) + 1 WHEN at < n AND i2 IS NOT NULL THEN (at - i2 + 0.5) / (n - i2) + 2 END, 9) AS ratio FROM at", V.TRANSCRIPTS, INDEXES, AT)
+@query("SELECT name, round(CASE WHEN p < i1 THEN (p + 0.5) / i1 WHEN p < i2 THEN (p - i1 + 0.5) / (i2 - i1) + 1 WHEN p < n AND i2 IS NOT NULL THEN (p - i2 + 0.5) / (n - i2) + 2 END, 9) AS ratio FROM pt", V.TRANSCRIPTS, INDEXES, AT)
 def metagene_ratio(spark, d):
     p = B.first(c("blocks"))["s"]
     x = I.metagene_ratio(c("blocks"), c("thick"), c("strand"), p)
@@ -316,8 +316,8 @@ def metagene_ratio(spark, d):
 
 
 def _bundle_sql(new: str) -> str:
-    return f"""SELECT chrom, min("start") AS start_min, max("start") AS start_max, min("end") AS end_min, max("end") AS end_max, count(*) AS count FROM (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY "start", "end", strand ROWS UNBOUNDED PRECEDING) AS i FROM
- (SELECT *, CASE WHEN {new} THEN 0 ELSE 1 END AS new FROM (SELECT *, max("start") OVER w AS ms, max("end") OVER w AS me FROM reads WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", strand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))) GROUP BY chrom, i"""
+    return f"""SELECT chrom, min("start") AS start_min, max("start") AS start_max, min("end") AS end_min, max("end") AS end_max, count(*) AS count FROM (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY "start", "end") AS i FROM
+ (SELECT *, CASE WHEN {new} THEN 0 ELSE 1 END AS new FROM (SELECT *, max("start") OVER w AS ms, max("end") OVER w AS me FROM reads WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))) GROUP BY chrom, i"""
 
 
 @query(_bundle_sql('"start" <= ms'), V.READS)

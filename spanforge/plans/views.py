@@ -77,10 +77,10 @@ DNA = """dna AS (SELECT p_partkey AS part, CAST(p_size AS BIGINT) AS size, trans
 
 def variants(spark: SparkSession, d: str) -> DataFrame:
     """SNPs: chrom, start, ref, alts."""
-    return table(spark, d, "events").selectExpr("event_id", "concat('chr', cast(event_id % 5 + 1 as string)) as chrom", "event_id % 4000 as start", "substring('ACGT', cast(event_id % 4 + 1 as int), 1) as ref", "array(substring('CGTA', cast(event_id % 4 + 1 as int), 1)) as alts")
+    return table(spark, d, "events").selectExpr("event_id", "concat('chr', cast(event_id % 5 + 1 as string)) as chrom", "event_id * 7 % 30011 as start", "substring('ACGT', cast(event_id % 4 + 1 as int), 1) as ref", "array(substring('CGTA', cast(event_id % 4 + 1 as int), 1)) as alts")
 
 
-VARIANTS = """variants AS (SELECT event_id, 'chr' || CAST(event_id % 5 + 1 AS VARCHAR) AS chrom, event_id % 4000 AS "start", substring('ACGT', CAST(event_id % 4 + 1 AS INTEGER), 1) AS ref, substring('CGTA', CAST(event_id % 4 + 1 AS INTEGER), 1) AS alt FROM events)"""
+VARIANTS = """variants AS (SELECT event_id, 'chr' || CAST(event_id % 5 + 1 AS VARCHAR) AS chrom, event_id * 7 % 30011 AS "start", substring('ACGT', CAST(event_id % 4 + 1 AS INTEGER), 1) AS ref, substring('CGTA', CAST(event_id % 4 + 1 AS INTEGER), 1) AS alt FROM events)"""
 
 
 def mismatches(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..functions import sequence as S
+from ..functions.let import let, once
 from ..schema import BLOCKS
 
 TAB = "\t"
@@ -52,7 +53,9 @@ def parse_bed(df: DataFrame, ncol: int = 12) -> DataFrame:
     """chrom, start, end, name, score, strand, thick, color, blocks from BED lines of 3 to 12 columns, of which at most ncol are read."""
     if ncol < 3:
         raise ValueError("BED has at least three columns")
-    n = F.least(F.size(F.split("value", TAB)), F.lit(ncol))
+    df = once(df.select("value"), parts=F.split("value", TAB))
+    _field = lambda i: F.get("parts", F.lit(i))
+    n = F.least(F.size("parts"), F.lit(ncol))
     at = lambda i: F.when(n > i, _field(i))
     number = lambda i: at(i).cast("long")
     start, end = number(1), number(2)
@@ -93,8 +96,11 @@ def parse_site_bed(df: DataFrame) -> DataFrame:
 
 def last_wins(pairs: Column) -> Column:
     """A map of array<struct<k, v>>; of equal keys the last counts, at the place of the first."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    def folded(all_: Column) -> Column:
+        keys = F.array_distinct(F.transform(all_, lambda p: p["k"]))
+        return let(keys, lambda ks: F.when(F.size(ks) == F.size(all_), F.map_from_entries(all_)).otherwise(F.map_from_arrays(ks, F.transform(ks, lambda k: F.element_at(F.filter(all_, lambda p: p["k"] == k), -1)["v"]))))
+
+    return let(pairs, folded)
 
 
 def gtf_attributes(text: Column) -> Column:
@@ -114,17 +120,19 @@ def gff_attributes(text: Column) -> Column:
 
 
 def _features(df: DataFrame, attributes: Column, needs: Column, what: str, bad: str) -> DataFrame:
+    df = once(df.select("value"), parts=F.split("value", TAB), attributes=attributes)
+    _field = lambda i: F.get("parts", F.lit(i))
     start, end = _field(3).cast("long") - 1, _field(4).cast("long")
-    df = df.withColumn("attributes", attributes)
-    good = F.coalesce((F.size(F.split("value", TAB)) == 9) & (start >= 0) & (start < end) & _field(6).isin("+", "-", ".") & _field(7).isin("0", "1", "2", ".") & needs, F.lit(False))
-    ok = lambda c: _checked(good, c, what, bad)
+    good = F.coalesce((F.size("parts") == 9) & (start >= 0) & (start < end) & _field(6).isin("+", "-", ".") & _field(7).isin("0", "1", "2", ".") & needs, F.lit(False))
+    df = once(df, good=good)
+    ok = lambda c: _checked(F.col("good"), c, what, bad)
     return df.select(ok(_field(0)).alias("chrom"), ok(_field(1)).alias("source"), ok(_field(2)).alias("feature"), ok(start).alias("start"), ok(end).alias("end"), ok(_field(5)).alias("score"), ok(_field(6)).alias("strand"), ok(_field(7)).alias("frame"), ok(F.col("attributes")).alias("attributes"))
 
 
 def parse_gtf(df: DataFrame, bad: str = "fail") -> DataFrame:
     """Features of GTF lines. gene_id is needed, and transcript_id unless the feature is a gene."""
     a = F.col("attributes")
-    needs = a["gene_id"].isNotNull() & ((_field(2) == "gene") | a["transcript_id"].isNotNull())
+    needs = a["gene_id"].isNotNull() & ((F.get("parts", F.lit(2)) == "gene") | a["transcript_id"].isNotNull())
     return _features(df, gtf_attributes(_field(8)), needs, "GTF", bad)
 
 
@@ -175,11 +183,14 @@ def attribute_table(features: DataFrame, keys: list[str] | None = None, most_key
 
 def parse_vcf(df: DataFrame) -> DataFrame:
     """Single-base variants of 8-column VCF lines; INFO flags without value are keys of empty text."""
-    start = _field(1).cast("long") - 1
     info = last_wins(F.transform(F.filter(F.split(_field(7), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.regexp_extract(x, "^([^=]*)", 1).alias("k"), F.regexp_extract(x, "^[^=]*=?(.*)$", 1).alias("v"))))
-    good = F.coalesce((F.size(F.split("value", TAB)) == 8) & (F.length(_field(3)) == 1) & (start >= 0) & _field(5).rlike("^[0-9]+$"), F.lit(False))
+    df = once(df.select("value"), parts=F.split("value", TAB), info=info)
+    info = F.col("info")
+    at = lambda i: F.get("parts", F.lit(i))
+    start = at(1).cast("long") - 1
+    good = F.coalesce((F.size("parts") == 8) & (F.length(at(3)) == 1) & (start >= 0) & at(5).rlike("^[0-9]+$"), F.lit(False))
     ok = lambda c: _checked(good, c, "VCF", "fail")
-    return df.select(ok(_field(0)).alias("chrom"), ok(start).alias("start"), ok(start + 1).alias("end"), ok(_field(2)).alias("name"), F.coalesce(info["SB"], F.lit("+")).alias("strand"), ok(_field(3)).alias("ref"), ok(F.split(_field(4), ",")).alias("alts"), ok(_field(5).cast("int")).alias("qual"), ok(_field(6)).alias("filt"), ok(info).alias("info"))
+    return df.select(ok(at(0)).alias("chrom"), ok(start).alias("start"), ok(start + 1).alias("end"), ok(at(2)).alias("name"), F.coalesce(info["SB"], F.lit("+")).alias("strand"), ok(at(3)).alias("ref"), ok(F.split(at(4), ",")).alias("alts"), ok(at(5).cast("int")).alias("qual"), ok(at(6)).alias("filt"), ok(info).alias("info"))
 
 
 def vcf_line() -> Column:
@@ -273,7 +284,7 @@ def parse_table(df: DataFrame, header: list[str]) -> DataFrame:
 
 
 def table_line(header: list[str]) -> Column:
-    one = {"thick": lambda c: F.coalesce(F.concat_ws("-", c["s"].cast("string"), c["e"].cast("string")), F.lit(".")), "blocks": lambda c: B.text(c)}
+    one = {"thick": lambda c: F.when(c.isNotNull(), F.concat_ws("-", c["s"].cast("string"), c["e"].cast("string"))), "blocks": lambda c: B.text(c)}
     return F.concat_ws(TAB, *[F.coalesce(one[h](F.col(h)) if h in one else F.col(h).cast("string"), F.lit(".")) for h in header])
 
 
