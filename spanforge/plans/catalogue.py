@@ -463,12 +463,12 @@ BED_LINE = """SELECT chrom || chr(9) || "start" || chr(9) || "end" || chr(9) ||
 
 @query(BED_LINE, V.TRANSCRIPTS)
 def bed12_format(spark, d):
-    return _tx(spark, d).select(T.bed_line(score=None).alias("line"))
+    return _tx(spark, d).select(T.bed_line(score=None, color=None).alias("line"))
 
 
 @query(TX_TEXT, V.TRANSCRIPTS)
 def bed_roundtrip(spark, d):
-    return _tx_text(T.parse_bed(_tx(spark, d).select(T.bed_line(score=None).alias("value"))))
+    return _tx_text(T.parse_bed(_tx(spark, d).select(T.bed_line(score=None, color=None).alias("value"))))
 
 
 @query("""SELECT t.chrom || chr(9) || 'src' || chr(9) || 'exon' || chr(9) || (s + 1) || chr(9) || e || chr(9) || '.' || chr(9) || strand || chr(9) || '.' || chr(9) || 'gene_id "G' || (part // 2) || '"; transcript_id "' || name || '"; note "a; b"; level "' || (part % 3) || '"; tag "y";' AS line FROM transcripts t JOIN exons USING (part)""", V.TRANSCRIPTS)

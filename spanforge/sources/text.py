@@ -7,7 +7,7 @@ message, unless bad="null", which nulls their columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -66,14 +66,14 @@ def parse_bed(df: DataFrame, ncol: int = 12) -> DataFrame:
     return df.select(at(0).alias("chrom"), start.alias("start"), end.alias("end"), at(3).alias("name"), F.when(at(4) != ".", at(4)).cast("double").alias("score"), strand.alias("strand"), thick.alias("thick"), at(8).alias("color"), F.when(n >= 12, many).otherwise(F.array(B.block(start, end))).cast(BLOCKS).alias("blocks"))
 
 
-def bed_line(ncol: int = 12, score: str | None = "score", blocks: str | None = "blocks", thick: str | None = "thick") -> Column:
-    """A BED line of the first ncol columns. Without thick part both its columns are start; colour is 0,0,255 on + and
-    255,0,0 otherwise; lists end in a comma."""
+def bed_line(ncol: int = 12, score: str | None = "score", blocks: str | None = "blocks", thick: str | None = "thick", color: str | None = "color") -> Column:
+    """A BED line of the first ncol columns; None: there is no such column. Without thick part both its columns are start;
+    without colour it is 0,0,255 on + and 255,0,0 otherwise; lists end in a comma."""
     col = F.col
     b = col(blocks) if blocks else F.array(B.block(col("start"), col("end")))
     t = col(thick) if thick else F.lit(None).cast("struct<s:bigint,e:bigint>")
     number = F.when(col(score).isNull(), ".").otherwise(col(score).cast("string")) if score else F.lit(".")
-    parts = [col("chrom"), col("start").cast("string"), col("end").cast("string"), F.coalesce(col("name"), F.lit("None")), number, F.coalesce(col("strand"), F.lit("None")), F.coalesce(t["s"], col("start")).cast("string"), F.coalesce(t["e"], col("start")).cast("string"), F.when(col("strand") == "+", "0,0,255").otherwise("255,0,0"), F.size(b).cast("string"), F.concat(F.array_join(F.transform(b, lambda x: (x["e"] - x["s"]).cast("string")), ","), F.lit(",")), F.concat(F.array_join(F.transform(b, lambda x: (x["s"] - col("start")).cast("string")), ","), F.lit(","))]
+    parts = [col("chrom"), col("start").cast("string"), col("end").cast("string"), F.coalesce(col("name"), F.lit("None")), number, F.coalesce(col("strand"), F.lit("None")), F.coalesce(t["s"], col("start")).cast("string"), F.coalesce(t["e"], col("start")).cast("string"), F.coalesce(col(color) if color else F.lit(None), F.when(col("strand") == "+", "0,0,255").otherwise("255,0,0")), F.size(b).cast("string"), F.concat(F.array_join(F.transform(b, lambda x: (x["e"] - x["s"]).cast("string")), ","), F.lit(",")), F.concat(F.array_join(F.transform(b, lambda x: (x["s"] - col("start")).cast("string")), ","), F.lit(","))]
     return F.concat_ws(TAB, *parts[:ncol])
 
 
@@ -251,18 +251,20 @@ def fetch_chunked(ranges: DataFrame, chunks: DataFrame, key: str, size: int = 1
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name, sequence, quality of FASTQ files, strictly four lines a record.
+    """name, sequence, quality of FASTQ files, strictly four lines a record; records may lie across file splits.
 
-    Records are found by structure: a header is a line of @ two lines above one of + whose sequence and quality, its
-    neighbours, are equally long. A file is one value here; large inputs should come as many files.
+    A line's number in its file is its number in its split plus the lines of the splits before, which one count gives.
     """
-    whole = spark.read.option("wholetext", True).text(path)
-    records = F.regexp_extract_all("value", F.lit(r"(@[^\n]*\r?\n[^\n]*\r?\n\+[^\n]*\r?\n[^\n]*)(?:\n|$)"), F.lit(1))
-    parts = F.split("r", r"\r?\n")
-    at = lambda i: F.get(parts, F.lit(i))
-    same = F.length(at(1)) == F.length(F.regexp_replace(at(3), r"\r$", ""))
-    fail = F.raise_error(F.concat(F.lit("sequence and quality differ in length: "), F.col("r")))
-    return whole.select(F.explode(records).alias("r")).select(F.expr("substring(split(r, '\\r?\\n')[0], 2)").alias("name"), F.when(same, at(1)).otherwise(fail).alias("sequence"), F.regexp_replace(at(3), r"\r$", "").alias("quality"))
+    own = ["file", "split"]
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"))
+    sizes = raw.groupBy(*own).agg(F.min("i").alias("low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    placed = raw.join(sizes.select(*own, "low", F.coalesce(before, F.lit(0)).alias("before")), own).withColumn("line", F.col("before") + F.col("i") - F.col("low"))
+    at = lambda k: F.max(F.when(F.col("line") % 4 == k, F.rtrim("value", F.lit("\r")))).alias(f"l{k}")
+    records = placed.groupBy("file", F.expr("line div 4").alias("record")).agg(*[at(k) for k in range(4)]).filter("l0 <> '' or l1 is not null")
+    good = F.coalesce(F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3")), F.lit(False))
+    ok = lambda c: F.when(good, c).otherwise(F.raise_error(F.concat(F.lit("bad FASTQ record: "), F.coalesce("l0", F.lit("")))))
+    return records.select(ok(F.substring("l0", 2, 1 << 30)).alias("name"), ok(F.col("l1")).alias("sequence"), ok(F.col("l3")).alias("quality"))
 
 
 def fastq_record() -> Column:
