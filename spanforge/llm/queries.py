@@ -111,4 +111,16 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op1_topk_search": _OP1}
+_OP8 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS s FROM d, unnest(range(len(w) - 19)) AS u(i) WHERE len(w) >= 20),
+seen AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS later FROM win),
+gone AS (SELECT DISTINCT doc_id, i + j AS at FROM seen, unnest(range(20)) AS u(j) WHERE later),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at FROM d),
+kept AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.at) AS t FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.at = p.at WHERE g.at IS NULL GROUP BY p.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_topk_search": _OP1, "op8_substring_dedup": _OP8}
