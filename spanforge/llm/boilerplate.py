@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import chunks
+from .flat import chunks, small_batches
 
 #: Fixed values of HTML.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -234,6 +234,7 @@ def main_text(tree: tuple | int, page: str | None) -> str:
 
 def extract(df: DataFrame, html: str = "html", text: str = "text", keep_html: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
     """df with the column text: each page's main text."""
+    small_batches(df.sparkSession)
     tree = train()
     kept = [c for c in df.columns if c != text and (keep_html or c != html)]
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(text, T.StringType())])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import chunks, lists
+from .flat import chunks, lists, small_batches, trim
 
 #: Fixed: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -182,6 +182,7 @@ def _decode(shared, names: list[str], ids: str, text: str):
                 raw = data.tobytes()
                 made = pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([made if x == text else b.column(x) for x in names], names)
+        trim()
 
     return run
 
@@ -193,6 +194,7 @@ def _with(df: DataFrame, name: str, kind: str) -> T.StructType:
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", batch_bytes: int = 2 << 20) -> DataFrame:
     """df with the column ids: the token ids of each whole text. path: a tokenizers JSON file that the driver reads."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(path))  # a vocabulary's size is fixed
+    small_batches(df.sparkSession)
     schema = _with(df, ids, "array<int>")
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != ids or c == text]).mapInArrow(_encode(shared, schema.names, text, ids, batch_bytes), schema)
 
@@ -200,5 +202,6 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", batch
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the column text: the bytes of each row's tokens, read as UTF-8."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(path))  # a vocabulary's size is fixed
+    small_batches(df.sparkSession)
     schema = _with(df, text, "string")
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != text]).mapInArrow(_decode(shared, schema.names, ids, text), schema)

@@ -5,6 +5,8 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, and never cross a
 
 from __future__ import annotations
 
+import ctypes
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,6 +39,27 @@ def shared_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+#: Most rows and bytes of one Arrow batch between Spark and a Python worker; texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to what these operators' workers are to hold at once (never raise it)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def trim() -> None:
+    """Give memory that a worker no longer uses back, since idle workers live on beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x + GOLDEN
@@ -131,6 +154,8 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             at = to
     if pending:
         yield pa.Table.from_batches(pending)
+    del pending
+    trim()
 
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .flat import U64, chunks, mix, shared_dir, words
+from .flat import U64, chunks, mix, shared_dir, small_batches, words
 
 CONTEXTS = 1 << 16
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -277,6 +277,7 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id",
     """
     spark = df.sparkSession
     shared_dir(spark)
+    small_batches(spark)
     share = spark.sparkContext.broadcast
     own = df.select(F.col(key).cast("long").alias("key"), train.alias("train"), F.col(text).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0

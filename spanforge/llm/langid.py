@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import chunks
+from .flat import chunks, small_batches
 
 BITS, ORDERS = 16, (1, 2, 3)
 SIZE = 1 << BITS
@@ -118,6 +118,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 4000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, batch_bytes: int = 2 << 20) -> Model:
     """Learn from the rows of df with a label and a text. About sample_rows of them are fitted; document frequencies count all."""
+    small_batches(df.sparkSession)
     own = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(17), F.col(key)).alias("pick")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -173,6 +174,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 def identify(df: DataFrame, model: Model, text: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """df with lang_pred and lang_score (0 to 1)."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by SIZE and MOST_LANGUAGES
     made = {"lang_pred", "lang_score"}
     kept = [c for c in df.columns if c not in made]

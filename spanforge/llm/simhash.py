@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import chunks, shared_dir, text_bytes, words
+from .flat import chunks, shared_dir, small_batches, text_bytes, words
 
 SEED = 42
 #: Up to so many members of a key are compared directly.
@@ -81,6 +81,7 @@ def _fingerprints(shingle: int, limit: int):
 
 def simhash(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, batch_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, rid (a hash of doc_id and text) and fp (the fingerprint as a signed long) of every row."""
+    small_batches(df.sparkSession)
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_rid"), F.col(text).alias("_text"))
     return own.mapInArrow(_fingerprints(shingle, batch_bytes), "doc_id long, rid long, fp long")
 

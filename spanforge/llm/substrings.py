@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import U64, chunks, flat, lists, mix, text_bytes, words
+from .flat import U64, chunks, flat, lists, mix, small_batches, text_bytes, trim, words
 
 #: Bases of the two polynomial hashes.
 BASE_KEY, BASE_BUCKET = U64(0x9E6C63D0876A9A47), U64(0xD1342543DE82EF95)
@@ -156,6 +156,8 @@ def _reported(table: pa.Table) -> pa.Table:
     found = runs(rid[by], s[by])
     drops = [flat(table[c], np.int64)[0] for c in ("drop_rid", "drop_low", "drop_high")]
     rid, low, high = (np.concatenate(x) for x in zip(found, drops, strict=True))
+    del key, entry, start, by, sorted_key, twin, at, order
+    trim()
     return pa.table({"_rid": pa.array(rid, pa.int64()), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
 
 
@@ -199,6 +201,7 @@ def _applied(length: int, names: list[str], text: str):
                 kept.append(b" ".join([w for x, y in zip(edges[::2], edges[1::2], strict=True) for w in mine[x:y]]).decode())
             made = {text: pa.array(texts, pa.string()), "kept_text": pa.array(kept, pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
             yield pa.RecordBatch.from_arrays([made[x] if x in made else b.column(x) for x in names], names)
+        trim()
 
     return run
 
@@ -208,6 +211,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
     bucket_bytes and batch_bytes bound the text whose windows one reduce group or one map step holds at a time.
     """
+    small_batches(df.sparkSession)
     total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = int(max(8, -(-total // bucket_bytes)))
     made = {"kept_text", "n_words", "n_removed", "removed_spans"}

@@ -22,6 +22,8 @@ from .flat import shared_dir
 
 #: Fixed rules: verdict, host, path.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: Blocked hosts that are broadcast at most; parts into which a host's pages are dealt beyond that.
+FEW_HOSTS, SALTS = 20_000, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
@@ -85,6 +87,12 @@ def judge(df: DataFrame, url: str = "url", html: str = "html", rules: list[tuple
     ranks = [spread(e, hosts.filter(F.col(c) > 0).select("host", (F.col(c) / total).alias("s")), damping, tolerance, most).withColumnRenamed("rank", name) for name, (e, c, total) in ways.items() if total]
     ranked = reduce(lambda a, b: a.join(b, "host", "left"), ranks, hosts)
     trust, distrust = (F.coalesce(F.col(x), F.lit(0.0)) if x in ranked.columns else F.lit(0.0) for x in ways)
-    blocked = ranked.filter((F.round(distrust - trust, 9) > 0) & (F.round(distrust - excess * F.col("n") / (n or 1.0), 9) >= 0)).select("host", F.lit(True).alias("_bad"))
-    out = pages.join(blocked, "host", "left").withColumn("verdict", F.coalesce("_ruled", F.when(F.col("_bad"), "block"), F.lit("allow")))
+    # the blocked hosts are counted: few are broadcast, many are dealt with salt, so that a host with many pages spreads over tasks
+    blocked = ranked.filter((F.round(distrust - trust, 9) > 0) & (F.round(distrust - excess * F.col("n") / (n or 1.0), 9) >= 0)).select("host", F.lit(True).alias("_bad")).checkpoint()
+    if blocked.count() <= FEW_HOSTS:
+        met = pages.join(F.broadcast(blocked), "host", "left")
+    else:
+        salted = blocked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = pages.withColumn("_salt", F.pmod(F.xxhash64(F.col("path")), F.lit(SALTS))).join(salted, ["host", "_salt"], "left")
+    out = met.withColumn("verdict", F.coalesce("_ruled", F.when(F.col("_bad"), "block"), F.lit("allow")))
     return out.select(*[c for c in df.columns if c not in made], "host", "path", "rule", "verdict")
