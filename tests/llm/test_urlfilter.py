@@ -44,7 +44,7 @@ def brute(rows):
     return [(h, p, r, v or ("block" if h in blocked else "allow")) for h, p, r, v in pages]
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, monkeypatch):
     a = lambda *to: "".join(f'<p><a class=x href="{t}">l</a>' for t in to)
     rows = [
         ("https://spam.example.net/de/8", a("http://farm.org/x", "//farm.org/y")), ("https://spam.example.net/de/1", ""), ("http://spam.example.net/fr/1", None), ("http://farm.org/1?x=/es/", a("https://SPAM.example.net/de/8", "/local", "http://spam.example.net/")),
@@ -55,6 +55,8 @@ def test_matches_brute_force(spark):
     got = sorted(U.judge(df.repartition(3)).select("page_id", "host", "path", "rule", "verdict").collect())
     want = brute(rows)
     assert [tuple(g)[1:] for g in got] == want
+    monkeypatch.setattr(U, "FEW_HOSTS", 0)
+    assert sorted(U.judge(df.repartition(2)).select("page_id", "host", "path", "rule", "verdict").collect()) == got
     assert {"allow", "block"} == {v for _, _, r, v in want if r is None}
 
 
