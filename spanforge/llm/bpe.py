@@ -205,3 +205,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     small_batches(df.sparkSession)
     schema = _with(df, text, "string")
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != text]).mapInArrow(_decode(shared, schema.names, ids, text), schema)
+
+
+def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", batch_bytes: int = 2 << 20) -> DataFrame:
+    """df with ids and decoded: encode() and then decode(), by the same workers in one pass."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(path))  # a vocabulary's size is fixed
+    own = df.select(*[F.col(f"`{c}`") for c in df.columns if c == text or c not in (ids, decoded)])
+    between = _with(own, ids, "array<int>")
+    schema = T.StructType([*[f for f in between if f.name != decoded], T.StructField(decoded, T.StringType())])
+    first, second = _encode(shared, between.names, text, ids, batch_bytes), _decode(shared, schema.names, ids, decoded)
+    return own.mapInArrow(lambda batches: second(first(batches)), schema)

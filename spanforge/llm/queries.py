@@ -72,11 +72,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded with the public byte-level vocabulary, and decoded again."""
     import public_tokenizers
 
-    from .bpe import decode, encode
+    from .bpe import encode_decode
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    out = decode(ids, path)
+    out = encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

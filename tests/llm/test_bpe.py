@@ -22,6 +22,7 @@ def test_same_ids_and_texts_as_the_library(spark, path):
     df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(TEXTS)], "doc_id int, text string, ids string")
     enc = bpe.encode(df, path)
     out = {r.doc_id: r for r in bpe.decode(enc, path).collect()}
+    assert {r.doc_id: r for r in bpe.encode_decode(df.withColumn("decoded", df.text), path).collect()} == out
     for i, x in enumerate(TEXTS):
         want = t.encode(x or "", add_special_tokens=False).ids
         assert out[i].ids == want, x
