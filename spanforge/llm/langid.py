@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import chunks, small_batches
+from .flat import chunks, small_batches, trim
 
 BITS, ORDERS = 16, (1, 2, 3)
 SIZE = 1 << BITS
@@ -135,8 +135,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     for x in languages:
         chosen = chosen | ((F.col("lang") == x) & (F.pmod("pick", F.lit(1 << 31)) < int(min(1.0, share / sizes[x]) * (1 << 31))))
     table = own.filter(chosen).mapInArrow(_samples(batch_bytes), "lang string, pick long, i array<int>, x array<float>").limit(2 * sample_rows).toArrow().sort_by([("pick", "ascending"), ("lang", "ascending")])
-    rows = [(np.append(i.values.to_numpy(), SIZE), np.append(x.values.to_numpy() * idf[i.values.to_numpy()] * SCALE, 1.0)) for i, x in zip(table["i"], table["x"], strict=True)]
+    rows = [(np.append(i.values.to_numpy(), np.int32(SIZE)), np.append(x.values.to_numpy() * idf[i.values.to_numpy()] * SCALE, 1.0).astype(np.float32)) for i, x in zip(table["i"], table["x"], strict=True)]
     labels = np.array([languages.index(x) for x in table["lang"].to_pylist()], np.int64)
+    del table
     held = np.arange(len(rows)) % 5 == 0 if len(rows) >= 10 else np.zeros(len(rows), bool)
     w = ftrl([r for r, h in zip(rows, held, strict=True) if not h], labels[~held], len(languages), epochs, alpha, beta, l1, l2)
     temperature = 1.0
@@ -150,6 +151,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
 
         temperature = min(np.geomspace(0.1, 10, 81).tolist(), key=loss)
     weights = np.concatenate([w[:SIZE] * (idf * SCALE)[:, None], np.zeros((1, len(languages)))]).astype(np.float32)
+    del rows
+    trim()  # the driver goes on to other work
     return Model(languages, weights, w[SIZE], temperature)
 
 
