@@ -1,17 +1,19 @@
 """Scoring of texts by a hierarchical Pitman-Yor language model.
 
-Tokens are lower-cased (A-Z) words and an end token after each text. A token's context is the ending (last two
-bytes) of the word before it, so there are at most 2**16 context restaurants; they share one parent over all
-words, whose base is uniform over the training words and one unknown word.
-
-Dishes are dealt to buckets by word; a bucket holds a word in all contexts, so the parent's part of a word is
-local to it, and all that buckets share is the number of tables of each context and of the parent. Map steps
-send each bucket their distinct (word, context) pairs with counts, so frequent words are summed before the
-shuffle. A Gibbs sweep takes each section (all customers of a restaurant with one dish) out and seats it anew
-given all others; the customers of long sections come in blocks that grow with those seated, so the work follows
-the logarithm of a section's size and nothing is capped. Buckets run sweeps side by side against the totals of the round before. The samples' totals
-are gathered, the same seeded sweeps run again, and predictive probabilities are averaged over the samples,
-each with its own totals. They go back to the map steps' pairs and are summed by document there.
+Tokens are lower-cased (A-Z) words and an end token after each text. A token's context is the whole word before it
+(or a text's start), so there are as many context restaurants as words; they share one parent over all words, whose
+base is uniform over the training words and one unknown word.
+
+Words are dealt to buckets. A bucket holds a word in all contexts, so the parent's part of a word is local to it, and
+it owns the restaurants of the contexts that its words are. Map steps send each bucket their distinct (word, context)
+pairs with counts, and of each word the customers and sections that its context has there. A section of one customer
+has one table whatever happens, so an owner knows the tables of its contexts up to the sections of several customers;
+only of those do buckets send tables to owners, and get the contexts' totals back. A Gibbs sweep takes each section
+(all customers of a restaurant with one dish) out and seats it anew given all others; the customers of long sections
+come in blocks that grow with those seated, so the work follows the logarithm of a section's size and nothing is
+capped. Buckets run sweeps side by side against the totals of the round before. The samples' tables go to the owners,
+the same seeded sweeps run again, and seatings and totals go back to the map steps, where predictive probabilities
+are averaged over the samples, each with its own totals, and summed by document. The driver sees sums only.
 
 Defined results: a null or empty text is its end token only; rows are scored each for itself, repeated rows
 too; with no training rows every word has probability one over one unknown word; other columns are left out.
@@ -21,22 +23,27 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flat import U64, chunks, mix, shared_dir, small_batches, words
+from .flat import U64, chunks, mix, shared_dir, small_batches, trim, words
 
+#: Bits of a word's hash that tell words apart.
+KEPT = U64((1 << 64) - (1 << 8))
+#: Room for contexts in the arrays of a small model that is held whole.
 CONTEXTS = 1 << 16
-END = mix(np.array([0x656E64], np.uint64))[0]
-PAIRS = "batch long, bucket int, w binary, runs binary, ctx binary, n binary, keys array<long>, train array<boolean>, sizes array<int>, at binary"
-STATE = "bucket int, batches array<long>, w array<binary>, runs array<binary>, ctx array<binary>, n array<binary>, tokens long, types long, once long, twice long, c_ctx array<int>, c array<long>, t array<long>, w_once long, w_twice long"
+END = mix(np.array([0x656E64], np.uint64))[0] & KEPT
+#: Rows between steps: kind, the bucket (negative for documents) they go to, the bucket or batch they come from or go back to.
+WIRE = "to int, kind int, at long, data array<binary>, sums array<double>"
+PAIRS, DOCS, CORE, BACK, OWN, SENT, TOTAL, SUMS, REPLY = range(9)
 #: Customers of a section that are seated one by one, and the part of those seated that later come at once.
 SINGLY, BLOCK = 48, 48
 
@@ -97,22 +104,30 @@ def seat(customers: np.ndarray, a: np.ndarray, b: np.ndarray, d: float, rng: np.
     return tables
 
 
+def _wire(made: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.float64())]
+    return pa.Table.from_arrays([pa.array([r[i] for r in made], k) for i, k in enumerate(kinds)], [x.split()[0] for x in WIRE.split(", ")])
+
+
+def _owner(w: np.ndarray, buckets: int) -> tuple[list[int], list[int], list[int]]:
+    """Where the runs of sorted words that go to one bucket start and end, and their buckets."""
+    bucket = ((w >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return heads.tolist(), np.append(heads, len(w))[1:].tolist(), bucket[heads].tolist()
+
+
 def _pairs(buckets: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in PAIRS.split(", ")]
         for seq, table in enumerate(chunks(batches, "text", limit)):
             batch = (TaskContext.get().partitionId() << 24) + seq
             w = words(table["text"], lower=True)
             train = np.asarray(table["train"].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), bool)
-            rows = len(train)
             n = w.counts + 1
-            where = np.arange(len(w.starts)) + np.repeat(np.arange(rows), w.counts)
-            token = np.full(len(w.starts) + rows, END, np.uint64)
-            token[where] = w.hashes()
-            ends = w.buf[w.ends - 1].astype(np.uint16)
-            ends[w.ends - w.starts > 1] += w.buf[w.ends[w.ends - w.starts > 1] - 2].astype(np.uint16) << 8
-            context = np.zeros(len(token) + 1, np.uint16)
-            context[where + 1] = ends
+            where = np.arange(len(w.starts)) + np.repeat(np.arange(len(train)), w.counts)
+            token = np.full(len(w.starts) + len(train), END, np.uint64)
+            token[where] = w.hashes() & KEPT
+            context = np.zeros(len(token) + 1, np.uint64)
+            context[where + 1] = token[where]
             context = context[:-1]
             counted = np.repeat(train, n)
             by = np.lexsort((context, token))
@@ -123,15 +138,19 @@ def _pairs(buckets: int, limit: int):
             pair[by] = np.cumsum(new) - 1
             count = np.add.reduceat(counted[by].astype(np.int64), heads)
             pw, pc = token[by[heads]], context[by[heads]]
-            bucket = ((pw >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
-            cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            # the words of the batch, and 0, the context at a text's start
+            every = np.union1d(pw, np.zeros(1, np.uint64))
+            runs = np.diff(np.searchsorted(pw, every, "left"), append=len(pw))
+            of = np.searchsorted(every, pc)
+            customers, sections = (np.bincount(of, x, len(every)).astype(np.int64) for x in (count, count > 0))
+            first = np.concatenate([[0], np.cumsum(runs)])
             made = []
-            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                run_heads = np.flatnonzero(np.append(True, np.diff(pw[x:y]) != 0))
-                made.append((batch, int(bucket[x]), pack(pw[x:y][run_heads]), pack(np.diff(np.append(run_heads, y - x)).astype(np.uint32)), pack(pc[x:y]), pack(count[x:y].astype(np.uint32)), None, None, None, None))
-            made.append((batch, -1, None, None, None, None, table["key"].to_pylist(), train.tolist(), n.tolist(), pack(pair)))
-            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names)
+            for x, y, bucket in zip(*_owner(every, buckets), strict=True):
+                own = slice(first[x], first[y])
+                made.append((bucket, PAIRS, batch, [pack(every[x:y]), pack(runs[x:y].astype(np.uint32)), pack(pc[own]), pack(count[own].astype(np.uint32)), pack(customers[x:y].astype(np.uint32)), pack(sections[x:y].astype(np.uint32))], None))
+            key = table["key"].combine_chunks()
+            made.append((-1 - batch % buckets, DOCS, batch, [pack(np.asarray(key.fill_null(0), np.int64)), pack(np.asarray(key.is_null().to_numpy(zero_copy_only=False), np.uint8)), pack(train.astype(np.uint8)), pack(n.astype(np.uint32)), pack(pair), pack(runs.astype(np.uint32))], None))
+            yield from _wire(made).to_batches()
 
     return run
 
@@ -148,31 +167,99 @@ class Bucket:
     sizes: list[int]
 
 
-def _bucket(row: dict) -> Bucket:
-    w = [np.repeat(unpack(x, "<u8"), unpack(r, "<u4")) for x, r in zip(row["w"], row["runs"], strict=True)]
-    context, n = [unpack(x, "<u2") for x in row["ctx"]], [unpack(x, "<u4") for x in row["n"]]
-    sizes = [len(x) for x in w]
-    w, context, n = np.concatenate(w), np.concatenate(context), np.concatenate(n).astype(np.int64)
-    by = np.lexsort((context, w))
-    other = np.append(True, np.diff(w[by]) != 0)
-    new = other | np.append(True, np.diff(context[by]) != 0)
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as hold them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _steps(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=0).astype(np.int32))
+
+
+def _unsteps(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, "<i4").astype(np.int64))
+
+
+def _state(table: pa.Table) -> pa.Table:
+    """A bucket's merged pairs (CORE), their places in the batches (BACK) and its contexts (OWN); documents as they are."""
+    to = table["to"][0].as_py()
+    if to < 0:
+        return table
+    table = table.sort_by("at")
+    rows = table["data"].to_pylist()
+    w, runs, ctx, n, customers, sections = ([unpack(r[i], k) for r in rows] for i, k in enumerate(("<u8", "<u4", "<u8", "<u4", "<u4", "<u4")))
+    sizes, lengths = [len(x) for x in ctx], [len(x) for x in w]
+    every, of = np.unique(np.concatenate(w), return_inverse=True)
+    customers, sections = (np.bincount(of, np.concatenate(x), len(every)).astype(np.int64) for x in (customers, sections))
+    own, ctx, n = np.repeat(of, np.concatenate(runs)), np.concatenate(ctx), np.concatenate(n).astype(np.int64)
+    by = np.lexsort((ctx, own))
+    new = np.ones(len(by), bool)
+    new[1:] = (np.diff(own[by]) != 0) | (np.diff(ctx[by]) != 0)
     heads = np.flatnonzero(new)
     inverse = np.empty(len(by), np.int64)
     inverse[by] = np.cumsum(new) - 1
-    word = (np.cumsum(other) - 1)[heads]
-    c = np.add.reduceat(n[by], heads)
-    return Bucket(c, context[by[heads]], word, np.bincount(word, c).astype(np.int64), inverse, sizes)
+    c, times = (np.bincount(inverse, x, len(heads)).astype(np.int64) for x in (n, n > 0))
+    word, ctx = own[by[heads]], ctx[by[heads]]
+    many = c > 1
+    c_word, dishes = np.bincount(word, c, len(every)), np.bincount(word[c > 0], minlength=len(every))
+    sums = [c.sum(), (c_word > 0).sum(), (c == 1).sum(), (c == 2).sum(), (dishes == 1).sum(), (dishes == 2).sum(), (c > 0).sum()]
+    core = [pack(c), pack(np.bincount(word, minlength=len(every)).astype(np.uint32)), pack(ctx[many]), pack(times[many].astype(np.uint32))]
+    back = [pack(np.asarray(table["at"], np.int64)), pack(np.array(sizes, np.uint32)), pack(np.array(lengths, np.uint32)), _steps(inverse), _steps(of)]
+    return _wire([(to, CORE, to, core, [float(x) for x in sums]), (to, BACK, to, back, None), (to, OWN, to, [pack(every), pack(sections), pack(customers)], None)])
 
 
-def _state(table: pa.Table) -> pa.Table:
-    row = {k: table[k].to_pylist() for k in ("batch", "w", "runs", "ctx", "n")}
-    b = _bucket(row)
-    seen = b.c > 0
-    used, of = np.unique(b.context[seen], return_inverse=True)
-    dishes = np.bincount(b.word[seen], minlength=len(b.c_word))
-    made = (table["bucket"][0].as_py(), row["batch"], row["w"], row["runs"], row["ctx"], row["n"], int(b.c.sum()), int((b.c_word > 0).sum()), int((b.c == 1).sum()), int((b.c == 2).sum()), used.astype(int).tolist(), np.bincount(of, b.c[seen]).astype(int).tolist(), np.bincount(of).tolist(), int((dishes == 1).sum()), int((dishes == 2).sum()))
-    kinds = [pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 4, *[pa.int64()] * 4, pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2, *[pa.int64()] * 2]
-    return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(made, kinds, strict=True)], [x.split()[0] for x in STATE.split(", ")])
+@dataclass
+class Core:
+    """A bucket with the contexts of its sections of several customers: bucket.context counts in `used`."""
+
+    bucket: Bucket
+    many: np.ndarray
+    used: np.ndarray
+    times: np.ndarray
+
+    def messages(self, bucket: int, seatings: list[np.ndarray], buckets: int) -> list[tuple]:
+        """To the owner of each context: the tables of its sections here, less what map steps have told of them."""
+        of = self.bucket.context[self.many]
+        found = [np.bincount(of, t[self.many] - self.times, len(self.used)).astype(np.int64) for t in seatings]
+        return [(to, SENT, bucket, [pack(self.used[x:y]), *[pack(f[x:y]) for f in found]], None) for x, y, to in zip(*_owner(self.used, buckets), strict=True)]
+
+
+def _core(data: list[bytes]) -> Core:
+    c, runs, ctx, times = (unpack(x, k) for x, k in zip(data, ("<i8", "<u4", "<u8", "<u4"), strict=True))
+    word = np.repeat(np.arange(len(runs)), runs)
+    many = np.flatnonzero(c > 1)
+    used, of = np.unique(ctx, return_inverse=True)
+    context = np.zeros(len(c), np.int64)
+    context[many] = of
+    return Core(Bucket(c, context, word, np.bincount(word, c, len(runs)).astype(np.int64), None, []), many, used, times.astype(np.int64))
+
+
+def _first(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                core = _core(row["data"])
+                yield from _wire(core.messages(row["to"], [np.minimum(core.bucket.c, 1)], buckets)).to_batches()
+
+    return run
+
+
+def _tables(own: list[bytes], sent: list[dict], samples: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The tables of a bucket's own contexts in each sample, and the places of each message's contexts."""
+    every, sections = unpack(own[0], "<u8"), unpack(own[1], "<i8")
+    tables, places = [sections.copy() for _ in range(samples)], []
+    for r in sent:
+        places.append(np.searchsorted(every, unpack(r["data"][0], "<u8")))
+        for t, x in zip(tables, r["data"][1:], strict=True):
+            t[places[-1]] += unpack(x, "<i8")
+    return tables, places
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    sent = [r for r in rows if r["kind"] == SENT]
+    (t,), places = _tables(next(r["data"] for r in rows if r["kind"] == OWN), sent, 1)
+    return _wire([(r["at"], TOTAL, r["to"], [pack(t[at])], None) for r, at in zip(sent, places, strict=True)])
 
 
 def sweeps(b: Bucket, bucket: int, totals: Totals, burn: int, samples: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -197,16 +284,20 @@ def sweeps(b: Bucket, bucket: int, totals: Totals, burn: int, samples: int) -> I
         t[many] = seat(b.c[many], (totals.theta1 + d1 * others) * parent, d1 * parent, d1, rng)
 
 
-def _gather(shared, burn: int, samples: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                b = _bucket(row)
-                for s, (t, customers, tables) in enumerate(sweeps(b, row["bucket"], shared.value, burn, samples)):
-                    n = np.bincount(b.context, t)
-                    some = np.flatnonzero(n)
-                    which = np.concatenate([some, [-1, -2]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), s, np.int32)), pa.array(which), pa.array(np.concatenate([n[some], [tables.sum(), customers.sum()]]).astype(np.int64))], ["s", "which", "n"])
+def _told(rows: list[dict], totals: Totals) -> tuple[Core, Totals]:
+    """A group's core, and totals with the tables of its contexts as their owners told them."""
+    parts = sorted((r for r in rows if r["kind"] == TOTAL), key=lambda r: r["at"])
+    t = np.concatenate([np.zeros(0), *[unpack(r["data"][0], "<i8") for r in parts]])
+    return _core(next(r["data"] for r in rows if r["kind"] == CORE)), replace(totals, t=[t])
+
+
+def _gather(totals: Totals, buckets: int, burn: int, samples: int):
+    def run(table: pa.Table) -> pa.Table:
+        core, given = _told(table.to_pylist(), totals)
+        bucket = table["to"][0].as_py()
+        seen = list(sweeps(core.bucket, bucket, given, burn, samples))
+        sums = [float(tables.sum()) for _, _, tables in seen] + [float(customers.sum()) for _, customers, _ in seen]
+        return _wire([*core.messages(bucket, [t for t, _, _ in seen], buckets), (bucket, SUMS, bucket, None, sums)])
 
     return run
 
@@ -218,46 +309,53 @@ def predictive(b: Bucket, t: np.ndarray, customers: np.ndarray, tables: np.ndarr
     return (b.c - totals.d1 * t + (totals.theta1 + totals.d1 * totals.t[s][b.context]) * parent[b.word]) / down
 
 
-def _replies(shared, burn: int, samples: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prior, totals = shared.value
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                b = _bucket(row)
-                p = np.zeros(len(b.c))
-                for s, sample in enumerate(sweeps(b, row["bucket"], prior, burn, samples)):
-                    p += predictive(b, *sample, totals, s) / samples
-                log = np.log10(p).astype("<f4")[b.inverse]
-                count = b.c_word[b.word][b.inverse]
-                cut = np.cumsum([0, *b.sizes]).tolist()
-                for j, x in enumerate(row["batches"]):
-                    part = slice(cut[j], cut[j + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([row["bucket"]], pa.int32()), pa.array([pack(log[part])]), pa.array([pack(count[part].astype(np.int64))])], ["batch", "bucket", "p", "c"])
+def _replies(totals: Totals, burn: int, samples: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows, bucket = table.to_pylist(), table["to"][0].as_py()
+        core, given = _told(rows, totals)
+        b = core.bucket
+        back, own = (next(r["data"] for r in rows if r["kind"] == k) for k in (BACK, OWN))
+        t_own, _ = _tables(own, [r for r in rows if r["kind"] == SENT], samples)
+        del rows, table
+        pairs, per_word = [narrow(b.c)], [b.c_word, unpack(own[2], "<i8"), *t_own]
+        for t, customers, tables in sweeps(b, bucket, given, burn, samples):
+            pairs.append(narrow(t))
+            per_word += [customers.astype(np.int64), tables.astype(np.int64)]
+        del core, given, b, own
+        batches, sizes, lengths = (unpack(x, k) for x, k in zip(back[:3], ("<i8", "<u4", "<u4"), strict=True))
+        inverse, of = narrow(_unsteps(back[3])), narrow(_unsteps(back[4]))
+        cut, cut_of = (np.cumsum([0, *x]).tolist() for x in (sizes, lengths))
+        made = []
+        for j, x in enumerate(batches.tolist()):
+            at, at_word = inverse[cut[j] : cut[j + 1]], of[cut_of[j] : cut_of[j + 1]]
+            made.append((bucket, REPLY, x, [pack(y[at].astype(np.int64)) for y in pairs] + [pack(y[at_word]) for y in per_word], None))
+        return _wire(made)
 
     return run
 
 
-def _summed(tokens: int, types: int):
+def _summed(totals: Totals, samples: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("bucket")
-        keys, train, scores, bases, known, sizes = [], [], [], [], [], []
-        own = table.filter(pc.less(table["bucket"], 0)).to_pylist()
-        answers = table.filter(pc.greater_equal(table["bucket"], 0))
-        if own:
-            log = np.concatenate([unpack(x.as_py(), "<f4") for x in answers["p"]]).astype(float)
-            count = np.concatenate([unpack(x.as_py(), "<i8") for x in answers["c"]])
-            base = np.log10((count + 0.1) / (tokens + 0.1 * (types + 1)))
-            for row in own:
-                at, n = unpack(row["at"], "<u4"), np.array(row["sizes"])
-                first = np.cumsum(n) - n
-                scores.append(np.add.reduceat(log[at], first))
-                bases.append(np.add.reduceat(base[at], first))
-                known.append(np.add.reduceat((count[at] > 0).astype(np.int64), first))
-                sizes.append(n)
-                keys += row["keys"]
-                train += row["train"]
-        whole = lambda x, k: np.concatenate([*x, np.zeros(0)]).astype(k)
-        return pa.table({"key": pa.array(keys, pa.int64()), "train": pa.array(train, pa.bool_()), "n_tokens": whole(sizes, np.int64), "n_known": whole(known, np.int64), "base_score": whole(bases, float), "score": whole(scores, float)})
+        table = table.sort_by("to")
+        rows = table.to_pylist()
+        doc = next(r["data"] for r in rows if r["kind"] == DOCS)
+        answers = [r["data"] for r in rows if r["kind"] == REPLY]
+        del rows
+        got = [np.concatenate([unpack(x[i], "<i8") for x in answers]) for i in range(3 + 4 * samples)]
+        c, t, (c_word, c_own), t_own, seated = got[0], got[1 : 1 + samples], got[1 + samples : 3 + samples], got[3 + samples : 3 + 2 * samples], got[3 + 2 * samples :]
+        keys, null, train, n, at, runs = (unpack(x, k) for x, k in zip(doc, ("<i8", "u1", "u1", "<u4", "<u4", "<u4"), strict=True))
+        n = n.astype(np.int64)
+        first = np.cumsum(n) - n
+        word = np.repeat(np.arange(len(runs)), runs)[at]
+        context = np.append(0, word[:-1])
+        context[first] = 0
+        b = Bucket(c[at], context, word, c_word, at, [])
+        shared = replace(totals, c=c_own, t=t_own)
+        log = np.log10(sum(predictive(b, t[s][at], seated[2 * s], seated[2 * s + 1], shared, s) for s in range(samples)) / samples)
+        count = c_word[word]
+        base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.types + 1)))
+        total = lambda x: np.add.reduceat(x, first)
+        return pa.table({"key": pa.array(keys, mask=null.astype(bool)), "train": pa.array(train.astype(bool)), "n_tokens": n, "n_known": total((count > 0).astype(np.int64)), "base_score": total(base), "score": total(log)})
 
     return run
 
@@ -270,6 +368,34 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _lean(f):
+    """f over a group, after which the worker gives memory back."""
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        del table
+        trim()
+        return out
+
+    return run
+
+
+def _sums(df: DataFrame, n: int) -> list[float]:
+    """The sums of the first n entries of the column sums."""
+    return list(df.agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)) for i in range(n)]).first())
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends; what it gave was written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id", burn: int = 2, samples: int = 3, seed: int = 11, batch_bytes: int = 5 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score, score (log10 probability) of every row of df.
 
@@ -278,35 +404,25 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id",
     spark = df.sparkSession
     shared_dir(spark)
     small_batches(spark)
-    share = spark.sparkContext.broadcast
     own = df.select(F.col(key).cast("long").alias("key"), train.alias("train"), F.col(text).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(8, -(-size // bucket_bytes)))
-    pairs = _kept(own.mapInArrow(_pairs(buckets, batch_bytes), PAIRS), "pairs")
-    requests = pairs.filter("bucket >= 0").select("batch", "bucket", "w", "runs", "ctx", "n")
-    state = _kept(requests.groupBy("bucket").applyInArrow(_state, STATE), "state")
-    sums = state.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice", "w_once", "w_twice")]).first()
-    c, t = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-    for r in state.select(F.explode(F.arrays_zip("c_ctx", "c", "t")).alias("x")).groupBy("x.c_ctx").agg(F.sum("x.c").alias("c"), F.sum("x.t").alias("t")).collect():  # CONTEXTS rows at most
-        c[r["c_ctx"]], t[r["c_ctx"]] = r["c"], r["t"]
-    discount = lambda one, two: min(max(one / max(one + 2 * two, 1), 0.05), 0.95)
-    start = Totals(c, [t], [float(sums["types"])], [float(t.sum())], sums["tokens"], sums["types"], discount(sums["once"], sums["twice"]), discount(sums["w_once"], sums["w_twice"]), seeds=(seed, 0))
-    seats = state.select("bucket", "batches", "w", "runs", "ctx", "n")
-
-    def gathered(given: Totals, rounds: int, seeds: tuple[int, ...]) -> Totals:
-        ts, t0, c0 = [np.zeros(CONTEXTS) for _ in range(rounds)], [0.0] * rounds, [0.0] * rounds
-        counted = seats.mapInArrow(_gather(share(given), burn, rounds), "s int, which int, n long").groupBy("s", "which").agg(F.sum("n").alias("n"))
-        for r in counted.collect():  # samples * (CONTEXTS + 2) rows at most
-            if r["which"] >= 0:
-                ts[r["s"]][r["which"]] = r["n"]
-            else:
-                (t0 if r["which"] == -1 else c0)[r["s"]] = float(r["n"])
-        return Totals(c, ts, t0, c0, given.tokens, given.types, given.d1, given.d0, given.theta1, given.theta0, seeds)
-
-    prior = gathered(start, 1, (seed, 1))
-    replies = seats.mapInArrow(_replies(share((prior, gathered(prior, samples, (seed, 2)))), burn, samples), "batch long, bucket int, p binary, c binary")
-    none = F.lit(None)
-    docs = pairs.filter("bucket < 0").select("batch", "bucket", none.cast("binary").alias("p"), none.cast("binary").alias("c"), "keys", "train", "sizes", "at")
-    both = docs.unionByName(replies, allowMissingColumns=True)
-    out = both.groupBy("batch").applyInArrow(_summed(start.tokens, start.types), "key long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    grouped = lambda *tables: reduce(DataFrame.unionByName, tables).groupBy("to")
+    with _shuffles_freed(spark):
+        state = _kept(own.mapInArrow(_pairs(buckets, batch_bytes), WIRE).groupBy("to").applyInArrow(_lean(_state), WIRE), "state")
+        core, back, contexts, docs = (state.filter(F.col("kind") == k) for k in (CORE, BACK, OWN, DOCS))
+        tokens, types, once, twice, w_once, w_twice, pairs = _sums(core, 7)
+        discount = lambda one, two: min(max(one / max(one + 2 * two, 1), 0.05), 0.95)
+        none = np.zeros(0)
+        start = Totals(none, [], [types], [pairs], int(tokens), int(types), discount(once, twice), discount(w_once, w_twice), seeds=(seed, 0))
+        told = grouped(contexts, core.mapInArrow(_first(buckets), WIRE)).applyInArrow(_lean(_answer), WIRE)
+        sent = _kept(grouped(core, told).applyInArrow(_lean(_gather(start, buckets, burn, 1)), WIRE), "prior")
+        t0, c0 = _sums(sent.filter(F.col("kind") == SUMS), 2)
+        prior = replace(start, t0=[t0], c0=[c0], seeds=(seed, 1))
+        told = _kept(grouped(contexts, sent.filter(F.col("kind") == SENT)).applyInArrow(_lean(_answer), WIRE), "told")
+        sent = _kept(grouped(core, told).applyInArrow(_lean(_gather(prior, buckets, burn, samples)), WIRE), "samples")
+    sums = _sums(sent.filter(F.col("kind") == SUMS), 2 * samples)
+    last = replace(prior, t0=sums[:samples], c0=sums[samples:])
+    replies = grouped(core, back, contexts, told, sent.filter(F.col("kind") == SENT)).applyInArrow(_lean(_replies(prior, burn, samples)), WIRE)
+    out = docs.unionByName(replies).groupBy("at").applyInArrow(_lean(_summed(last, samples)), "key long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("key", "train", "n_tokens", "n_known", F.lit(start.tokens).cast("long").alias("train_tokens"), "base_score", "score")

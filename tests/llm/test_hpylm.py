@@ -73,3 +73,15 @@ def test_beats_the_base_on_held_out_documents(spark):
     assert H.score(docs.filter("false"), F.lit(True)).count() == 0
     none = H.score(docs.limit(3), F.lit(False)).collect()
     assert all(abs(r.score) < 1e-6 and abs(r.base_score) < 1e-6 for r in none)
+
+
+def test_context_is_the_whole_word_before(spark):
+    # the, he and she end alike, but tell apart what follows
+    after = {"the": "sun", "he": "ran", "she": "sang"}
+    rows = [(i, f"{w} {after[w]}", True) for i, w in enumerate(list(after) * 40)]
+    rows += [(1000 + 10 * i + j, f"{w} {x}", False) for i, w in enumerate(after) for j, x in enumerate(after.values())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    for batch, bucket in ((1 << 20, 1 << 20), (200, 100)):
+        got = {r.key: r.score for r in H.score(df.repartition(2), F.col("train"), batch_bytes=batch, bucket_bytes=bucket).collect()}
+        for i in range(3):
+            assert all(got[1000 + 11 * i] > got[1000 + 10 * i + j] + 1 for j in range(3) if j != i)
