@@ -3,7 +3,8 @@
 A url that a rule fits has that rule's verdict, the longest rule winning. For all others hosts are judged: links in the
 pages give weighted edges between hosts; personalised PageRank spreads trust along them from the hosts whose pages
 allow rules fit, and, along the reversed edges, distrust from the hosts whose pages block rules fit (who links to bad
-hosts is suspect). Each host's distrust is held against its trust and against its share of all pages.
+hosts is suspect). Each host's distrust is held against its trust and against its share of all pages; where a multiple
+of that share may be out of reach (a host with many pages, or block rules that fit most pages), odds are held instead.
 Everything is DataFrame work: ranks meet edges in joins, and each step is cut by checkpoint().
 
 Defined results: a null url, or one without `://`, has an empty host and path, which no rule fits and no link
@@ -73,7 +74,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float,
 
 def judge(df: DataFrame, url: str = "url", html: str = "html", rules: list[tuple[str, str, str]] = RULES, damping: float = 0.85, excess: float = 2.0, tolerance: float = 1e-6, most: int = 60) -> DataFrame:
     """df with host, path, rule and verdict (allow or block). A host is blocked if its distrust is above its trust and
-    is at least `excess` times its share of all pages with a host."""
+    is at least `excess` times its share of all pages with a host. Where that is over a half, or block rules fit more than
+    one in `excess` pages, it is also blocked if the odds of its distrust are at least `excess` times those of its share of
+    the pages that no block rule fits."""
     shared_dir(df.sparkSession)
     rule, verdict = ruled(rules)
     made = {"host", "path", "rule", "verdict"}
@@ -87,8 +90,12 @@ def judge(df: DataFrame, url: str = "url", html: str = "html", rules: list[tuple
     ranks = [spread(e, hosts.filter(F.col(c) > 0).select("host", (F.col(c) / total).alias("s")), damping, tolerance, most).withColumnRenamed("rank", name) for name, (e, c, total) in ways.items() if total]
     ranked = reduce(lambda a, b: a.join(b, "host", "left"), ranks, hosts)
     trust, distrust = (F.coalesce(F.col(x), F.lit(0.0)) if x in ranked.columns else F.lit(0.0) for x in ways)
+    share = F.col("n") / (n or 1.0)
+    clean = (F.col("n") - F.col("bad")) / ((n - bad) or 1.0)
+    plain = F.round(distrust - excess * share, 9) >= 0
+    odds = ((excess * share > 0.5) | F.lit(excess * bad > n)) & (F.round(distrust * (1 - clean) - excess * clean * (1 - distrust), 9) >= 0)
     # the blocked hosts are counted: few are broadcast, many are dealt with salt, so that a host with many pages spreads over tasks
-    blocked = ranked.filter((F.round(distrust - trust, 9) > 0) & (F.round(distrust - excess * F.col("n") / (n or 1.0), 9) >= 0)).select("host", F.lit(True).alias("_bad")).checkpoint()
+    blocked = ranked.filter((F.round(distrust - trust, 9) > 0) & (plain | odds)).select("host", F.lit(True).alias("_bad")).checkpoint()
     if blocked.count() <= FEW_HOSTS:
         met = pages.join(F.broadcast(blocked), "host", "left")
     else:

@@ -70,3 +70,17 @@ def test_driver_pages(spark):
     df = spark.createDataFrame([(r.page_id, r.url, r.html) for r in rows], "page_id long, url string, html string")
     got = sorted(U.judge(df).collect(), key=lambda r: r.page_id)
     assert [(g.host, g.path, g.rule, g.verdict) for g in got] == brute([(r.url, r.html) for r in sorted(rows)])
+
+
+def test_a_host_with_many_pages_can_be_blocked(spark):
+    def verdicts(rows):
+        df = spark.createDataFrame(rows, "url string, html string")
+        return {(r.host, r.verdict) for r in U.judge(df).filter("rule is null").collect()}
+
+    # a third of all pages, every hit of a block rule, linked by one farm host
+    rows = [("http://hot.net/de/1", "")] * 2 + [("http://hot.net/x", "")] * 18 + [("http://farm.io/", "<a href='http://hot.net/x'>")] + [(f"http://h{i}.io/", "") for i in range(39)]
+    got = verdicts(rows)
+    assert ("hot.net", "block") in got and all(v == "allow" for h, v in got if h.startswith("h") and h != "hot.net")
+    # most of all pages fit block rules, without links
+    rows = [(f"http://b{i % 3}.net/de/{i}", "") for i in range(60)] + [(f"http://b{i}.net/x", "") for i in range(3)] + [(f"http://h{i}.io/", "") for i in range(20)]
+    assert verdicts(rows) == {(f"b{i}.net", "block") for i in range(3)} | {(f"h{i}.io", "allow") for i in range(20)}
