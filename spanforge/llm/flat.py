@@ -27,11 +27,14 @@ HEAD = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, else (as in tests) one of our own."""
+    """Make sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir; where it is unset, one of our own on a
+    local master (as in tests), and an error on a cluster, whose machines share no folder that we could know."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not folder:
         import tempfile
 

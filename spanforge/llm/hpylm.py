@@ -1,11 +1,13 @@
 """Scoring of texts by a hierarchical Pitman-Yor language model.
 
 Tokens are lower-cased (A-Z) words and an end token after each text. A token's context is the whole word before it
-(or a text's start), so there are as many context restaurants as words; they share one parent over all words, whose
-base is uniform over the training words and one unknown word.
+(or a text's start), so there are as many context restaurants as words. Contexts whose words end alike (in their last
+two bytes) share a parent, a class restaurant; all classes share the root, a restaurant without context, whose base is
+uniform over the training words and one unknown word. A word's key carries its ending, so a context names its class.
 
-Words are dealt to buckets. A bucket holds a word in all contexts, so the parent's part of a word is local to it, and
-it owns the restaurants of the contexts that its words are. Map steps send each bucket their distinct (word, context)
+Words are dealt to buckets. A bucket holds a word in all contexts, so the classes' and the root's parts of a word are
+local to it, and it owns the restaurants of the contexts that its words are. What the few classes (2**16 at most) hold
+over all words goes through the driver. Map steps send each bucket their distinct (word, context)
 pairs with counts, and of each word the customers and sections that its context has there. A section of one customer
 has one table whatever happens, so an owner knows the tables of its contexts up to the sections of several customers;
 only of those do buckets send tables to owners, and get the contexts' totals back. A Gibbs sweep takes each section
@@ -34,16 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flat import U64, chunks, mix, shared_dir, small_batches, trim, words
+from .flat import U64, Words, chunks, mix, shared_dir, small_batches, trim, words
 
-#: Bits of a word's hash that tell words apart.
-KEPT = U64((1 << 64) - (1 << 8))
-#: Room for contexts in the arrays of a small model that is held whole.
-CONTEXTS = 1 << 16
+#: Bits of a word's hash that tell words apart, beside the word's last two bytes in the lowest bits.
+ENDING = U64((1 << 16) - 1)
+KEPT = ~ENDING
 END = mix(np.array([0x656E64], np.uint64))[0] & KEPT
 #: Rows between steps: kind, the bucket (negative for documents) they go to, the bucket or batch they come from or go back to.
 WIRE = "to int, kind int, at long, data array<binary>, sums array<double>"
-PAIRS, DOCS, CORE, BACK, OWN, SENT, TOTAL, SUMS, REPLY = range(9)
+PAIRS, DOCS, CORE, BACK, OWN, SENT, TOTAL, SUMS, REPLY, CLASSES = range(10)
 #: Customers of a section that are seated one by one, and the part of those seated that later come at once.
 SINGLY, BLOCK = 48, 48
 
@@ -59,16 +60,22 @@ def unpack(b: bytes, kind: str) -> np.ndarray:
 
 @dataclass
 class Totals:
-    """What restaurants share: c and tables of every context, tables and customers of the parent, sizes and parameters."""
+    """What restaurants share. c, t: customers of every context, tables of every context by sample; classes (sorted), with
+    c1, t1 their customers and tables by sample; c0, t0: those of the root; sizes and parameters of the three levels."""
 
     c: np.ndarray
     t: list[np.ndarray]
-    t0: list[float]
+    classes: np.ndarray
+    c1: list[np.ndarray]
+    t1: list[np.ndarray]
     c0: list[float]
+    t0: list[float]
     tokens: int
     types: int
+    d2: float
     d1: float
     d0: float
+    theta2: float = 1.0
     theta1: float = 1.0
     theta0: float = 1.0
     seeds: tuple[int, ...] = field(default=(1,))
@@ -116,6 +123,13 @@ def _owner(w: np.ndarray, buckets: int) -> tuple[list[int], list[int], list[int]
     return heads.tolist(), np.append(heads, len(w))[1:].tolist(), bucket[heads].tolist()
 
 
+def _endings(w: Words) -> np.ndarray:
+    """The last two bytes of each word, the last one lowest; a word of one byte has only that."""
+    before = w.buf[np.maximum(w.ends - 2, 0)].astype(np.uint64) if len(w.ends) else np.zeros(0, np.uint64)
+    last = w.buf[w.ends - 1].astype(np.uint64) if len(w.ends) else before
+    return last | np.where(w.ends - w.starts > 1, before << U64(8), U64(0))
+
+
 def _pairs(buckets: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, table in enumerate(chunks(batches, "text", limit)):
@@ -125,7 +139,7 @@ def _pairs(buckets: int, limit: int):
             n = w.counts + 1
             where = np.arange(len(w.starts)) + np.repeat(np.arange(len(train)), w.counts)
             token = np.full(len(w.starts) + len(train), END, np.uint64)
-            token[where] = w.hashes() & KEPT
+            token[where] = (w.hashes() & KEPT) | _endings(w)
             context = np.zeros(len(token) + 1, np.uint64)
             context[where + 1] = token[where]
             context = context[:-1]
@@ -149,7 +163,7 @@ def _pairs(buckets: int, limit: int):
                 own = slice(first[x], first[y])
                 made.append((bucket, PAIRS, batch, [pack(every[x:y]), pack(runs[x:y].astype(np.uint32)), pack(pc[own]), pack(count[own].astype(np.uint32)), pack(customers[x:y].astype(np.uint32)), pack(sections[x:y].astype(np.uint32))], None))
             key = table["key"].combine_chunks()
-            made.append((-1 - batch % buckets, DOCS, batch, [pack(np.asarray(key.fill_null(0), np.int64)), pack(np.asarray(key.is_null().to_numpy(zero_copy_only=False), np.uint8)), pack(train.astype(np.uint8)), pack(n.astype(np.uint32)), pack(pair), pack(runs.astype(np.uint32))], None))
+            made.append((-1 - batch % buckets, DOCS, batch, [pack(np.asarray(key.fill_null(0), np.int64)), pack(np.asarray(key.is_null().to_numpy(zero_copy_only=False), np.uint8)), pack(train.astype(np.uint8)), pack(n.astype(np.uint32)), pack((token & ENDING).astype(np.uint16)), pack(pair), pack(runs.astype(np.uint32))], None))
             yield from _wire(made).to_batches()
 
     return run
@@ -157,14 +171,22 @@ def _pairs(buckets: int, limit: int):
 
 @dataclass
 class Bucket:
-    """The distinct (word, context) pairs of a bucket, sorted; c: training count; word: index of the pair's word."""
+    """The distinct (word, context) pairs of a bucket, sorted. Of a pair, c: training count, context: its index among those
+    that Totals.t holds, section: the index of its (word, class). Of a section, word: its word's index, kind: its class.
+    c_word: each word's training count."""
 
     c: np.ndarray
     context: np.ndarray
+    section: np.ndarray
     word: np.ndarray
+    kind: np.ndarray
     c_word: np.ndarray
-    inverse: np.ndarray
-    sizes: list[int]
+
+    @classmethod
+    def of(cls, c: np.ndarray, context: np.ndarray, word: np.ndarray, kind: np.ndarray, words: int) -> Bucket:
+        """From each pair's count, context, word and class."""
+        both, section = np.unique(word.astype(np.uint64) << U64(16) | kind.astype(np.uint64), return_inverse=True)
+        return cls(c, context, section, (both >> U64(16)).astype(np.int64), (both & ENDING).astype(np.int64), np.bincount(word, c, words).astype(np.int64))
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -201,11 +223,21 @@ def _state(table: pa.Table) -> pa.Table:
     c, times = (np.bincount(inverse, x, len(heads)).astype(np.int64) for x in (n, n > 0))
     word, ctx = own[by[heads]], ctx[by[heads]]
     many = c > 1
-    c_word, dishes = np.bincount(word, c, len(every)), np.bincount(word[c > 0], minlength=len(every))
-    sums = [c.sum(), (c_word > 0).sum(), (c == 1).sum(), (c == 2).sum(), (dishes == 1).sum(), (dishes == 2).sum(), (c > 0).sum()]
-    core = [pack(c), pack(np.bincount(word, minlength=len(every)).astype(np.uint32)), pack(ctx[many]), pack(times[many].astype(np.uint32))]
+    kind = ctx & ENDING
+    b = Bucket.of(c, None, word, kind, len(every))
+    met, spread = np.bincount(b.section, c > 0, len(b.word)), np.bincount(b.word, np.bincount(b.section, c > 0, len(b.word)) > 0, len(every))
+    count = lambda x: [int((x == 1).sum()), int((x == 2).sum())]
+    sums = [c.sum(), (b.c_word > 0).sum(), *count(c), *count(met), *count(spread), (met > 0).sum()]
+    core = [pack(c), pack(np.bincount(word, minlength=len(every)).astype(np.uint32)), pack(kind.astype(np.uint16)), pack(ctx[many]), pack(times[many].astype(np.uint32))]
     back = [pack(np.asarray(table["at"], np.int64)), pack(np.array(sizes, np.uint32)), pack(np.array(lengths, np.uint32)), _steps(inverse), _steps(of)]
-    return _wire([(to, CORE, to, core, [float(x) for x in sums]), (to, BACK, to, back, None), (to, OWN, to, [pack(every), pack(sections), pack(customers)], None)])
+    made = [(to, CORE, to, core, [float(x) for x in sums]), (to, BACK, to, back, None), (to, OWN, to, [pack(every), pack(sections), pack(customers)], None)]
+    return _wire([*made, (to, CLASSES, to, None, _by_class(b.kind, met, met > 0))])
+
+
+def _by_class(kind: np.ndarray, *values: np.ndarray) -> list[float]:
+    """Rows, one after the other, of each class and the sums of its sections' values."""
+    some, of = np.unique(kind, return_inverse=True)
+    return np.stack([some, *[np.bincount(of, x, len(some)) for x in values]], 1).astype(float).ravel().tolist()
 
 
 @dataclass
@@ -225,13 +257,12 @@ class Core:
 
 
 def _core(data: list[bytes]) -> Core:
-    c, runs, ctx, times = (unpack(x, k) for x, k in zip(data, ("<i8", "<u4", "<u8", "<u4"), strict=True))
-    word = np.repeat(np.arange(len(runs)), runs)
+    c, runs, kind, ctx, times = (unpack(x, k) for x, k in zip(data, ("<i8", "<u4", "<u2", "<u8", "<u4"), strict=True))
     many = np.flatnonzero(c > 1)
     used, of = np.unique(ctx, return_inverse=True)
     context = np.zeros(len(c), np.int64)
     context[many] = of
-    return Core(Bucket(c, context, word, np.bincount(word, c, len(runs)).astype(np.int64), None, []), many, used, times.astype(np.int64))
+    return Core(Bucket.of(c, context, np.repeat(np.arange(len(runs)), runs), kind, len(runs)), many, used, times.astype(np.int64))
 
 
 def _first(buckets: int):
@@ -262,26 +293,61 @@ def _answer(table: pa.Table) -> pa.Table:
     return _wire([(r["at"], TOTAL, r["to"], [pack(t[at])], None) for r, at in zip(sent, places, strict=True)])
 
 
-def sweeps(b: Bucket, bucket: int, totals: Totals, burn: int, samples: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """After burn sweeps, samples times: the tables of each pair, each word's customers at the parent, its tables there."""
+@dataclass
+class Seating:
+    """One sample: t, the tables of each pair; c1 and t1, customers and tables of each section; c0 and t0, of each word at the root."""
+
+    t: np.ndarray
+    c1: np.ndarray
+    t1: np.ndarray
+    c0: np.ndarray
+    t0: np.ndarray
+
+
+def sweeps(b: Bucket, bucket: int, totals: Totals, burn: int, samples: int) -> Iterator[Seating]:
+    """After burn sweeps, samples times: the seating of a bucket."""
     rng = np.random.default_rng([*totals.seeds, bucket])
-    d1, d0 = totals.d1, totals.d0
-    t = np.minimum(b.c, 1).astype(float)
-    many = np.flatnonzero(b.c > 1)
-    t_context, open0 = totals.t[0], totals.theta0 + d0 * totals.t0[0]
+    d2, d1, d0 = totals.d2, totals.d1, totals.d0
+    at = np.searchsorted(totals.classes, b.kind)
+    c_class, t_class = (np.append(x[0], 0.0)[at] for x in (totals.c1, totals.t1))  # a class without customers has no row
+    open0, down0 = (totals.theta0 + d0 * totals.t0[0]) * totals.base, totals.theta0 + totals.c0[0]
+    t, many = np.minimum(b.c, 1).astype(float), np.flatnonzero(b.c > 1)
+    own, context = b.section[many], totals.t[0][b.context[many]]
+    c1 = np.bincount(b.section, t, len(b.word))
+    t1 = np.minimum(c1, 1)
+    c0 = np.bincount(b.word, t1, len(b.c_word))
+    t0 = np.minimum(c0, 1)
+
+    def less(total: np.ndarray, tables: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of a dish when part of its customers are taken out."""
+        rest = np.maximum(total - part, 0)
+        return rest, np.minimum(tables, rest)
+
+    def root(rest: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (rest - d0 * tables + open0) / down0
+
     for sweep in range(burn + samples):
-        customers = np.bincount(b.word, t, minlength=len(b.c_word))
-        some = np.flatnonzero(customers > 0)
-        tables = np.zeros(len(customers))
-        tables[some] = seat(customers[some].astype(np.int64), np.full(len(some), open0 * totals.base), np.full(len(some), d0 * totals.base), d0, rng)
+        some = np.flatnonzero(c1 > 0)
+        parent = root(*less(c0[b.word[some]], t0[b.word[some]], t1[some]))
+        others = np.maximum(t_class[some] - t1[some], 0)
+        t1 = t1.copy()
+        t1[some] = seat(c1[some].astype(np.int64), (totals.theta1 + d1 * others) * parent, d1 * parent, d1, rng)
+        c0 = np.bincount(b.word, t1, len(b.c_word))
+        some = np.flatnonzero(c0 > 0)
+        t0 = np.zeros(len(c0))
+        t0[some] = seat(c0[some].astype(np.int64), np.full(len(some), open0), np.full(len(some), d0 * totals.base), d0, rng)
         if sweep >= burn:
-            yield t, customers, tables
-        rest = customers[b.word[many]] - t[many]
-        tables_rest = np.where(rest > 0, np.minimum(tables[b.word[many]], rest), 0)
-        parent = (rest - d0 * tables_rest + open0 * totals.base) / (totals.theta0 + totals.c0[0])
-        others = np.maximum(t_context[b.context[many]] - t[many], 0)
+            yield Seating(t, c1, t1, c0, t0)
+        if sweep + 1 == burn + samples:
+            return
+        rest, tables = less(c1[own], t1[own], t[many])
+        gone = t1[own] - tables
+        over = root(*less(c0[b.word[own]], t0[b.word[own]], gone))
+        parent = (rest - d1 * tables + (totals.theta1 + d1 * np.maximum(t_class[own] - gone, 0)) * over) / (totals.theta1 + np.maximum(c_class[own] - t[many], rest))
+        others = np.maximum(context - t[many], 0)
         t = t.copy()
-        t[many] = seat(b.c[many], (totals.theta1 + d1 * others) * parent, d1 * parent, d1, rng)
+        t[many] = seat(b.c[many], (totals.theta2 + d2 * others) * parent, d2 * parent, d2, rng)
+        c1 = np.bincount(b.section, t, len(b.word))
 
 
 def _told(rows: list[dict], totals: Totals) -> tuple[Core, Totals]:
@@ -296,40 +362,50 @@ def _gather(totals: Totals, buckets: int, burn: int, samples: int):
         core, given = _told(table.to_pylist(), totals)
         bucket = table["to"][0].as_py()
         seen = list(sweeps(core.bucket, bucket, given, burn, samples))
-        sums = [float(tables.sum()) for _, _, tables in seen] + [float(customers.sum()) for _, customers, _ in seen]
-        return _wire([*core.messages(bucket, [t for t, _, _ in seen], buckets), (bucket, SUMS, bucket, None, sums)])
+        sums = [float(x.c0.sum()) for x in seen] + [float(x.t0.sum()) for x in seen]
+        classes = _by_class(core.bucket.kind, *[x.c1 for x in seen], *[x.t1 for x in seen])
+        return _wire([*core.messages(bucket, [x.t for x in seen], buckets), (bucket, SUMS, bucket, None, sums), (bucket, CLASSES, bucket, None, classes)])
 
     return run
 
 
-def predictive(b: Bucket, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, totals: Totals, s: int) -> np.ndarray:
-    """Each pair's probability under one sample of the seating."""
-    parent = (customers - totals.d0 * tables + (totals.theta0 + totals.d0 * totals.t0[s]) * totals.base) / (totals.theta0 + totals.c0[s])
-    down = totals.theta1 + totals.c[b.context]
-    return (b.c - totals.d1 * t + (totals.theta1 + totals.d1 * totals.t[s][b.context]) * parent[b.word]) / down
+def predictive(c, t, context, c1, t1, at, c0, t0, totals: Totals, s: int) -> np.ndarray:
+    """The probability of tokens under sample s: customers and tables of their pair, section and word, the index of their
+    context and the place of their class in totals."""
+    root = (c0 - totals.d0 * t0 + (totals.theta0 + totals.d0 * totals.t0[s]) * totals.base) / (totals.theta0 + totals.c0[s])
+    c_class, t_class = (np.append(x[s], 0.0)[at] for x in (totals.c1, totals.t1))
+    middle = (c1 - totals.d1 * t1 + (totals.theta1 + totals.d1 * t_class) * root) / (totals.theta1 + c_class)
+    return (c - totals.d2 * t + (totals.theta2 + totals.d2 * totals.t[s][context]) * middle) / (totals.theta2 + totals.c[context])
 
 
 def _replies(totals: Totals, burn: int, samples: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows, bucket = table.to_pylist(), table["to"][0].as_py()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        bucket = rows[0]["to"]
         core, given = _told(rows, totals)
         b = core.bucket
         back, own = (next(r["data"] for r in rows if r["kind"] == k) for k in (BACK, OWN))
         t_own, _ = _tables(own, [r for r in rows if r["kind"] == SENT], samples)
-        del rows, table
-        pairs, per_word = [narrow(b.c)], [b.c_word, unpack(own[2], "<i8"), *t_own]
-        for t, customers, tables in sweeps(b, bucket, given, burn, samples):
-            pairs.append(narrow(t))
-            per_word += [customers.astype(np.int64), tables.astype(np.int64)]
-        del core, given, b, own
-        batches, sizes, lengths = (unpack(x, k) for x, k in zip(back[:3], ("<i8", "<u4", "<u4"), strict=True))
+        del rows
+        per_pair, per_section, per_word = [narrow(b.c)], [], [b.c_word, unpack(own[2], "<i8"), *t_own]
+        for x in sweeps(b, bucket, given, burn, samples):
+            per_pair.append(narrow(x.t))
+            per_section += [narrow(x.c1), narrow(x.t1)]
+            per_word += [x.c0.astype(np.int64), x.t0.astype(np.int64)]
+        section = narrow(b.section)
+        del core, given, b, own, x
+        sources, sizes, lengths = (unpack(x, k) for x, k in zip(back[:3], ("<i8", "<u4", "<u4"), strict=True))
         inverse, of = narrow(_unsteps(back[3])), narrow(_unsteps(back[4]))
+        del back
         cut, cut_of = (np.cumsum([0, *x]).tolist() for x in (sizes, lengths))
-        made = []
-        for j, x in enumerate(batches.tolist()):
+        for j, x in enumerate(sources.tolist()):
             at, at_word = inverse[cut[j] : cut[j + 1]], of[cut_of[j] : cut_of[j + 1]]
-            made.append((bucket, REPLY, x, [pack(y[at].astype(np.int64)) for y in pairs] + [pack(y[at_word]) for y in per_word], None))
-        return _wire(made)
+            at_section = section[at]
+            # values of a kind lie behind each other, so that they are packed at once
+            data = [pack(np.concatenate([y[at] for y in per_pair] + [y[at_section] for y in per_section]).astype(np.uint32)), pack(np.concatenate([y[at_word] for y in per_word]).astype(np.uint64))]
+            yield from _wire([(bucket, REPLY, x, data, None)]).to_batches()
+        del inverse, of, section, per_pair, per_section, per_word
+        trim()
 
     return run
 
@@ -341,33 +417,44 @@ def _summed(totals: Totals, samples: int):
         doc = next(r["data"] for r in rows if r["kind"] == DOCS)
         answers = [r["data"] for r in rows if r["kind"] == REPLY]
         del rows
-        got = [np.concatenate([unpack(x[i], "<i8") for x in answers]) for i in range(3 + 4 * samples)]
-        c, t, (c_word, c_own), t_own, seated = got[0], got[1 : 1 + samples], got[1 + samples : 3 + samples], got[3 + samples : 3 + 2 * samples], got[3 + 2 * samples :]
-        keys, null, train, n, at, runs = (unpack(x, k) for x, k in zip(doc, ("<i8", "u1", "u1", "<u4", "<u4", "<u4"), strict=True))
+        take = lambda i, kind, n: np.concatenate([unpack(x[i], kind).reshape(n, -1) for x in answers], 1)
+        of_pair, of_word = take(0, "<u4", 1 + 3 * samples), take(1, "<u8", 2 + 3 * samples).astype(np.int64)
+        del answers
+        keys, null, train, n, ending, at, runs = (unpack(x, k) for x, k in zip(doc, ("<i8", "u1", "u1", "<u4", "<u2", "<u4", "<u4"), strict=True))
         n = n.astype(np.int64)
         first = np.cumsum(n) - n
         word = np.repeat(np.arange(len(runs)), runs)[at]
         context = np.append(0, word[:-1])
         context[first] = 0
-        b = Bucket(c[at], context, word, c_word, at, [])
-        shared = replace(totals, c=c_own, t=t_own)
-        log = np.log10(sum(predictive(b, t[s][at], seated[2 * s], seated[2 * s + 1], shared, s) for s in range(samples)) / samples)
-        count = c_word[word]
+        place = np.append(0, ending[:-1])
+        place[first] = 0
+        place = np.searchsorted(totals.classes, place)
+        shared = replace(totals, c=of_word[1], t=list(of_word[2 : 2 + samples]))
+        total = 0.0
+        for s in range(samples):
+            t, (c1, t1), (c0, t0) = of_pair[1 + s], of_pair[1 + samples + 2 * s :][:2], of_word[2 + samples + 2 * s :][:2]
+            total = total + predictive(of_pair[0][at], t[at], context, c1[at], t1[at], place, c0[word], t0[word], shared, s)
+        log = np.log10(total / samples)
+        count = of_word[0][word]
         base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.types + 1)))
-        total = lambda x: np.add.reduceat(x, first)
-        return pa.table({"key": pa.array(keys, mask=null.astype(bool)), "train": pa.array(train.astype(bool)), "n_tokens": n, "n_known": total((count > 0).astype(np.int64)), "base_score": total(base), "score": total(log)})
+        summed = lambda x: np.add.reduceat(x, first)
+        return pa.table({"key": pa.array(keys, mask=null.astype(bool)), "train": pa.array(train.astype(bool)), "n_tokens": n, "n_known": summed((count > 0).astype(np.int64)), "base_score": summed(base), "score": summed(log)})
 
     return run
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def _kept(df: DataFrame, path: str) -> DataFrame:
     """df written to the shared folder and read again."""
-    context = df.sparkSession.sparkContext
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/hpylm-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _lean(f):
     """f over a group, after which the worker gives memory back."""
     def run(table: pa.Table) -> pa.Table:
@@ -396,8 +483,18 @@ def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id", burn: int = 2, samples: int = 3, seed: int = 11, batch_bytes: int = 5 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """key, train, n_tokens, n_known, train_tokens, base_score, score (log10 probability) of every row of df.
+def _class_sums(df: DataFrame, values: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The classes of the CLASSES rows of df, sorted, and each one's sums."""
+    width = values + 1
+    rows = df.filter((F.col("kind") == CLASSES) & (F.size("sums") > 0)).select("sums", F.expr(f"sequence(0, size(sums) div {width} - 1)").alias("i"))
+    x = rows.select(F.explode(F.transform("i", lambda i: F.slice("sums", i * width + 1, F.lit(width)))).alias("x"))
+    got = x.groupBy(F.col("x")[0].alias("class")).agg(*[F.sum(F.col("x")[i + 1]).alias(f"s{i}") for i in range(values)]).collect()  # 2**16 rows at most
+    table = np.array(sorted(map(tuple, got)), float).reshape(-1, width)
+    return table[:, 0].astype(np.int64), [table[:, i + 1].copy() for i in range(values)]
+
+
+def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id", burn: int = 2, samples: int = 3, seed: int = 11, batch_bytes: int = 5 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """key, train, n_tokens, n_known, train_tokens, base_score, score (log10 probability), perplexity (per token) of every row of df.
 
     train: which rows are learned from. batch_bytes and bucket_bytes bound the text behind a map step and a bucket.
     """
@@ -407,22 +504,28 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id",
     own = df.select(F.col(key).cast("long").alias("key"), train.alias("train"), F.col(text).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(8, -(-size // bucket_bytes)))
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/hpylm-{uuid.uuid4().hex}"
     grouped = lambda *tables: reduce(DataFrame.unionByName, tables).groupBy("to")
     with _shuffles_freed(spark):
-        state = _kept(own.mapInArrow(_pairs(buckets, batch_bytes), WIRE).groupBy("to").applyInArrow(_lean(_state), WIRE), "state")
+        state = _kept(own.mapInArrow(_pairs(buckets, batch_bytes), WIRE).groupBy("to").applyInArrow(_lean(_state), WIRE), f"{folder}/state")
         core, back, contexts, docs = (state.filter(F.col("kind") == k) for k in (CORE, BACK, OWN, DOCS))
-        tokens, types, once, twice, w_once, w_twice, pairs = _sums(core, 7)
+        tokens, types, *ones = _sums(core, 9)
         discount = lambda one, two: min(max(one / max(one + 2 * two, 1), 0.05), 0.95)
-        none = np.zeros(0)
-        start = Totals(none, [], [types], [pairs], int(tokens), int(types), discount(once, twice), discount(w_once, w_twice), seeds=(seed, 0))
+        d2, d1, d0 = (discount(*ones[i : i + 2]) for i in (0, 2, 4))
+        classes, (c1, t1) = _class_sums(state, 2)
+        start = Totals(np.zeros(0), [], classes, [c1], [t1], [ones[6]], [types], int(tokens), int(types), d2, d1, d0, seeds=(seed, 0))
         told = grouped(contexts, core.mapInArrow(_first(buckets), WIRE)).applyInArrow(_lean(_answer), WIRE)
-        sent = _kept(grouped(core, told).applyInArrow(_lean(_gather(start, buckets, burn, 1)), WIRE), "prior")
-        t0, c0 = _sums(sent.filter(F.col("kind") == SUMS), 2)
-        prior = replace(start, t0=[t0], c0=[c0], seeds=(seed, 1))
-        told = _kept(grouped(contexts, sent.filter(F.col("kind") == SENT)).applyInArrow(_lean(_answer), WIRE), "told")
-        sent = _kept(grouped(core, told).applyInArrow(_lean(_gather(prior, buckets, burn, samples)), WIRE), "samples")
+        sent = _kept(grouped(core, told).applyInArrow(_lean(_gather(start, buckets, burn, 1)), WIRE), f"{folder}/prior")
+        c0, t0 = _sums(sent.filter(F.col("kind") == SUMS), 2)
+        classes, (c1, t1) = _class_sums(sent, 2)
+        prior = replace(start, classes=classes, c1=[c1], t1=[t1], c0=[c0], t0=[t0], seeds=(seed, 1))
+        told = _kept(grouped(contexts, sent.filter(F.col("kind") == SENT)).applyInArrow(_lean(_answer), WIRE), f"{folder}/told")
+        sent = _kept(grouped(core, told).applyInArrow(_lean(_gather(prior, buckets, burn, samples)), WIRE), f"{folder}/samples")
+    _removed(spark, f"{folder}/prior")
     sums = _sums(sent.filter(F.col("kind") == SUMS), 2 * samples)
-    last = replace(prior, t0=sums[:samples], c0=sums[samples:])
-    replies = grouped(core, back, contexts, told, sent.filter(F.col("kind") == SENT)).applyInArrow(_lean(_replies(prior, burn, samples)), WIRE)
+    classes, by_class = _class_sums(sent, 2 * samples)
+    last = replace(prior, classes=classes, c1=by_class[:samples], t1=by_class[samples:], c0=sums[:samples], t0=sums[samples:])
+    replies = grouped(core, back, contexts, told, sent.filter(F.col("kind") == SENT)).applyInArrow(_replies(prior, burn, samples), WIRE)
     out = docs.unionByName(replies).groupBy("at").applyInArrow(_lean(_summed(last, samples)), "key long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("key", "train", "n_tokens", "n_known", F.lit(start.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return out.select("key", "train", "n_tokens", "n_known", F.lit(start.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))

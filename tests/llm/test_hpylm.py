@@ -25,24 +25,101 @@ def test_counts_and_base_score_match_brute_force(spark):
 
 def test_model_is_a_distribution():
     r = np.random.default_rng(0)
-    words, contexts = 60, 5
+    words, contexts, kind = 60, 5, np.array([3, 3, 9, 9, 9])
     c = r.poisson(r.gamma(0.3, 3, (words, contexts)))
-    pairs = [(w, x) for w in range(words) for x in range(contexts)]
-    b = H.Bucket(np.array([c[p] for p in pairs]), np.array([x for _, x in pairs]), np.array([w for w, _ in pairs]), c.sum(1), np.arange(len(pairs)), [len(pairs)])
+    word, context = (x.ravel() for x in np.indices(c.shape))
+    b = H.Bucket.of(c.ravel(), context, word, kind[context], words)
     known = int((c.sum(1) > 0).sum())
-    t = np.zeros(H.CONTEXTS)
-    t[:contexts] = (c > 0).sum(0)
-    cc = np.zeros(H.CONTEXTS)
-    cc[:contexts] = c.sum(0)
-    prior = H.Totals(cc, [t], [known], [t.sum()], int(c.sum()), known, 0.6, 0.4, seeds=(1, 2))
-    for tables, customers, parent in H.sweeps(b, 0, prior, 2, 3):
-        assert (tables <= b.c).all() and (tables >= np.minimum(b.c, 1)).all() and (parent <= customers).all()
-        now = H.Totals(cc, [np.bincount(b.context, tables, minlength=H.CONTEXTS)], [parent.sum()], [customers.sum()], prior.tokens, known, 0.6, 0.4)
-        p = H.predictive(b, tables, customers, parent, now, 0)
-        unknown = p[np.isin(b.word, np.flatnonzero(b.c_word == 0))]
-        total = np.bincount(b.context, np.where(b.c_word[b.word] > 0, p, 0))
+    by_class = lambda x: [np.bincount(b.kind, x, 10)[[3, 9]]]
+    met = np.bincount(b.section, b.c > 0, len(b.word))
+    prior = H.Totals(c.sum(0), [(c > 0).sum(0)], np.array([3, 9]), by_class(met), by_class(met > 0), [(met > 0).sum()], [known], int(c.sum()), known, 0.6, 0.5, 0.4, seeds=(1, 2))
+    for x in H.sweeps(b, 0, prior, 2, 3):
+        assert (x.t <= b.c).all() and (x.t >= np.minimum(b.c, 1)).all() and (x.t1 <= x.c1).all() and (x.t0 <= x.c0).all()
+        assert (x.c1 == np.bincount(b.section, x.t)).all() and (x.c0 == np.bincount(b.word, x.t1)).all() and ((x.t1 > 0) == (x.c1 > 0)).all()
+        now = H.replace(prior, t=[np.bincount(b.context, x.t)], c1=by_class(x.c1), t1=by_class(x.t1), c0=[x.c0.sum()], t0=[x.t0.sum()])
+        at = np.searchsorted(now.classes, kind[context])
+        p = H.predictive(b.c, x.t, context, x.c1[b.section], x.t1[b.section], at, x.c0[word], x.t0[word], now, 0).reshape(c.shape)
         # one unknown word has the probability of any word without training count
-        assert np.allclose(total + (unknown[:contexts] if len(unknown) else 0), 1)
+        unknown = np.flatnonzero(b.c_word == 0)[:1]
+        assert len(unknown) and np.allclose(p[b.c_word > 0].sum(0) + p[unknown[0]], 1)
+
+
+def plain_gibbs(docs, held, rounds, burn, seed):
+    """One customer at a time, each table known: the mean log10 probability of the held texts under the samples after burn."""
+    rng = np.random.default_rng(seed)
+    ending = lambda u: u.encode()[-2:] if u else b""
+    chain = lambda u: [("u", u), ("k", ending(u)), ("r",)]
+    read = lambda t: list(zip([None, *t.split()], [*t.split(), None], strict=True))
+    pairs = [p for t in docs for p in read(t)]
+    types = len({w for _, w in pairs})
+    spread = lambda keys: Counter(Counter(keys).values())
+    n2, n1, n0 = spread(pairs), spread([(ending(u), w) for u, w in set(pairs)]), spread([w for _, w in {(ending(u), w) for u, w in pairs}])
+    d = [min(max(n[1] / max(n[1] + 2 * n[2], 1), 0.05), 0.95) for n in (n2, n1, n0)]
+    seats = {}  # restaurant -> dish -> sizes of tables
+
+    def prob(path, level, w):
+        if level == 3:
+            return 1 / (types + 1)
+        tables = seats.get(path[level], {})
+        total, many, mine = sum(map(sum, tables.values())), sum(map(len, tables.values())), tables.get(w, [])
+        return (sum(mine) - d[level] * len(mine) + (1 + d[level] * many) * prob(path, level + 1, w)) / (1 + total)
+
+    def add(path, level, w):
+        if level == 3:
+            return
+        tables = seats.setdefault(path[level], {})
+        mine, many = tables.setdefault(w, []), sum(map(len, tables.values()))
+        odds = np.array([x - d[level] for x in mine] + [(1 + d[level] * many) * prob(path, level + 1, w)])
+        at = rng.choice(len(odds), p=odds / odds.sum())
+        if at < len(mine):
+            mine[at] += 1
+        else:
+            mine.append(1)
+            add(path, level + 1, w)
+
+    def remove(path, level, w):
+        if level == 3:
+            return
+        mine = seats[path[level]][w]
+        at = rng.choice(len(mine), p=np.array(mine) / sum(mine))
+        mine[at] -= 1
+        if not mine[at]:
+            del mine[at]
+            remove(path, level + 1, w)
+
+    for u, w in pairs:
+        add(chain(u), 0, w)
+    asked = [read(t) for t in held]
+    mean = [np.zeros(len(x)) for x in asked]
+    for r in range(rounds):
+        for u, w in pairs:
+            remove(chain(u), 0, w)
+            add(chain(u), 0, w)
+        if r >= burn:
+            mean = [m + [prob(chain(u), 0, w) for u, w in x] for m, x in zip(mean, asked, strict=True)]
+    return [float(np.log10(m / (rounds - burn)).sum()) for m in mean]
+
+
+def test_agrees_with_one_by_one_gibbs_sampling(spark):
+    r = np.random.default_rng(8)
+    names = ["an", "ran", "on", "won", "xe", "the", "se", "ox"]
+    step = r.dirichlet(np.full(len(names), 0.3), len(names))
+
+    def text():
+        at, out = r.integers(len(names)), []
+        for _ in range(r.integers(3, 9)):
+            out.append(names[at])
+            at = r.choice(len(names), p=step[at])
+        return " ".join(out)
+
+    docs, held = [text() for _ in range(40)], [text() for _ in range(30)] + ["zzz on the zzz", "ox"]
+    want = plain_gibbs(docs, held, 120, 20, 3)
+    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(docs)] + [(1000 + i, t, False) for i, t in enumerate(held)], "doc_id long, text string, train boolean")
+    got = {x.key: x.score for x in H.score(df, F.col("train"), burn=15, samples=25).collect()}
+    mine = [got[1000 + i] for i in range(len(held))]
+    print(sum(mine), sum(want))
+    assert abs(sum(mine) - sum(want)) < 0.01 * abs(sum(want))
+    assert max(abs(x - y) for x, y in zip(mine, want, strict=True)) < 0.35
 
 
 def test_seating_follows_the_restaurant_process():
@@ -72,7 +149,7 @@ def test_beats_the_base_on_held_out_documents(spark):
     assert r[2] > 50 and r[0] > r[1]
     assert H.score(docs.filter("false"), F.lit(True)).count() == 0
     none = H.score(docs.limit(3), F.lit(False)).collect()
-    assert all(abs(r.score) < 1e-6 and abs(r.base_score) < 1e-6 for r in none)
+    assert all(abs(r.score) < 1e-6 and abs(r.base_score) < 1e-6 and abs(r.perplexity - 1) < 1e-6 for r in none)
 
 
 def test_context_is_the_whole_word_before(spark):
