@@ -144,7 +144,8 @@ def _pairs(buckets: int, limit: int):
             context[where + 1] = token[where]
             context = context[:-1]
             counted = np.repeat(train, n)
-            by = np.lexsort((context, token))
+            # of a word the contexts of one class lie together
+            by = np.lexsort((context, context & ENDING, token))
             new = np.ones(len(by), bool)
             new[1:] = (np.diff(token[by]) != 0) | (np.diff(context[by]) != 0)
             heads = np.flatnonzero(new)
@@ -163,7 +164,7 @@ def _pairs(buckets: int, limit: int):
                 own = slice(first[x], first[y])
                 made.append((bucket, PAIRS, batch, [pack(every[x:y]), pack(runs[x:y].astype(np.uint32)), pack(pc[own]), pack(count[own].astype(np.uint32)), pack(customers[x:y].astype(np.uint32)), pack(sections[x:y].astype(np.uint32))], None))
             key = table["key"].combine_chunks()
-            made.append((-1 - batch % buckets, DOCS, batch, [pack(np.asarray(key.fill_null(0), np.int64)), pack(np.asarray(key.is_null().to_numpy(zero_copy_only=False), np.uint8)), pack(train.astype(np.uint8)), pack(n.astype(np.uint32)), pack((token & ENDING).astype(np.uint16)), pack(pair), pack(runs.astype(np.uint32))], None))
+            made.append((-1 - batch % buckets, DOCS, batch, [pack(np.asarray(key.fill_null(0), np.int64)), pack(np.asarray(key.is_null().to_numpy(zero_copy_only=False), np.uint8)), pack(train.astype(np.uint8)), pack(n.astype(np.uint32)), pack((every & ENDING).astype(np.uint16)), pack(pair), pack(runs.astype(np.uint32))], None))
             yield from _wire(made).to_batches()
 
     return run
@@ -214,7 +215,7 @@ def _state(table: pa.Table) -> pa.Table:
     every, of = np.unique(np.concatenate(w), return_inverse=True)
     customers, sections = (np.bincount(of, np.concatenate(x), len(every)).astype(np.int64) for x in (customers, sections))
     own, ctx, n = np.repeat(of, np.concatenate(runs)), np.concatenate(ctx), np.concatenate(n).astype(np.int64)
-    by = np.lexsort((ctx, own))
+    by = np.lexsort((ctx, ctx & ENDING, own))
     new = np.ones(len(by), bool)
     new[1:] = (np.diff(own[by]) != 0) | (np.diff(ctx[by]) != 0)
     heads = np.flatnonzero(new)
@@ -401,8 +402,10 @@ def _replies(totals: Totals, burn: int, samples: int):
         for j, x in enumerate(sources.tolist()):
             at, at_word = inverse[cut[j] : cut[j + 1]], of[cut_of[j] : cut_of[j + 1]]
             at_section = section[at]
-            # values of a kind lie behind each other, so that they are packed at once
-            data = [pack(np.concatenate([y[at] for y in per_pair] + [y[at_section] for y in per_section]).astype(np.uint32)), pack(np.concatenate([y[at_word] for y in per_word]).astype(np.uint64))]
+            at_section = at_section[np.diff(at_section.astype(np.int64), prepend=-1) != 0]
+            # all values of a pair (or section, word) lie side by side, as most repeat those of others
+            rows = zip((per_pair, per_section, per_word), (at, at_section, at_word), (np.uint32, np.uint32, np.uint64), strict=True)
+            data = [pack(np.stack([y[i] for y in values], 1).astype(kind).ravel()) for values, i, kind in rows]
             yield from _wire([(bucket, REPLY, x, data, None)]).to_batches()
         del inverse, of, section, per_pair, per_section, per_word
         trim()
@@ -417,23 +420,26 @@ def _summed(totals: Totals, samples: int):
         doc = next(r["data"] for r in rows if r["kind"] == DOCS)
         answers = [r["data"] for r in rows if r["kind"] == REPLY]
         del rows
-        take = lambda i, kind, n: np.concatenate([unpack(x[i], kind).reshape(n, -1) for x in answers], 1)
-        of_pair, of_word = take(0, "<u4", 1 + 3 * samples), take(1, "<u8", 2 + 3 * samples).astype(np.int64)
+        take = lambda i, kind, n: np.ascontiguousarray(np.concatenate([unpack(x[i], kind).reshape(-1, n) for x in answers]).T)
+        of_pair, of_section, of_word = take(0, "<u4", 1 + samples), take(1, "<u4", 2 * samples), take(2, "<u8", 2 + 3 * samples).astype(np.int64)
         del answers
         keys, null, train, n, ending, at, runs = (unpack(x, k) for x, k in zip(doc, ("<i8", "u1", "u1", "<u4", "<u2", "<u4", "<u4"), strict=True))
         n = n.astype(np.int64)
         first = np.cumsum(n) - n
-        word = np.repeat(np.arange(len(runs)), runs)[at]
+        owner = np.repeat(np.arange(len(runs)), runs)
+        word = owner[at]
         context = np.append(0, word[:-1])
         context[first] = 0
-        place = np.append(0, ending[:-1])
-        place[first] = 0
-        place = np.searchsorted(totals.classes, place)
+        # sections are runs of pairs of one word and class
+        kind = np.empty(len(owner), np.int64)
+        kind[at] = ending[context]
+        section = (np.cumsum((np.diff(owner, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)) - 1)[at]
+        place = np.searchsorted(totals.classes, ending)[context]
         shared = replace(totals, c=of_word[1], t=list(of_word[2 : 2 + samples]))
         total = 0.0
         for s in range(samples):
-            t, (c1, t1), (c0, t0) = of_pair[1 + s], of_pair[1 + samples + 2 * s :][:2], of_word[2 + samples + 2 * s :][:2]
-            total = total + predictive(of_pair[0][at], t[at], context, c1[at], t1[at], place, c0[word], t0[word], shared, s)
+            (c1, t1), (c0, t0) = of_section[2 * s :][:2], of_word[2 + samples + 2 * s :][:2]
+            total = total + predictive(of_pair[0][at], of_pair[1 + s][at], context, c1[section], t1[section], place, c0[word], t0[word], shared, s)
         log = np.log10(total / samples)
         count = of_word[0][word]
         base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.types + 1)))
@@ -493,7 +499,7 @@ def _class_sums(df: DataFrame, values: int) -> tuple[np.ndarray, list[np.ndarray
     return table[:, 0].astype(np.int64), [table[:, i + 1].copy() for i in range(values)]
 
 
-def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id", burn: int = 2, samples: int = 3, seed: int = 11, batch_bytes: int = 5 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id", burn: int = 3, samples: int = 2, seed: int = 11, batch_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score, score (log10 probability), perplexity (per token) of every row of df.
 
     train: which rows are learned from. batch_bytes and bucket_bytes bound the text behind a map step and a bucket.
