@@ -45,6 +45,8 @@ END = mix(np.array([0x656E64], np.uint64))[0] & KEPT
 #: Rows between steps: kind, the bucket (negative for documents) they go to, the bucket or batch they come from or go back to.
 WIRE = "to int, kind int, at long, data array<binary>, sums array<double>"
 PAIRS, DOCS, CORE, BACK, OWN, SENT, TOTAL, SUMS, REPLY, CLASSES = range(10)
+#: Tokens whose probabilities are worked out at a time.
+SLICE = 1 << 17
 #: Customers of a section that are seated one by one, and the part of those seated that later come at once.
 SINGLY, BLOCK = 48, 48
 
@@ -143,6 +145,7 @@ def _pairs(buckets: int, limit: int):
             context = np.zeros(len(token) + 1, np.uint64)
             context[where + 1] = token[where]
             context = context[:-1]
+            del w, where
             counted = np.repeat(train, n)
             # of a word the contexts of one class lie together
             by = np.lexsort((context, context & ENDING, token))
@@ -153,6 +156,7 @@ def _pairs(buckets: int, limit: int):
             pair[by] = np.cumsum(new) - 1
             count = np.add.reduceat(counted[by].astype(np.int64), heads)
             pw, pc = token[by[heads]], context[by[heads]]
+            del token, context, counted, by, new
             # the words of the batch, and 0, the context at a text's start
             every = np.union1d(pw, np.zeros(1, np.uint64))
             runs = np.diff(np.searchsorted(pw, every, "left"), append=len(pw))
@@ -165,7 +169,10 @@ def _pairs(buckets: int, limit: int):
                 made.append((bucket, PAIRS, batch, [pack(every[x:y]), pack(runs[x:y].astype(np.uint32)), pack(pc[own]), pack(count[own].astype(np.uint32)), pack(customers[x:y].astype(np.uint32)), pack(sections[x:y].astype(np.uint32))], None))
             key = table["key"].combine_chunks()
             made.append((-1 - batch % buckets, DOCS, batch, [pack(np.asarray(key.fill_null(0), np.int64)), pack(np.asarray(key.is_null().to_numpy(zero_copy_only=False), np.uint8)), pack(train.astype(np.uint8)), pack(n.astype(np.uint32)), pack((every & ENDING).astype(np.uint16)), pack(pair), pack(runs.astype(np.uint32))], None))
+            del pair, pw, pc, count, of
             yield from _wire(made).to_batches()
+            del made
+            trim()
 
     return run
 
@@ -436,11 +443,14 @@ def _summed(totals: Totals, samples: int):
         section = (np.cumsum((np.diff(owner, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)) - 1)[at]
         place = np.searchsorted(totals.classes, ending)[context]
         shared = replace(totals, c=of_word[1], t=list(of_word[2 : 2 + samples]))
-        total = 0.0
-        for s in range(samples):
-            (c1, t1), (c0, t0) = of_section[2 * s :][:2], of_word[2 + samples + 2 * s :][:2]
-            total = total + predictive(of_pair[0][at], of_pair[1 + s][at], context, c1[section], t1[section], place, c0[word], t0[word], shared, s)
-        log = np.log10(total / samples)
+        log = np.empty(len(at))
+        for x in range(0, len(at), SLICE):
+            i = slice(x, x + SLICE)
+            total = 0.0
+            for s in range(samples):
+                (c1, t1), (c0, t0) = of_section[2 * s :][:2], of_word[2 + samples + 2 * s :][:2]
+                total = total + predictive(of_pair[0][at[i]], of_pair[1 + s][at[i]], context[i], c1[section[i]], t1[section[i]], place[i], c0[word[i]], t0[word[i]], shared, s)
+            log[i] = np.log10(total / samples)
         count = of_word[0][word]
         base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.types + 1)))
         summed = lambda x: np.add.reduceat(x, first)
