@@ -5,6 +5,10 @@ density, those of the block before and after it, and whether the page marks its
 (menus, headers, footers, notices, adverts, forms, comments, hidden parts) or as the main part. A decision tree
 trained on the small labelled table below says which blocks are kept.
 
+A class, id or role marks boilerplate only as a whole name (`sidebar`, `site-footer`, `comment-list`; not `has-sidebar`
+or `content-with-ads`). A main part inside a form or inside other such names isn't marked by them, except inside
+menus, asides, comments, related parts and what is hidden; nor does a form mark what it holds if that is most of the page's words.
+
 Defined results: null and empty pages, and pages whose blocks are all boilerplate, give the empty text; markup that
 breaks off is read as far as it goes; character references are decoded as in HTML; white space (also no-break
 space) inside a block is one space; `br` is white space; repeated rows each get a row; other columns pass through,
@@ -33,15 +37,19 @@ RAW = set("script style xmp iframe noembed noframes noscript".split())
 UNSEEN = set("head title template textarea select option button object svg math canvas audio video map datalist".split())
 ENDS_P = BLOCK - {"body", "html", "head", "title", "td", "th", "tr", "caption", "legend", "option", "optgroup"}
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "a": {"a"}}
-#: Tags and words in class, id or role that mark boilerplate and main parts.
-AROUND = set("nav footer aside form menu dialog".split())
+#: Tags that mark boilerplate and main parts.
+AROUND = set("nav footer aside menu dialog".split())
 MAIN = set("article main".split())
-AROUND_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar widget widgets footer "
-    "masthead toolbar share sharing social related recommended recommendations newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices notification popup modal overlay alert disclaimer copyright "
-    "comment comments commentlist respond discussion disqus replies reply pagination pager skip search searchbox contentinfo complementary banner2 hidden".split()
+#: Words that name boilerplate in a class, id or role; those of FIRM also where a main part lies inside.
+FIRM = set("comment comments commentlist respond discussion disqus replies reply related recommended recommendations nav navbar navigation menu menubar breadcrumb breadcrumbs footer hidden".split())
+AROUND_WORDS = FIRM | set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner sidebar widget widgets masthead toolbar share sharing social newsletter subscribe "
+    "subscription signup login cookie cookies consent gdpr notice notices notification popup modal overlay alert disclaimer copyright pagination pager skip search searchbox contentinfo complementary".split()
 )
 HEAD_WORDS = {"header", "topbar", "siteheader"}
+#: Words that may stand before and after them in a name.
+BEFORE = set("site page global top bottom left right main post article entry block section mobile sticky".split())
+AFTER = set("wrapper wrap container box block section area list item items inner outer left right top bottom bar panel unit slot group holder module content text links link icons icon buttons button form posts articles stories thread".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -49,51 +57,80 @@ CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "around", "main")
 #: The labelled table: features as above, then 1 for main text.
 LABELLED = [
-    # blocks of the main part: headings, paragraphs long and short, with some links
-    (10, 0.0, 6, 0.0, 60, 0.0, 0, 1, 1), (3, 0.0, 6, 0.0, 40, 0.0, 0, 1, 1), (80, 0.0, 10, 0.0, 70, 0.0, 0, 1, 1), (120, 0.05, 80, 0.0, 90, 0.0, 0, 1, 1),
+    # blocks of the main part: headings, paragraphs long and short, with some links, first and last ones beside menus
+    (10, 0.0, 6, 0.0, 60, 0.0, 0, 1, 1), (3, 0.0, 6, 1.0, 40, 0.0, 0, 1, 1), (80, 0.0, 10, 0.0, 70, 0.0, 0, 1, 1), (120, 0.05, 80, 0.0, 90, 0.0, 0, 1, 1),
     (5, 0.0, 90, 0.0, 60, 0.0, 0, 1, 1), (2, 0.0, 70, 0.0, 14, 0.0, 0, 1, 1), (40, 0.3, 50, 0.0, 2, 0.0, 0, 1, 1), (1, 0.0, 30, 0.0, 12, 0.1, 0, 1, 1),
     (9, 0.0, 3, 1.0, 5, 0.0, 0, 1, 1), (25, 0.6, 60, 0.0, 60, 0.0, 0, 1, 1), (6, 1.0, 60, 0.0, 60, 0.0, 0, 1, 1), (300, 0.0, 4, 0.0, 11, 0.0, 0, 1, 1),
     (4, 0.0, 4, 0.0, 4, 0.0, 0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 1), (7, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (15, 0.0, 8, 0.0, 9, 0.3, 0, 1, 1),
+    (200, 0.0, 60, 0.0, 2, 1.0, 0, 1, 1), (50, 0.0, 60, 0.0, 3, 1.0, 0, 1, 1), (12, 0.0, 60, 0.0, 1, 1.0, 0, 1, 1), (3, 0.0, 40, 0.0, 1, 1.0, 0, 1, 1),
+    (90, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1), (5, 0.0, 1, 1.0, 4, 1.0, 0, 1, 1), (1, 0.0, 2, 1.0, 2, 1.0, 0, 1, 1), (30, 0.4, 2, 1.0, 2, 1.0, 0, 1, 1),
+    (8, 1.0, 50, 0.0, 2, 0.0, 0, 1, 1), (2, 1.0, 30, 0.1, 40, 0.0, 0, 1, 1), (14, 0.8, 20, 0.0, 30, 0.0, 0, 1, 1), (35, 0.9, 70, 0.0, 90, 0.0, 0, 1, 1),
     # lists of links, also in the main part
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0), (4, 1.0, 3, 1.0, 5, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0), (4, 1.0, 3, 1.0, 5, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (6, 1.0, 60, 0.0, 4, 1.0, 0, 1, 0),
+    (3, 1.0, 4, 1.0, 50, 0.0, 0, 1, 0), (12, 0.9, 9, 1.0, 11, 1.0, 0, 1, 0), (5, 0.9, 8, 0.9, 2, 0.0, 0, 1, 0), (2, 1.0, 0, 0.0, 3, 1.0, 0, 1, 0),
     # marked surroundings, whatever their text
     (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (6, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0), (12, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0),
     (60, 0.0, 12, 0.0, 10, 0.0, 1, 0, 0), (150, 0.0, 80, 0.0, 20, 0.0, 1, 0, 0), (30, 0.1, 5, 0.0, 40, 0.0, 1, 1, 0), (8, 0.0, 50, 0.0, 30, 0.0, 1, 1, 0),
     (45, 0.0, 120, 0.0, 0, 0.0, 1, 1, 0), (3, 0.0, 3, 0.0, 3, 0.0, 1, 0, 0), (20, 0.5, 2, 0.0, 6, 1.0, 1, 0, 0), (90, 0.0, 90, 0.0, 90, 0.0, 1, 1, 0),
-    # pages that mark nothing: long texts with few links, and what stands between them
+    (250, 0.0, 60, 0.0, 80, 0.0, 1, 1, 0), (25, 0.0, 20, 0.0, 60, 0.0, 1, 0, 0), (18, 0.0, 70, 0.0, 60, 0.0, 1, 1, 0), (5, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0),
+    # pages that mark nothing: long texts with few links whatever stands beside them, headings before them
     (60, 0.0, 3, 1.0, 70, 0.0, 0, 0, 1), (35, 0.0, 5, 0.0, 40, 0.0, 0, 0, 1), (110, 0.1, 60, 0.0, 3, 0.0, 0, 0, 1), (25, 0.05, 40, 0.0, 60, 0.0, 0, 0, 1),
     (18, 0.0, 30, 0.0, 30, 0.0, 0, 0, 1), (8, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1), (5, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (9, 0.0, 80, 0.0, 35, 0.0, 0, 0, 1),
     (3, 0.0, 40, 0.1, 60, 0.0, 0, 0, 1), (22, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (12, 0.0, 4, 0.0, 90, 0.0, 0, 0, 1), (50, 0.2, 2, 0.0, 4, 0.0, 0, 0, 1),
+    (51, 0.0, 60, 0.0, 6, 1.0, 0, 0, 1), (200, 0.0, 80, 0.0, 2, 1.0, 0, 0, 1), (24, 0.0, 30, 0.0, 1, 1.0, 0, 0, 1), (45, 0.3, 3, 1.0, 3, 1.0, 0, 0, 1),
+    (30, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1), (17, 0.1, 60, 0.0, 2, 1.0, 0, 0, 1), (4, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1), (20, 0.0, 60, 0.0, 4, 0.0, 0, 0, 1),
+    # and what stands between them
     (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0), (5, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0), (7, 0.0, 70, 0.0, 3, 0.0, 0, 0, 0),
     (9, 0.4, 50, 0.0, 0, 0.0, 0, 0, 0), (30, 0.9, 5, 1.0, 20, 0.9, 0, 0, 0), (15, 0.7, 60, 0.0, 10, 1.0, 0, 0, 0), (4, 1.0, 60, 0.0, 5, 1.0, 0, 0, 0),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (10, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0), (6, 0.0, 8, 0.0, 0, 0.0, 0, 0, 0), (40, 0.8, 3, 0.0, 3, 1.0, 0, 0, 0),
+    (5, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0), (2, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0), (3, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0), (8, 0.8, 2, 1.0, 80, 0.0, 0, 0, 0),
+    (60, 0.9, 30, 0.0, 40, 0.0, 0, 0, 0), (4, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (12, 0.6, 6, 1.0, 5, 0.0, 0, 0, 0), (2, 1.0, 70, 0.0, 60, 0.0, 0, 0, 0),
 ]
 
 
 @dataclass
 class Block:
+    """around and main: what marks it; form: the number of the form that holds it, 0 for none."""
+
     text: str
     words: int
     links: float
     around: bool
     main: bool
+    form: int = 0
+
+
+def _named(names: str) -> set[str]:
+    """The boilerplate words of the names in a class, id or role: of each name that consists of such words, and words that go with them."""
+    out: set[str] = set()
+    for name in names.split():
+        parts = [x.lower() for x in CAMEL.findall(name)]
+        if parts and (parts[0] in AROUND_WORDS or parts[0] in HEAD_WORDS or parts[0] in BEFORE) and all(x in AROUND_WORDS or x in HEAD_WORDS or x in AFTER or x.isdigit() for x in parts[1:]):
+            out.update(parts)
+    return out & (AROUND_WORDS | HEAD_WORDS)
+
+
+#: How an element marks what it holds: not, until a main part begins, or in any case.
+FREE, LOOSE, FIRMLY = range(3)
 
 
-def _marks(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+def _marks(tag: str, attributes: str, in_main: bool) -> tuple[int, bool]:
     """Whether an element is boilerplate, and whether it is a main part."""
-    around, main = tag in AROUND or (tag == "header" and not in_main), tag in MAIN
+    around, main = FIRMLY if tag in AROUND or (tag == "form" and in_main) else LOOSE if tag == "header" and not in_main else FREE, tag in MAIN
     if "=" in attributes or "hidden" in attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                around = True
+                around = FIRMLY
             elif name in ("class", "id", "role"):
-                found = {x.lower() for x in CAMEL.findall(value)}
-                if found & AROUND_WORDS or (found & HEAD_WORDS and not in_main and tag not in ("h1", "h2", "h3")):
-                    around = True
+                found = _named(value)
+                if found & FIRM or (found & AROUND_WORDS and in_main):
+                    around = FIRMLY
+                elif found & AROUND_WORDS or (found and not in_main and tag not in ("h1", "h2", "h3")):
+                    around = max(around, LOOSE)
                 if name == "role" and value.lower() in ("main", "article"):
                     main = True
-    return around and tag not in ("html", "body"), main
+    return FREE if tag in ("html", "body") else around, main
 
 
 def cut(page: str) -> list[Block]:
@@ -101,8 +138,8 @@ def cut(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, around, main, unseen: each with what holds it
-    around = main = unseen = False
+    stack: list[tuple[str, int, bool, bool, int]] = []  # tag, around, main, unseen, form: each with what holds it
+    around, main, unseen, form, forms = FREE, False, False, 0, 0
     links = 0
 
     def end() -> None:
@@ -110,7 +147,7 @@ def cut(page: str) -> list[Block]:
         if parts:
             words = "".join(parts).split()
             if words:
-                out.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), around, main))
+                out.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), around > FREE, main, form))
             parts, linked = [], 0
 
     def text(s: str) -> None:
@@ -122,8 +159,8 @@ def cut(page: str) -> list[Block]:
                 linked += len(s.split())
 
     def settle() -> None:
-        nonlocal around, main, unseen, links
-        _, around, main, unseen = stack[-1] if stack else ("", False, False, False)
+        nonlocal around, main, unseen, form, links
+        _, around, main, unseen, form = stack[-1] if stack else ("", FREE, False, False, 0)
         links = sum(t[0] == "a" for t in stack)
 
     def close(tags: set[str], stop: set[str]) -> None:
@@ -166,15 +203,24 @@ def cut(page: str) -> list[Block]:
         if tag in VOID or m[3].endswith("/>"):
             continue
         a, b = _marks(tag, m[3], main)
-        around, main, unseen = around or a, main or b, unseen or tag in UNSEEN
-        if a and tag not in BLOCK:
+        if a > around and tag not in BLOCK:
             end()
-        stack.append((tag, around, main, unseen))
+        if b and around < FIRMLY:
+            around, form = FREE, 0
+        if tag == "form" and not form and not main:
+            forms += 1
+            form = forms
+        around, main, unseen = max(around, a), main or b, unseen or tag in UNSEEN
+        stack.append((tag, around, main, unseen, form))
         links += tag == "a"
-        if a and tag not in BLOCK:
-            stack[-1] = (tag, around, main, unseen)
     text(page[at:] if "<" not in page[at:] or not re.match(r"<[/!?a-zA-Z]", page[at:]) else "")
     end()
+    # a form marks what it holds, unless that is most of what nothing else marks
+    held = [0] * (forms + 1)
+    for x in out:
+        held[x.form] += x.words * (not x.around)
+    for x in out:
+        x.around = x.around or (x.form > 0 and 2 * held[x.form] <= sum(held))
     return out
 
 

@@ -37,6 +37,43 @@ def test_edges(spark):
     assert B.extract(df, text="html").columns == ["page_id", "text", "html"]
 
 
+def words(n, start=0):
+    return " ".join(f"word{i}" for i in range(start, start + n))
+
+
+def test_the_last_paragraph_before_links_stays():
+    texts = [words(n, i) for i, n in enumerate((60, 45, 70, 201))]
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    for page in (f"<article>{body}</article><nav><a href=1>One</a> <a href=2>Two</a></nav>", f"<article><p>A</p>{body}</article><p><a href=1>Read on here</a></p>", f"<div>{body}<p><a href=1>a line of links</a></p></div>"):
+        assert all(t in B.main_text(TREE, page) for t in texts), page[-60:]
+        assert "One" not in B.main_text(TREE, page)
+    assert words(51) in B.main_text(TREE, f"<p>{words(30, 7)}</p><p>{words(51)}</p><p><a href=1>a linked line of words</a></p>")
+    assert B.main_text(TREE, f"<article><h1>Title</h1><p>{words(30)}</p><p>The end.</p></article><ul><li><a href=1>x</a></ul>").endswith("The end.")
+
+
+def test_names_of_layouts_are_no_marks():
+    text = f"<h1>Some title</h1><p>{words(40)}</p><p>{words(60, 5)}</p>"
+    want = B.main_text(TREE, text)
+    assert want.count("\n\n") == 2
+    for name in ("no-sidebar", "has-sidebar", "content-with-ads", "no-comments", "hidden-title related-work", "share-price-story", "hidden-xs", "elementor-widget-container"):
+        for page in (f'<body><div class="{name}">{text}</div></body>', f'<div id="{name}"><article>{text}</article></div>', f'<main class="{name}">{text}</main>'):
+            assert B.main_text(TREE, page) == want, page[:60]
+    for name in ("sidebar", "site-footer", "commentList", "comment-list", "ad ad-top", "cookie-notice", "related_posts", "main-nav", "post-comments"):
+        assert B.main_text(TREE, f'{text}<div class="{name}"><p>{words(80, 900)}</p></div>') == want, name
+        assert B.main_text(TREE, f'<article>{text}<div class="{name}"><p>{words(80, 900)}</p></div></article>') == want, name
+    # a main part in a frame named like boilerplate; but not in comments or asides
+    assert B.main_text(TREE, f'<div class="sidebar-right"><main>{text}</main></div>') == want
+    assert B.main_text(TREE, f'{text}<section class="comments"><article><p>{words(50, 300)}</p></article></section><aside><article>{words(40, 600)}</article></aside>') == want
+
+
+def test_forms():
+    text = f"<h1>Some title</h1><p>{words(40)}</p><p>{words(60, 5)}</p>"
+    want = B.main_text(TREE, text)
+    asks = f"<form><p>Your name</p><p>{words(30, 500)}</p><button>Go</button></form>"
+    for page in (f"<form>{text}</form>", f"<form><div><article>{text}</article></div></form>", f"<article>{text}{asks}</article>", f"{text}{asks}", f"{asks}<main>{text}</main>"):
+        assert B.main_text(TREE, page) == want, page[:60]
+
+
 def test_driver_pages_keep_their_articles(spark):
     """Against the plain reading of these pages' own articles."""
     import html
