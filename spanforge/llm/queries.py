@@ -57,7 +57,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every 50th vector among all others."""
     from .topk import top_k
 
-    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
