@@ -4,7 +4,8 @@ Every window of `length` consecutive words gets a polynomial hash. Map tasks kee
 that they see of a hash, so a passage that a third of all documents share costs one entry for each task.
 Entries meet in buckets, chosen by the smallest hash of any few words inside the window, so that neighbouring
 windows mostly share a bucket and travel as runs; the number of buckets follows the input, so a bucket's size
-doesn't. Every occurrence after the smallest (doc_id, start) is reported, as runs again; the reported runs of a
+doesn't. A hash that chooses the bucket of too many different windows (those around a common line) is found by a
+count over a sample of the window keys beforehand; its windows are dealt by their own hashes. Every occurrence after the smallest (doc_id, start) is reported, as runs again; the reported runs of a
 document merge into maximal intervals, and one join applies them.
 
 Defined results: null or empty texts have no words and stay empty; a document shorter than the window
@@ -28,6 +29,9 @@ from .flat import U64, chunks, flat, lists, mix, small_batches, text_bytes, trim
 #: Bases of the two polynomial hashes.
 BASE_KEY, BASE_BUCKET = U64(0x9E6C63D0876A9A47), U64(0xD1342543DE82EF95)
 LAST = np.iinfo(np.int64).max
+#: Hashes whose windows are dealt one by one at most (a window has one such hash, so a share of all windows bounds them);
+#: windows that a sample of window keys is to count of such a hash; one key in so many is in the sample at most.
+MOST_HEAVY, COUNTED, THINNEST = 50_000, 128, 256
 #: Words behind the hash that chooses a window's bucket.
 INNER = 5
 ENTRIES = "bucket int, h array<long>, rid array<long>, ord array<long>, at array<int>, cnt array<int>, drop_rid array<long>, drop_low array<int>, drop_high array<int>"
@@ -77,6 +81,27 @@ def _windows(table: pa.Table, length: int):
     return table, mix(key), mix(other), row, start
 
 
+def _frequent(length: int, rate: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, "_text", limit):
+            _, key, other, _, _ = _windows(table, length)
+            at = np.flatnonzero(key % U64(rate) == 0)
+            _, first = np.unique(key[at], return_index=True)
+            some, n = np.unique(other[at[first]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n.astype(np.int64))], ["o", "n"])
+
+    return run
+
+
+def heavy(tagged: DataFrame, length: int, total: int, bucket_bytes: int, batch_bytes: int) -> np.ndarray:
+    """The sorted bucket hashes of more windows (different ones in a map step) than a quarter of a bucket's text has, at most MOST_HEAVY."""
+    most = max(bucket_bytes // 24, total // 2 // MOST_HEAVY)  # a word and its space have two bytes at least, mostly six
+    rate = max(1, min(THINNEST, most // COUNTED))
+    counts = tagged.select("_rid", "_ord", "_text").mapInArrow(_frequent(length, rate, batch_bytes), "o long, n long").groupBy("o").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") * rate > most).orderBy(F.desc("n"), "o").limit(MOST_HEAVY).select("o").collect()  # the rest would be lighter
+    return np.sort(np.array([r["o"] for r in found], np.int64).view(np.uint64))
+
+
 def runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last start of each run of consecutive starts."""
     new = np.ones(len(row), bool)
@@ -85,7 +110,7 @@ def runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return row[head], start[head], start[np.append(head[1:], len(row)) - 1] if len(row) else start
 
 
-def _entries(length: int, buckets: int, limit: int):
+def _entries(length: int, buckets: int, limit: int, shared):
     names = [x.split()[0] for x in ENTRIES.split(", ")]
     none = np.zeros(0, np.int64)
 
@@ -93,6 +118,9 @@ def _entries(length: int, buckets: int, limit: int):
         for table in chunks(batches, "_text", limit):
             table, key, other, row, start = _windows(table, length)
             rid, order = np.asarray(table["_rid"]), np.asarray(table["_ord"])
+            if len(shared.value):
+                at = np.minimum(np.searchsorted(shared.value, other), len(shared.value) - 1)
+                other = np.where(shared.value[at] == other, mix(key), other)
             by = np.argsort(key, kind="stable")
             same = np.zeros(len(by), bool)
             same[1:] = (key[by[1:]] == key[by[:-1]]) & (other[by[1:]] == other[by[:-1]])
@@ -206,18 +234,24 @@ def _applied(length: int, names: list[str], text: str):
     return run
 
 
+def windows(tagged: DataFrame, length: int, bucket_bytes: int, batch_bytes: int) -> DataFrame:
+    """ENTRIES of all windows of tagged (_rid, _ord, _text)."""
+    total = tagged.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = int(max(8, -(-total // bucket_bytes)))
+    shared = tagged.sparkSession.sparkContext.broadcast(heavy(tagged, length, total, bucket_bytes, batch_bytes))  # MOST_HEAVY hashes at most
+    return tagged.select("_rid", "_ord", "_text").mapInArrow(_entries(length, buckets, batch_bytes, shared), ENTRIES)
+
+
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 20, bucket_bytes: int = 20 << 20, batch_bytes: int = 5 << 20) -> DataFrame:
     """df with kept_text (kept words joined by a space), n_words, n_removed and removed_spans (word intervals).
 
     bucket_bytes and batch_bytes bound the text whose windows one reduce group or one map step holds at a time.
     """
     small_batches(df.sparkSession)
-    total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    buckets = int(max(8, -(-total // bucket_bytes)))
     made = {"kept_text", "n_words", "n_removed", "removed_spans"}
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made])
     tagged = base.withColumns({"_rid": F.xxhash64(F.col(doc_id), F.col(text)), "_ord": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_null": F.col(text).isNull()}).withColumnRenamed(text, "_text")
-    entries = tagged.select("_rid", "_ord", "_text").mapInArrow(_entries(length, buckets, batch_bytes), ENTRIES)
+    entries = windows(tagged, length, bucket_bytes, batch_bytes)
     reported = entries.groupBy("bucket").applyInArrow(_reported, "_rid long, low int, high int").groupBy("_rid").agg(F.collect_list(F.struct("low", "high")).alias("_runs"))
     packed = tagged.drop("_ord")
     schema = T.StructType([T.StructField("_text", T.BinaryType()) if f.name == "_text" else f for f in packed.schema])

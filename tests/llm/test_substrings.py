@@ -44,6 +44,22 @@ def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_common_line_spreads_over_buckets(spark):
+    import random
+
+    from spanforge.llm import substrings as S
+
+    r = random.Random(6)
+    line = " ".join(f"line{i}" for i in range(15))
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(20)) + " " + line + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(20))) for i in range(1000)]
+    tagged = spark.createDataFrame([(i, i, t) for i, t in rows], "_rid long, _ord long, _text string").repartition(4)
+    size = sum(len(t) for _, t in rows)
+    for most in (20_000, 60_000):
+        sizes = [x.n for x in S.windows(tagged, 20, most, 1 << 20).groupBy("bucket").agg(F.sum(F.size("h")).alias("n")).collect()]
+        # words have seven bytes here; a bucket holds its text's windows and, of each hash that isn't dealt one by one, a quarter of that
+        assert sum(sizes) == 36 * 1000 and max(sizes) < 2 * most / 6, (max(sizes), most, size)
+
+
 @pytest.mark.parametrize("length", [1, 2, 3, 7, 20])
 def test_rolling_hash_tells_windows_apart(length):
     import numpy as np
