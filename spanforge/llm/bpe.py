@@ -3,7 +3,8 @@
 The distinct pieces of a batch lie in one flat symbol array. In each round every adjacent pair is looked up
 by binary search among the sorted pair keys; of each piece the pairs of its lowest rank merge, from the left,
 and finished pieces leave the array. A merge never makes a pair of lower rank, so this gives what merging one
-pair at a time gives.
+pair at a time gives. Long pieces, which take many rounds, are merged together by ascending rank: a round merges
+one rank in all of them and looks up only the pairs beside what it merged, so their work is close to linear.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; texts are taken whole; a
 special token's string in a text is that token; ids outside the vocabulary and null ids decode to nothing;
@@ -13,6 +14,7 @@ column replaces a column of its name.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -29,8 +31,10 @@ from .flat import chunks, lists, small_batches, trim
 
 #: Fixed: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 100_000
+#: Pieces whose ids a task remembers, and their characters; beyond that it starts anew.
+REMEMBERED, REMEMBERED_CHARACTERS = 100_000, 8 << 20
+#: Bytes from which a piece is long.
+LONG = 256
 
 
 def byte_characters() -> dict[str, int]:
@@ -85,7 +89,75 @@ def load_vocabulary(path: str) -> Vocabulary:
 def merge(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all pieces, one after the other, and the offsets of each piece's ids."""
     symbols = v.single[np.frombuffer(b"".join(pieces), np.uint8)]
-    owner = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    long = np.repeat(sizes >= LONG, sizes)
+    if long.all():
+        found = [merge_long(symbols, owner, v)]
+    elif long.any():
+        found = [merge_short(symbols[~long], owner[~long], v), merge_long(symbols[long], owner[long], v)]
+    else:
+        found = [merge_short(symbols, owner, v)]
+    owners, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(owners, kind="stable")
+    return ids[by], np.searchsorted(owners[by], np.arange(len(pieces) + 1))
+
+
+def merge_long(symbols: np.ndarray, owner: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and ids after all merges, rank by rank over linked symbols."""
+    n, none = len(symbols), np.iinfo(np.int32).max
+    made = np.empty(len(v.made), np.int32)
+    made[v.rank] = v.made
+    symbols, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+    edge = np.flatnonzero(np.diff(owner, append=-1) != 0)
+    after[edge] = -1
+    before[np.append(0, edge[:-1] + 1)[:n]] = -1
+    current, alive = np.full(n, none, np.int32), np.ones(n, bool)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def look(at: np.ndarray) -> None:
+        """Find the ranks of the pairs that begin at these places, and put the places down under them."""
+        right = after[at]
+        key = symbols[at].astype(np.int64) * v.size + symbols[right]
+        found = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+        rank = np.where((right >= 0) & (v.keys[found] == key), v.rank[found], none)
+        current[at] = rank
+        by = np.argsort(rank, kind="stable")
+        rank, at = rank[by], at[by]
+        ends = [*(np.flatnonzero(np.diff(rank)) + 1).tolist(), len(rank)]
+        start = 0
+        for end in ends:
+            if end > start and (r := int(rank[start])) != none:
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(at[start:end])
+            start = end
+
+    look(np.arange(n))
+    while ranks:
+        r = heapq.heappop(ranks)
+        places = waiting.pop(r)
+        at = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
+        at = at[current[at] == r]
+        if not len(at):
+            continue
+        # in a run of overlapping pairs every second one merges, from the left
+        run = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:]))
+        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        gone = after[at]
+        beyond = after[gone]
+        symbols[at], after[at] = made[r], beyond
+        before[beyond[beyond >= 0]] = at[beyond >= 0]
+        current[gone], alive[gone] = none, False
+        left = before[at]
+        look(np.unique(np.concatenate([at, left[left >= 0]])))
+    return owner[alive], symbols[alive]
+
+
+def merge_short(symbols: np.ndarray, owner: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and ids after all merges, of each piece's lowest rank in a round."""
     done: list[tuple[np.ndarray, np.ndarray]] = []
     none = np.iinfo(np.int32).max
     while len(symbols):
@@ -111,9 +183,7 @@ def merge(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         stay[pick + 1] = False
         symbols, owner = symbols[stay], owner[stay]
     owners = np.concatenate([o for o, _ in done] or [np.zeros(0, np.int64)])
-    ids = np.concatenate([s for _, s in done] or [np.zeros(0, np.int32)])
-    by = np.argsort(owners, kind="stable")
-    return ids[by], np.searchsorted(owners[by], np.arange(len(pieces) + 1))
+    return owners, np.concatenate([s for _, s in done] or [np.zeros(0, np.int32)])
 
 
 def spread(data: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +199,7 @@ def _encode(shared, names: list[str], text: str, ids: str, limit: int):
         split = regex.compile(PATTERN).findall
         marks = re.compile("(" + "|".join(map(re.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
         place: dict[str, int] = {}
+        held = 0
         data, offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
         def pieces(t: str) -> list[str]:
@@ -139,12 +210,13 @@ def _encode(shared, names: list[str], text: str, ids: str, limit: int):
         for table in chunks(batches, text, limit):
             for b in table.to_batches():
                 rows = [pieces(t) if t else [] for t in b.column(text).to_pylist()]
-                if len(place) > REMEMBERED:
-                    place, data, offsets = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+                if len(place) > REMEMBERED or held > REMEMBERED_CHARACTERS:
+                    held, place, data, offsets = 0, {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
                 seen: set[str] = set()
                 for r in rows:
                     seen.update(r)
                 new = [x for x in seen if x not in place]
+                held += sum(map(len, new))
                 if new:
                     plain = [x for x in new if x not in v.special]
                     marked = [x for x in new if x in v.special]

@@ -45,3 +45,21 @@ def test_odd_ids(spark, path):
 
 def test_no_rows(spark, path):
     assert bpe.encode(spark.createDataFrame([], "text string"), path).count() == 0
+
+
+def test_long_pieces(path):
+    import random
+    import time
+
+    r = random.Random(2)
+    v, t = bpe.load_vocabulary(path), tokenizers.Tokenizer.from_file(path)
+    texts = ["a" * 5001, "ab" * 700, "".join(r.choice("ACGT") for _ in range(30_000)), "".join(r.choice("etaoinshr") for _ in range(20_000)), "=" * 999, "é" * 400, "x", "theand" * 300, "a" * 255]
+    ids, cut = bpe.merge([x.encode() for x in texts], v)
+    for i, x in enumerate(texts):
+        assert ids[cut[i] : cut[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x[:20]
+    assert bpe.merge([], v)[0].tolist() == []
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    ids, _ = bpe.merge([long.encode()], v)
+    print("seconds:", time.time() - began)
+    assert time.time() - began < 60 and ids.tolist() == t.encode(long, add_special_tokens=False).ids
