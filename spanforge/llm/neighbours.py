@@ -3,13 +3,19 @@
 Vectors are cut into two halves and each half is quantised by a codebook of its own, fitted by k-means on a
 bounded sample; a row's cell is its pair of nearest centroids. A query walks the pairs of centroids by the sum
 of their squared distances, with a heap, until the cells it has passed hold a set share of all rows; the share
-is the smallest one that gave the wanted recall on the sample. All rows of these cells are reranked by their
-exact distance. Cells are stored in blocks of bounded size, so a cell with many rows is worked on by many
-tasks, and queries meet only the cells that they visit.
+is the smallest one that gave the wanted recall on the sample, and codebooks grow while that makes a query
+cheaper by the sample's figures (rows to rerank, and cells to pass). All rows of these cells are reranked by
+their exact distance.
+
+Cells are stored in blocks of bounded size, so a cell with many rows is worked on by many tasks. Queries are
+broadcast in pieces of bounded size, each with the sum at which its walk ended; a block of a cell finds from
+the centroids which queries passed it, so nothing is copied for each query and cell. With several pieces each
+one's result is cut by checkpoint() before the next is sent.
 
 Defined results: a vector that is null, zero or has a null or non-finite component takes no part; vectors of
-different length don't meet; repeated rows are separate candidates, except that a query never finds a row
-with its own id; ties go to the smaller id; other columns are left out.
+different length don't meet; each of the MOST_INDEXED lengths with most rows has an index of its own, and all
+others, as well as lengths that fit into one block, are searched exactly; repeated rows are separate candidates,
+except that a query never finds a row with its own id; ties go to the smaller id; other columns are left out.
 """
 
 from __future__ import annotations
@@ -23,8 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .topk import finite
+from .flat import shared_dir
+from .topk import PIECE_BYTES, blocks, finite
 
+#: Lengths that are indexed at most, centroids of a half at most, and what passing a cell costs a query, in rows to rerank.
+MOST_INDEXED, MOST_CENTRES, CELL = 64, 512, 10
 
 @dataclass
 class Codebooks:
@@ -60,16 +69,14 @@ def walk(a: np.ndarray, b: np.ndarray) -> Iterator[int]:
             heapq.heappush(heap, (a[by_a[i + 1]] + b[by_b[j]], i + 1, j))
 
 
-def visited(a: np.ndarray, b: np.ndarray, counts: np.ndarray, least: float) -> list[int]:
-    """The first cells of the walk that hold at least so many rows, without empty ones."""
-    out, held = [], 0
+def passed(a: np.ndarray, b: np.ndarray, counts: np.ndarray, least: float) -> float:
+    """The sum a[i] + b[j] up to which the walk passes cells that hold at least so many rows."""
+    held = 0
     for cell in walk(a, b):
-        if counts[cell]:
-            out.append(cell)
-            held += counts[cell]
-            if held >= least:
-                break
-    return out
+        held += counts[cell]
+        if held >= least:
+            return float(a[cell // len(b)] + b[cell % len(b)])
+    return np.inf
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -97,7 +104,7 @@ def fit(sample: np.ndarray, cells_a_half: int, recall: float, k: int, seed: int
     # a vector of one component has an empty second half
     books = Codebooks((k_means(sample[:, :cut], cells_a_half, 12, seed), k_means(sample[:, cut:], cells_a_half, 12, seed + 1) if sample.shape[1] > 1 else np.zeros((1, 0))), 1.0)
     n = len(sample)
-    if n <= 4 * k:
+    if n <= 4 * k or recall >= 1:
         return books
     pick = np.random.default_rng(seed).choice(n, min(asked, n), replace=False)
     cells = books.cells(sample)
@@ -108,98 +115,153 @@ def fit(sample: np.ndarray, cells_a_half: int, recall: float, k: int, seed: int
         d = ((sample - sample[i]) ** 2).sum(1)
         d[i] = np.inf
         near = np.argpartition(d, k)[:k]
-        order = np.fromiter(walk(a[row], b[row]), np.int64)
-        passed = np.empty(len(order))
-        passed[order] = np.cumsum(counts[order])
-        needed.append(np.sort(passed[cells[near]]) / n)
+        order = np.argsort((a[row][:, None] + b[row][None, :]).ravel(), kind="stable")
+        held = np.empty(len(order))
+        held[order] = np.cumsum(counts[order])
+        needed.append(np.sort(held[cells[near]]) / n)
     books.visit = float(min(1.0, np.quantile(np.concatenate(needed), recall)))
     return books
 
 
-def _rank(dim: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                ids, keys = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                x, q = np.frombuffer(r["data"], np.float64).reshape(-1, dim), np.frombuffer(r["q_data"], np.float64).reshape(-1, dim)
-                out = []
-                for key, v in zip(keys, q, strict=True):
-                    d = np.sqrt(((x - v) ** 2).sum(1))
-                    d[ids == key] = np.inf
-                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                    near = near[ids[near] != key]
-                    by = near[np.lexsort((ids[near], d[near]))[:k]]
-                    out.append((np.full(len(by), key), ids[by], d[by]))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]).astype(np.int64)), pa.array(np.concatenate(cols[1]).astype(np.int64)), pa.array(np.concatenate(cols[2]).astype(float))], ["query_id", "vec_id", "score"])
+def fitted(sample: np.ndarray, n: int, recall: float, k: int) -> Codebooks:
+    """The codebooks that make a query cheapest: twice as many centroids each time, while that costs less over n rows."""
+    best, least, size = None, np.inf, 4
+    while best is None or (size <= MOST_CENTRES and size * size <= max(n // 4, 16)):
+        books = fit(sample, size, recall, k)
+        cost = books.visit * (n + CELL * len(books.centres[0]) * len(books.centres[1]))
+        if cost >= least:
+            break
+        best, least, size = books, cost, 2 * size
+    return best
 
-    return run
 
+def _best(key: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of each key."""
+    by = np.lexsort((ids, d, key))
+    key, ids, d = key[by], ids[by], d[by]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    place = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return key[place < k], ids[place < k], d[place < k]
 
-def _packed(keys: list[str], prefix: str):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        values = np.concatenate([np.asarray(c.flatten(), np.float64) for c in table["v"].chunks])
-        made = {c: table[c][:1] for c in keys} | {f"{prefix}ids": pa.array([np.asarray(table["id"], np.int64).tobytes()]), f"{prefix}data": pa.array([values.tobytes()])}
-        return pa.table(made)
+
+def _rank(k: int, shared, books):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, indexed = shared.value, books.value
+        held: list[tuple] = []
+        rows = 0
+        for r in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
+            dim = r["dim"]
+            if dim not in asked:
+                continue
+            keys, q, ends = asked[dim]
+            ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.float64).reshape(-1, dim)
+            if r["cell"] >= 0:
+                own = indexed[dim]
+                i, j = divmod(r["cell"], len(own.centres[1]))
+                a, b = Codebooks((own.centres[0][i : i + 1], own.centres[1][j : j + 1]), 0.0).halves(q)
+                # a little more, as sums of the same terms may differ in their last bits
+                at = np.flatnonzero((a + b)[:, 0] <= ends + 1e-9 * (1 + np.abs(ends)))
+            else:
+                at = np.arange(len(q))
+            norm = (x**2).sum(1)
+            for some in np.split(at, range(256, len(at), 256)):
+                about = norm[None, :] - 2 * q[some] @ x.T
+                room = 1e-9 * (norm.max() + (q[some] ** 2).sum(1))
+                for row, i in enumerate(some.tolist()):
+                    near = np.flatnonzero(ids != keys[i])
+                    if len(near) > k:
+                        d = about[row][near]
+                        near = near[d <= np.partition(d, k - 1)[k - 1] + room[row]]
+                    d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                    held.append((np.full(len(near), keys[i]), ids[near], d))
+                    rows += len(near)
+            if rows > 1 << 18:
+                held = [_best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)]
+                rows = len(held[0][0])
+                if rows > 1 << 17:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["query_id", "vec_id", "score"])
+                    held, rows = [], 0
+        if held:
+            found = _best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def _one_length(own: DataFrame, dim: int, n: int, k: int, recall: float, sample_rows: int, block: int, query_block: int) -> DataFrame:
-    spark = own.sparkSession
-    near = own.filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 31)) < int(min(1.0, sample_rows / n) * (1 << 31)))
-    sample = near.select("id", "v").limit(2 * sample_rows).toArrow().sort_by("id")
+def _sample(own: DataFrame, dim: int, n: int, rows: int) -> np.ndarray:
+    """About `rows` vectors of the length, by a hash of their ids."""
+    near = own.filter((F.size("v") == dim) & (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 31)) < int(min(1.0, rows / n) * (1 << 31))))
+    sample = near.select("id", "v").limit(2 * rows).toArrow().sort_by("id")
     values = np.concatenate([np.asarray(c.flatten(), float) for c in sample["v"].chunks] or [np.zeros(0)]).reshape(-1, dim)
-    if not len(values):
-        values = np.zeros((1, dim))
-    books = fit(values, int(min(1024, max(4, np.ceil(np.sqrt(n / 200))))), recall, k)
-    shared = spark.sparkContext.broadcast(books)  # 2 * 1024 centroids at most
-    cells = len(books.centres[0]) * len(books.centres[1])
+    return values if len(values) else np.zeros((1, dim))
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.asarray(b.column("v").flatten(), float).reshape(-1, dim)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.cells(x).astype(np.int32))], ["id", "v", "q", "cell"])
 
-    rows = own.select("id", "v", "q").mapInArrow(placed, "id long, v array<double>, q boolean, cell int")
-    counts = np.zeros(cells, np.int64)
-    for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect():  # one row a cell, 2**20 at most
-        counts[r["cell"]] = r["n"]
-    held = spark.sparkContext.broadcast(counts)  # as above
-    least = books.visit * n + k
+def _by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and ends of walks for each length."""
+    v, out = table["v"].combine_chunks(), {}
+    sizes = np.asarray(v.value_lengths(), np.int64)
+    for dim in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dim)
+        out[dim] = np.asarray(table["id"], np.int64)[at], np.asarray(v.take(pa.array(at)).flatten(), float).reshape(-1, dim), np.asarray(table["ends"], float)[at]
+    return out
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.asarray(b.column("v").flatten(), float).reshape(-1, dim)
-                u, w = shared.value.halves(x)
-                paths = [visited(u[i], w[i], held.value, least) for i in range(len(x))]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(paths, pa.list_(pa.int32()))], ["id", "v", "path"])
-
-    pieces = F.create_map(*[F.lit(x) for c, m in enumerate(counts.tolist()) if m > block for x in (c, -(-m // block))]) if (counts > block).any() else F.create_map(F.lit(-1), F.lit(1))
-    split = F.coalesce(pieces[F.col("cell")], F.lit(1))
-    stored = rows.select("id", "v", "cell", F.pmod(F.xxhash64("id"), split).cast("int").alias("piece")).groupBy("cell", "piece").applyInArrow(_packed(["cell", "piece"], ""), "cell int, piece int, ids binary, data binary")
-    asked = own.filter("q").select("id", "v").mapInArrow(routed, "id long, v array<double>, path array<int>").select("id", "v", F.explode("path").alias("cell"))
-    groups = int(max(1, -(-own.filter("q").count() // query_block)))
-    met = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("cell", "part").applyInArrow(_packed(["cell", "part"], "q_"), "cell int, part int, q_ids binary, q_data binary")
-    return met.join(stored, "cell").select("q_ids", "q_data", "ids", "data").mapInArrow(_rank(dim, k), "query_id long, vec_id long, score double")
-
-
-def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, recall: float = 0.96, sample_rows: int = 8192, block: int = 4096, query_block: int = 1024) -> DataFrame:
+
+def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, recall: float = 0.94, sample_rows: int = 8192, block: int = 4096, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is a query the k nearest other rows found, by Euclidean distance.
 
     recall: the share of true neighbours that the visited cells are to hold, as measured on the sample of about
-    sample_rows rows. All rows are indexed.
+    sample_rows rows of a length; 1 visits all cells. All rows are indexed.
     """
+    spark = df.sparkSession
+    shared_dir(spark)
     good = finite(F.col(vector)) & F.exists(vector, lambda x: x != 0) & F.col(key).isNotNull()
     own = df.filter(good).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    lengths = [(r["dim"], r["n"]) for r in own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").limit(65).collect()]
-    if len(lengths) > 64:
-        raise ValueError("more than 64 vector lengths")
-    found = df.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    for dim, n in lengths:
-        found = found.union(_one_length(own.filter(F.size("v") == dim), dim, n, k, recall, sample_rows, block, query_block))
+    large = own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).filter(F.col("n") > block).orderBy(F.desc("n"), "dim").limit(MOST_INDEXED).collect()
+    books = {r["dim"]: fitted(_sample(own, r["dim"], r["n"], sample_rows), r["n"], recall, k) for r in large}
+    shared = spark.sparkContext.broadcast(books)  # MOST_INDEXED * 2 * MOST_CENTRES centroids at most
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v")
+            sizes = np.asarray(v.value_lengths(), np.int64)
+            cell = np.full(len(sizes), -1, np.int32)
+            for dim in set(sizes.tolist()) & set(shared.value):
+                at = np.flatnonzero(sizes == dim)
+                cell[at] = shared.value[dim].cells(np.asarray(v.take(pa.array(at)).flatten(), float).reshape(-1, dim))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], ["id", "v", "q", "cell"])
+
+    rows = own.select("id", "v", "q").mapInArrow(placed, "id long, v array<double>, q boolean, cell int")
+    counts = {dim: np.zeros(len(x.centres[0]) * len(x.centres[1]), np.int64) for dim, x in books.items()}
+    for r in rows.filter("cell >= 0").groupBy(F.size("v").alias("dim"), "cell").agg(F.count("*").alias("n")).collect():  # one row a cell of the books
+        counts[r["dim"]][r["cell"]] = r["n"]
+    filled = spark.sparkContext.broadcast(counts)  # as above
+    least = {r["dim"]: books[r["dim"]].visit * r["n"] + k for r in large}
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, ends = b.column("v"), np.full(b.num_rows, np.inf)
+            sizes = np.asarray(v.value_lengths(), np.int64)
+            for dim in set(sizes.tolist()) & set(shared.value):
+                at = np.flatnonzero(sizes == dim)
+                x, y = shared.value[dim].halves(np.asarray(v.take(pa.array(at)).flatten(), float).reshape(-1, dim))
+                ends[at] = [passed(x[i], y[i], filled.value[dim], least[dim]) for i in range(len(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends)], ["id", "v", "ends"])
+
+    stored = blocks(rows.select("cell", "id", "v"), block, "float64", ("cell",))
+    asked = own.filter("q").select("id", "v")
+    size = asked.agg(F.coalesce(F.sum(8 * (F.size("v") + 2)), F.lit(0))).first()[0]
+    pieces = max(1, -(-size // piece_bytes))
+    if pieces > 1:
+        stored = stored.checkpoint()
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = None
+    for i in range(pieces):
+        piece = asked.filter(F.pmod(F.xxhash64("id"), F.lit(pieces)) == i).mapInArrow(walked, "id long, v array<double>, ends double").toArrow()
+        sent = spark.sparkContext.broadcast(_by_length(piece))  # about piece_bytes
+        part = stored.mapInArrow(_rank(k, sent, shared), "query_id long, vec_id long, score double")
+        part = part.withColumn("rank", F.row_number().over(by).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if pieces > 1:
+            part = part.checkpoint()
+            sent.destroy()
+        found = part if found is None else found.union(part)
+    return found
