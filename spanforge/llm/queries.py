@@ -37,11 +37,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix with 150% of all words takes of every document."""
-    from .mixing import mix
+    from .mixing import mix, small
 
     out = mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.array("source"))
-    rows = [(s, n, out.targets[s]) for s, n in out.sizes.items()]
-    totals = F.broadcast(spark.createDataFrame(rows, "name string, source_size long, target double"))  # one row a source, at most mixing.MOST_PATTERNS
+    totals = small(out.sources.select(F.col("source").alias("name"), F.col("size").alias("source_size"), "target"))
     return out.taken.join(totals, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
