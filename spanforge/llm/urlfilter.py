@@ -25,6 +25,8 @@ from .flat import shared_dir
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: Blocked hosts that are broadcast at most; parts into which a host's pages are dealt beyond that.
 FEW_HOSTS, SALTS = 20_000, 64
+#: Ranks that differ by less than this part of themselves are equal.
+SAME = 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
@@ -52,8 +54,8 @@ def ruled(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
 def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, most: int) -> DataFrame:
     """host, rank: personalised PageRank over edges (src, dst, n) from seeds (host, s), whose s sums to one.
 
-    What reaches a host without edges goes back to the seeds. Ends when ranks change by less than tolerance in
-    sum, or after `most` steps, by when damping ** most is left.
+    What reaches a host without edges goes back to the seeds. Ends when no host's rank changes by more than this part of
+    itself, however many hosts there are, or after `most` steps, by when damping ** most is left.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     flow = edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")).checkpoint()
@@ -64,14 +66,24 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float,
         lost = ranks.join(sources, "host", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         new = seeds.select("host", ((1 - damping + damping * lost) * F.col("s")).alias("rank")).unionByName(moved.select(F.col("dst").alias("host"), (damping * F.col("in")).alias("rank")))
         new = new.groupBy("host").agg(F.sum("rank").alias("rank")).checkpoint()
-        both = new.select("host", F.col("rank").alias("d")).unionByName(ranks.select("host", (-F.col("rank")).alias("d"))).groupBy("host").agg(F.abs(F.sum("d")).alias("d"))
-        change = both.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
+        both = new.select("host", F.col("rank").alias("d")).unionByName(ranks.select("host", (-F.col("rank")).alias("d"))).groupBy("host").agg((F.abs(F.sum("d")) / F.max(F.abs("d"))).alias("d"))
+        change = both.agg(F.coalesce(F.max("d"), F.lit(0.0))).first()[0]
         ranks = new
         if change < tolerance:
             break
     return ranks
 
 
+def suspect(distrust: Column, trust: Column, share: Column, clean: Column, excess: float, many: Column) -> Column:
+    """Whether a host is blocked, by parts of its ranks, so that it doesn't matter how many hosts they are shared among.
+
+    share: its share of all pages; clean: of those that no block rule fits; many: whether block rules fit most pages.
+    """
+    plain = distrust >= excess * share * (1 - SAME)
+    odds = ((excess * share > 0.5) | many) & (distrust * (1 - clean) >= excess * clean * (1 - distrust) * (1 - SAME))
+    return (distrust > trust * (1 + SAME)) & (plain | odds)
+
+
 def judge(df: DataFrame, url: str = "url", html: str = "html", rules: list[tuple[str, str, str]] = RULES, damping: float = 0.85, excess: float = 2.0, tolerance: float = 1e-6, most: int = 60) -> DataFrame:
     """df with host, path, rule and verdict (allow or block). A host is blocked if its distrust is above its trust and
     is at least `excess` times its share of all pages with a host. Where that is over a half, or block rules fit more than
@@ -81,7 +93,7 @@ def judge(df: DataFrame, url: str = "url", html: str = "html", rules: list[tuple
     rule, verdict = ruled(rules)
     made = {"host", "path", "rule", "verdict"}
     # own names while the output's names may still be the input's
-    pages = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], host(F.col(url)).alias("host"), path(F.col(url)).alias("path")).withColumns({"rule": rule, "_ruled": verdict})
+    pages = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), F.pmod(F.xxhash64(F.col(url), F.col(html)), F.lit(SALTS)).alias("_salt")).withColumns({"rule": rule, "_ruled": verdict})
     source = df.select(F.col(url).alias("_url"), F.col(html).alias("_html")).select(host(F.col("_url")).alias("src"), F.explode(F.transform(F.regexp_extract_all("_html", F.lit(LINK), F.lit(1)), lambda x: F.when(x.startswith("//"), F.concat(F.lit("x:"), x)).otherwise(x))).alias("link"))
     edges = source.select("src", host(F.col("link")).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")).checkpoint()
     hosts = pages.filter("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("_ruled") == "allow").alias("good"), F.count_if(F.col("_ruled") == "block").alias("bad")).checkpoint()
@@ -92,14 +104,12 @@ def judge(df: DataFrame, url: str = "url", html: str = "html", rules: list[tuple
     trust, distrust = (F.coalesce(F.col(x), F.lit(0.0)) if x in ranked.columns else F.lit(0.0) for x in ways)
     share = F.col("n") / (n or 1.0)
     clean = (F.col("n") - F.col("bad")) / ((n - bad) or 1.0)
-    plain = F.round(distrust - excess * share, 9) >= 0
-    odds = ((excess * share > 0.5) | F.lit(excess * bad > n)) & (F.round(distrust * (1 - clean) - excess * clean * (1 - distrust), 9) >= 0)
     # the blocked hosts are counted: few are broadcast, many are dealt with salt, so that a host with many pages spreads over tasks
-    blocked = ranked.filter((F.round(distrust - trust, 9) > 0) & (plain | odds)).select("host", F.lit(True).alias("_bad")).checkpoint()
+    blocked = ranked.filter(suspect(distrust, trust, share, clean, excess, F.lit(excess * bad > n))).select("host", F.lit(True).alias("_bad")).checkpoint()
     if blocked.count() <= FEW_HOSTS:
         met = pages.join(F.broadcast(blocked), "host", "left")
     else:
         salted = blocked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        met = pages.withColumn("_salt", F.pmod(F.xxhash64(F.col("path")), F.lit(SALTS))).join(salted, ["host", "_salt"], "left")
+        met = pages.join(salted, ["host", "_salt"], "left")
     out = met.withColumn("verdict", F.coalesce("_ruled", F.when(F.col("_bad"), "block"), F.lit("allow")))
     return out.select(*[c for c in df.columns if c not in made], "host", "path", "rule", "verdict")

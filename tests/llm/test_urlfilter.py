@@ -84,3 +84,13 @@ def test_a_host_with_many_pages_can_be_blocked(spark):
     # most of all pages fit block rules, without links
     rows = [(f"http://b{i % 3}.net/de/{i}", "") for i in range(60)] + [(f"http://b{i}.net/x", "") for i in range(3)] + [(f"http://h{i}.io/", "") for i in range(20)]
     assert verdicts(rows) == {(f"b{i}.net", "block") for i in range(3)} | {(f"h{i}.io", "allow") for i in range(20)}
+
+
+def test_verdicts_do_not_depend_on_the_number_of_hosts(spark):
+    from pyspark.sql import functions as F
+
+    for scale in (1.0, 1e-6, 1e-13):
+        rows = [(x * scale, y * scale, z * scale) for x, y, z in ((0.2, 0.1, 0.05), (0.2, 0.2, 0.05), (0.2, 0.1, 0.11), (0.2, 0.1, 0.1), (0.1, 0.2, 0.01))]
+        df = spark.createDataFrame(rows, "d double, t double, s double")
+        got = [r[0] for r in df.select(U.suspect(F.col("d"), F.col("t"), F.col("s"), F.col("s"), 2.0, F.lit(False))).collect()]
+        assert got == [True, False, False, True, False], scale
