@@ -8,7 +8,9 @@ that calibrates the probabilities. Prediction reads whole texts and nothing but
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text if no row is
 labelled; ties go to the smaller language name; other columns pass through, and output columns replace
-columns of their name. More than `MOST_LANGUAGES` label values are refused.
+columns of their name. Where there are more than MOST_LANGUAGES label values, the most frequent ones are learned
+(ties: the smaller names) and the others are never predicted. The sample is the rows with the smallest hashes of key
+and text, so repeated rows and null keys don't matter, and reruns agree.
 """
 
 from __future__ import annotations
@@ -119,10 +121,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 4000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, batch_bytes: int = 2 << 20) -> Model:
     """Learn from the rows of df with a label and a text. About sample_rows of them are fitted; document frequencies count all."""
     small_batches(df.sparkSession)
-    own = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(17), F.col(key)).alias("pick")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    own = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(17), F.col(key), F.col(text)).alias("pick")).filter("lang is not null and text is not null")
+    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((SIZE + 1, 0), np.float32), np.zeros(0), 1.0)
@@ -134,7 +134,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     chosen = F.lit(False)
     for x in languages:
         chosen = chosen | ((F.col("lang") == x) & (F.pmod("pick", F.lit(1 << 31)) < int(min(1.0, share / sizes[x]) * (1 << 31))))
-    table = own.filter(chosen).mapInArrow(_samples(batch_bytes), "lang string, pick long, i array<int>, x array<float>").limit(2 * sample_rows).toArrow().sort_by([("pick", "ascending"), ("lang", "ascending")])
+    table = own.filter(chosen).orderBy(F.pmod("pick", F.lit(1 << 31)), "lang", "text").limit(2 * sample_rows).mapInArrow(_samples(batch_bytes), "lang string, pick long, i array<int>, x array<float>").toArrow().sort_by([("pick", "ascending"), ("lang", "ascending")])
     rows = [(np.append(i.values.to_numpy(), np.int32(SIZE)), np.append(x.values.to_numpy() * idf[i.values.to_numpy()] * SCALE, 1.0).astype(np.float32)) for i, x in zip(table["i"], table["x"], strict=True)]
     labels = np.array([languages.index(x) for x in table["lang"].to_pylist()], np.int64)
     del table

@@ -4,10 +4,16 @@ Fingerprints are made in one pass. Documents with the same fingerprint become on
 cost nothing further. Each node enters 2^(r+1) - 1 tables, each keyed by the fingerprint under a structured
 bit mask: bit i has a vector m(i) of r + 1 bits and mask v keeps bit i where <m(i), v> is odd. For any r
 differing bits some v is orthogonal to all their vectors, so every pair within the radius meets in a table.
-Only keys with company are looked at. Within a key, links are replaced by a star around the smallest member
-of each linked part; large keys are divided by the same construction over the bits that the mask left free,
-until they are small, so nothing is capped and no pairs are emitted. Stars join into components by
-alternating large-star and small-star steps in Spark.
+Within a key, links are replaced by a star around the smallest member of each linked part. The members of a
+key with more than DIRECT of them go back to Spark and are divided by the same construction over the bits that
+the masks so far left free; fingerprints are distinct, so a few such levels leave small keys only. Nothing is
+capped, no pairs are emitted, and no task holds a large key. Stars join into components by alternating
+large-star and small-star steps in Spark. The rows of a frequent fingerprint are dealt with salt.
+
+near_texts() groups texts by the part of their shingles that they share. A radius of 3 bits finds next to none of
+the pairs that share 0.8 of their five-word shingles (see README), so beside the covering tables each text has
+further fingerprints, of bands of sampled shingles; of texts that share one, each is paired with the nearest by
+SimHash and with the one at the group's middle. All pairs are checked exactly, by all their shingles.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a null doc_id belongs
 to its component and is never its id (a component of null doc_ids only has a null id); repeated rows each
@@ -21,14 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .flat import chunks, shared_dir, small_batches, text_bytes, words
+from .flat import U64, chunks, mix, shared_dir, small_batches, text_bytes, words
+from .substrings import BASE_KEY, rolling
 
 SEED = 42
 #: Up to so many members of a key are compared directly.
 DIRECT = 512
+#: Rows of a fingerprint beyond which they are dealt with salt, a part for each so many.
+HOT = 100_000
+#: Bands of a text, sampled shingles in each, and bits by which texts differ that surely aren't similar.
+BANDS, ROWS, FAR = 16, 4, 28
 LANES = np.uint64(0x0001000100010001)
 
 
@@ -86,16 +97,8 @@ def simhash(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     return own.mapInArrow(_fingerprints(shingle, batch_bytes), "doc_id long, rid long, fp long")
 
 
-def linked(members: np.ndarray, free: int, radius: int) -> np.ndarray:
-    """Of distinct fingerprints that differ in `free` bits only: rows (member, smallest member of its linked part)."""
-    if len(members) > DIRECT:
-        found = [np.zeros((0, 2), np.uint64)]
-        for mask in masks(radius, free):
-            key = members & np.uint64(mask)
-            by = np.lexsort((members, key))
-            cut = np.flatnonzero(np.diff(key[by]) != 0) + 1
-            found += [linked(x, free & ~mask, radius) for x in np.split(members[by], cut) if len(x) > 1]
-        return np.unique(np.concatenate(found), axis=0)
+def linked(members: np.ndarray, radius: int) -> np.ndarray:
+    """Of distinct fingerprints, not many: rows (member, smallest member of its linked part)."""
     near = np.bitwise_count(members[:, None] ^ members[None, :]) <= radius
     label = np.arange(len(members))
     while True:
@@ -107,40 +110,91 @@ def linked(members: np.ndarray, free: int, radius: int) -> np.ndarray:
     return np.stack([members[moved], members[label[moved]]], 1)
 
 
-def _stars(radius: int):
-    free = {t: ((1 << 64) - 1) & ~m for t, m in enumerate(masks(radius, (1 << 64) - 1))}
-
-    def groups(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> np.ndarray:
-        cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1
-        size = np.diff(np.concatenate([[0], cut, [len(t)]]))
-        head = np.concatenate([[0], cut]).astype(np.int64)
-        two = head[size == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius] if len(two) else two
-        out = [np.stack([np.maximum(fp[two], fp[two + 1]), np.minimum(fp[two], fp[two + 1])], 1)]
-        out += [linked(np.sort(fp[h : h + s]), free[int(t[h])], radius) for h, s in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True)]
-        return np.concatenate(out)
+def kept_bits(path: int, radius: int) -> int:
+    """The bits that the masks along a path keep: its base-2**(radius + 1) digits, the first mask's lowest, less one number the masks."""
+    bits, kept = (1 << 64) - 1, 0
+    while path:
+        kept |= masks(radius, bits & ~kept)[path % (1 << radius + 1) - 1]
+        path >>= radius + 1
+    return kept
 
+
+def _divided(radius: int):
+    """Rows (path, fp) to rows (path, key, fp) for each mask over the bits that the path leaves free."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        known: dict[int, list[tuple[int, int]]] = {}
+        for b in batches:
+            path, fp = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
+            for p in np.unique(path).tolist():
+                if p not in known:
+                    step = (radius + 1) * -(-p.bit_length() // (radius + 1))
+                    known[p] = [(q, kept_bits(q, radius)) for q in (p | t << step for t in range(1, 1 << radius + 1))]
+                own = fp[path == p]
+                for q, kept in known[p]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q)), pa.array((own & np.uint64(kept)).view(np.int64)), pa.array(own.view(np.int64))], ["path", "key", "fp"])
 
-        def made(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], ["u", "v"])
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str], most: int) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
+    """Rows sorted by their first two columns as (columns, whether the last group goes on, whether it began before): whole groups
+    together, a group beyond `most` rows in parts."""
+    held: list[np.ndarray] = []
+    began = False
+    for b in batches:
+        new = [np.asarray(b.column(c)) for c in columns]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        if not len(held[0]):
+            continue
+        changes = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))
+        last = int(changes[-1]) + 1 if len(changes) else 0
+        if last:
+            yield [x[:last] for x in held], False, began
+            held, began = [x[last:] for x in held], False
+        if len(held[0]) > most:
+            yield held, True, began
+            held, began = [x[-1:] for x in held], True
+    if held and len(held[0]) > began:
+        yield held, False, began
 
-        for b in batches:
-            new = [np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)).view(np.uint64)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if not len(held[0]):
-                continue
-            last = int(np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[-1:].sum()) + 1 if (held[0] != held[0][-1]).any() or (held[1] != held[1][-1]).any() else 0
-            if last:
-                yield made(groups(*(x[:last] for x in held)))
-                held = [x[last:] for x in held]
-        if len(held[0]):
-            yield made(groups(*held))
+
+def _stars(radius: int):
+    """Rows (path, key, fp) sorted by path and key to links (u, v) with path 0, and members of large keys (u) with their path."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (path, key, fp), on, began in _groups(batches, ["path", "key", "fp"], DIRECT):
+            fp = fp.view(np.uint64)
+            cut = np.flatnonzero((np.diff(path) != 0) | (np.diff(key) != 0)) + 1
+            head = np.concatenate([[0], cut]).astype(np.int64)
+            size = np.diff(np.append(head, len(path)))
+            large = size > DIRECT
+            large[0] |= began or (on and len(head) == 1)
+            rest = np.repeat(large, size)
+            if began:
+                rest[0] = False  # carried along to tell where its group goes on
+            two = head[(size == 2) & ~large]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius] if len(two) else two
+            out = [np.stack([np.maximum(fp[two], fp[two + 1]), np.minimum(fp[two], fp[two + 1])], 1)]
+            out += [linked(np.sort(fp[h : h + n]), radius) for h, n in zip(head[(size > 2) & ~large].tolist(), size[(size > 2) & ~large].tolist(), strict=True)]
+            pairs = np.concatenate(out)
+            u, v = (np.concatenate([pairs[:, i], fp[rest]]).view(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.concatenate([np.zeros(len(pairs), np.int64), path[rest]]))], ["u", "v", "path"])
 
     return run
 
 
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """u, v: stars over the linked parts of distinct fingerprints (fp)."""
+    found, left = None, nodes.select(F.lit(0).cast("long").alias("path"), "fp")
+    while True:
+        met = left.mapInArrow(_divided(radius), "path long, key long, fp long").repartition("path", "key").sortWithinPartitions("path", "key")
+        out = met.mapInArrow(_stars(radius), "u long, v long, path long").checkpoint()
+        stars = out.filter("path = 0").select("u", "v")
+        found = stars if found is None else found.union(stars)
+        left = out.filter("path <> 0").select("path", F.col("u").alias("fp"))
+        if left.isEmpty():
+            return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u, v: each node of the edges (u, v) with the smallest node of its component, itself left out.
 
@@ -174,12 +228,144 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     component_id the smallest doc_id reachable over fingerprints within the radius."""
     shared_dir(df.sparkSession)
     prints = simhash(df, text, doc_id, shingle).checkpoint()
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for t, m in enumerate(masks(radius, (1 << 64) - 1))])
-    keys = nodes.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = keys.join(shared, ["t", "key"], "left_semi").repartition("t", "key").sortWithinPartitions("t", "key")
-    roots = components(met.mapInArrow(_stars(radius), "u long, v long")).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    placed = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    roots = components(links(nodes, radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    placed = nodes.join(roots, "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(placed.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "rid", "fp", "root", "component_id")
+    told = placed.join(ids, "root").select("fp", "root", "component_id", F.ceil(F.col("n") / HOT).alias("parts"))
+    hot = told.filter("parts > 1").select("fp", F.col("parts").alias("_parts"))  # one in HOT rows at most
+    salted = prints.join(few(hot), "fp", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("rid", F.monotonically_increasing_id()), F.col("_parts")), F.lit(0)))
+    spread = told.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    return salted.join(spread, ["fp", "_salt"]).select("doc_id", "rid", "fp", "root", "component_id")
+
+
+def few(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """df, for broadcast where it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _shingles(column: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all rows' shingles, each one's row, each row's number of them, and a hash of each row's words."""
+    w = words(column, lower=True)
+    hashes = w.hashes()
+    count = np.maximum(w.counts - shingle + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    at = np.repeat(w.first[:-1] - (np.cumsum(count) - count), count) + np.arange(len(row))
+    place = np.arange(len(hashes)) - np.repeat(w.first[:-1], w.counts)
+    total = np.zeros(len(count), np.uint64)
+    np.add.at(total, np.repeat(np.arange(len(count)), w.counts), mix(hashes ^ mix(place.astype(np.uint64))))
+    return mix(rolling(hashes, shingle, BASE_KEY)[at]), row, count, mix(total + w.counts.astype(np.uint64))
+
+
+def bands(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """BANDS keys of each row: of the smallest hashes in BANDS * ROWS parts of its set of shingles. An empty part takes the next
+    one's."""
+    parts = BANDS * ROWS
+    low = np.full(rows * parts, np.iinfo(np.uint64).max, np.uint64)
+    slot = (hashes >> U64(32)) * U64(parts) >> U64(32)
+    np.minimum.at(low, row * parts + slot.astype(np.int64), mix(hashes))
+    low = low.reshape(rows, parts)
+    empty = low == np.iinfo(np.uint64).max
+    while empty.any() and not empty.all(1).any():
+        low = np.where(empty, mix(np.roll(low, -1, 1)), low)
+        empty &= np.roll(empty, -1, 1)
+    keys = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64)), (rows, BANDS)).copy()
+    for k in range(ROWS):
+        keys = mix(keys ^ low[:, k::ROWS])
+    return keys
+
+
+def _prints(shingle: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, "_text", limit):
+            hashes, row, count, node = _shingles(table["_text"], shingle)
+            some = np.flatnonzero(count)
+            keys = bands(hashes, np.repeat(np.arange(len(some)), count[some]), len(some))
+            offsets = np.concatenate([[0], np.cumsum(np.where(count > 0, BANDS, 0))])
+            made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+            cols = [table["doc_id"].combine_chunks(), table["_rid"].combine_chunks(), pa.array(node.view(np.int64)), pa.array(fingerprint(hashes, count).view(np.int64)), made]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "node", "fp", "bands"])
+
+    return run
+
+
+def _candidates():
+    """Rows (key, zero, node, fp) sorted by key to pairs of nodes worth an exact look: each with its nearest and the middle one
+    of its group, by fingerprint; a long group's parts are tied by their middles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = None
+        for (key, _, node, fp), on, began in _groups(batches, ["key", "zero", "node", "fp"], DIRECT):
+            fp = fp.view(np.uint64)
+            head = np.concatenate([[0], np.flatnonzero(np.diff(key) != 0) + 1]).astype(np.int64)
+            size = np.diff(np.append(head, len(key)))
+            out = [np.zeros((0, 2), np.int64)]
+            two = head[size == 2]
+            out.append(np.stack([two, two + 1], 1))
+            ties = []
+            for i in np.flatnonzero(size > 2).tolist() + ([0] if began and size[0] <= 2 else []):
+                first, n = int(head[i]), int(size[i])
+                for start in range(first, first + n, DIRECT):
+                    at = np.arange(start, min(start + DIRECT, first + n))
+                    far = np.bitwise_count(fp[at][:, None] ^ fp[at][None, :]).astype(np.int64)
+                    centre = at[far.sum(1).argmin()]
+                    np.fill_diagonal(far, 99)
+                    if len(at) > 1:
+                        out += [np.stack([at, at[far.argmin(1)]], 1), np.stack([at, np.full(len(at), centre)], 1)]
+                    if start > first:
+                        ties.append((node[centre], before))
+                    elif i == 0 and began and middle is not None:
+                        ties.append((node[centre], middle))
+                    before = node[centre]
+                if i == len(size) - 1:
+                    middle = before
+            pair = np.concatenate(out)
+            pair = pair[np.bitwise_count(fp[pair[:, 0]] ^ fp[pair[:, 1]]) <= FAR]
+            made = np.concatenate([node[pair], np.array(ties, np.int64).reshape(-1, 2)])
+            u, v = made.max(1) if len(made) else made[:, 0], made.min(1) if len(made) else made[:, 0]
+            new = u != v
+            yield pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new])], ["u", "v"])
+
+    return run
+
+
+def _similar(shingle: int, least: float, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, "a", limit):
+            sets = []
+            for c in ("a", "b"):
+                hashes, _, count, _ = _shingles(table[c], shingle)
+                ends = np.cumsum(count)
+                sets.append([np.unique(hashes[y - n : y]) for y, n in zip(ends.tolist(), count.tolist(), strict=True)])
+            good = np.zeros(table.num_rows, bool)
+            for i, (x, y) in enumerate(zip(*sets, strict=True)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = both >= least * (len(x) + len(y) - both) and both > 0
+            yield from table.select(["u", "v"]).filter(pa.array(good)).to_batches()
+
+    return run
+
+
+def near_texts(df: DataFrame, rid: Column, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = 3, batch_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id, rid, node, root of every row: rows with one root are linked by texts with the same words (a node), or that share at
+    least `similarity` of their different shingles. rid: a column that identifies a row. A text of fewer words than a shingle
+    is only like texts of the same words; null and empty texts are alike."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    small_batches(spark)
+    own = df.select(F.col(doc_id).cast("long").alias("doc_id"), rid.alias("_rid"), F.col(text).alias("_text"))
+    prints = own.mapInArrow(_prints(shingle, batch_bytes), "doc_id long, rid long, node long, fp long, bands array<long>").checkpoint()
+    nodes = prints.groupBy("node").agg(F.min("rid").alias("rid"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    keys = nodes.select(F.explode("bands").alias("key"), F.lit(0).alias("zero"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
+    same = nodes.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
+    alike = nodes.join(same, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    ends = lambda c, n: same.select(F.col("fp").alias(c), F.col("first").alias(n))
+    covered = links(same, radius).join(ends("u", "x"), "u").join(ends("v", "y"), "v").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    pairs = keys.mapInArrow(_candidates(), "u long, v long").union(alike).union(covered).distinct().checkpoint()
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    # one text of each node that is to be looked at
+    wanted = nodes.select("node", "rid").join(asked, "node", "left_semi")
+    texts = own.select(F.col("_rid").alias("rid"), "_text").join(wanted, "rid").groupBy("node").agg(F.min("_text").alias("_text")).checkpoint()
+    told = lambda c, t: texts.select(F.col("node").alias(c), F.col("_text").alias(t))
+    checked = pairs.join(told("u", "a"), "u").join(told("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_similar(shingle, similarity, batch_bytes), "u long, v long")
+    roots = components(checked).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return prints.select("doc_id", "rid", "node").join(roots, "node", "left").select("doc_id", "rid", "node", F.coalesce("root", "node").alias("root"))

@@ -46,34 +46,78 @@ def test_every_pair_in_the_radius_meets():
         assert any(not d & m for m in masks)
 
 
-def test_large_keys_are_divided_without_loss():
+def parts(members, pairs):
+    root = {int(m): int(m) for m in members}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(int(a))] = find(int(b))
+    groups = {}
+    for m in root:
+        groups.setdefault(find(m), set()).add(m)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_large_keys_are_divided_without_loss(spark):
     r = np.random.default_rng(1)
-    centre = r.integers(0, 1 << 62, 40, dtype=np.uint64)
+    centre = r.integers(0, 1 << 62, 4, dtype=np.uint64)
     flips = np.array([[1 << b for b in r.choice(64, 2, replace=False)] for _ in range(4000)], dtype=np.uint64)
-    members = np.unique(centre[r.integers(0, 40, 4000)] ^ flips[:, 0] ^ flips[:, 1])
-
-    def parts(pairs):
-        root = {int(m): int(m) for m in members}
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for a, b in pairs.tolist():
-            root[find(a)] = find(b)
-        groups = {}
-        for m in members.tolist():
-            groups.setdefault(find(m), set()).add(m)
-        return sorted(map(sorted, groups.values()))
-
-    everything = (1 << 64) - 1
-    got = parts(S.linked(members, everything, 3))
-    S.DIRECT, keep = 10**6, S.DIRECT
-    try:
-        assert got == parts(S.linked(members, everything, 3))
-    finally:
-        S.DIRECT = keep
+    # most keys have far more than DIRECT members
+    members = np.unique(centre[r.integers(0, 4, 4000)] ^ flips[:, 0] ^ flips[:, 1])
+    df = spark.createDataFrame([(int(m),) for m in members.view(np.int64)], "fp long").repartition(3)
+    got = [(x.u, x.v) for x in S.links(df, 3).collect()]
+    want = [(int(a), int(b)) for a, b in S.linked(members, 3).view(np.int64)]
+    assert parts(members.view(np.int64), got) == parts(members.view(np.int64), want)
+    assert S.kept_bits(0, 3) == 0 and S.kept_bits(5, 3) == S.masks(3, (1 << 64) - 1)[4]
+
+
+def test_frequent_fingerprints_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 3)
+    rows = [(i, "the same words", 1) for i in range(20)] + [(50, "", 1), (51, None, 1), (52, " ", 1), (53, "\t", 1), (60, "other words here", 1)]
+    got = sorted(((x.doc_id, x.fp & (1 << 64) - 1, x.component_id) for x in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)).collect()), key=str)
+    assert got == brute(rows := [r[:2] for r in rows])
+
+
+def similar(texts, n=5, least=0.8):
+    """Groups of texts (by index) that share enough of their shingles, by all pairs."""
+    w = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(x[i : i + n]) for i in range(len(x) - n + 1)} for x in w]
+    links = []
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if w[i] == w[j] or (both and both >= least * len(sets[i] | sets[j])):
+            links.append((i, j))
+    return parts(range(len(texts)), links)
+
+
+def test_near_texts_match_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.choice((1, 4, 5, 60, 150, 700)))) for _ in range(80)] + [None, "", "  "]
+    for k in range(160):
+        w = texts[r.randrange(80)].split()
+        for _ in range(r.choice((0, 1, 1, len(w) // 60, len(w) // 20))):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        texts.append(" ".join(w).upper() if k % 9 == 0 else "\n".join(w))
+    # many copies of one text that are like it, and less like each other
+    base = [r.choice(vocabulary) for _ in range(200)]
+    for _ in range(700):
+        w = list(base)
+        for _ in range(r.choice((1, 2, 3))):
+            w[r.randrange(200)] = r.choice(vocabulary)
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    groups = {}
+    for x in S.near_texts(df, F.col("doc_id")).collect():
+        groups.setdefault(x.root, []).append(x.doc_id)
+    assert sorted(map(sorted, groups.values())) == similar(texts)
+    assert S.near_texts(df.filter("false"), F.col("doc_id")).count() == 0
 
 
 def test_long_documents_and_no_rows(spark):
