@@ -134,7 +134,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     chosen = F.lit(False)
     for x in languages:
         chosen = chosen | ((F.col("lang") == x) & (F.pmod("pick", F.lit(1 << 31)) < int(min(1.0, share / sizes[x]) * (1 << 31))))
-    table = own.filter(chosen).orderBy(F.pmod("pick", F.lit(1 << 31)), "lang", "text").limit(2 * sample_rows).mapInArrow(_samples(batch_bytes), "lang string, pick long, i array<int>, x array<float>").toArrow().sort_by([("pick", "ascending"), ("lang", "ascending")])
+    table = own.filter(chosen).mapInArrow(_samples(batch_bytes), "lang string, pick long, i array<int>, x array<float>").orderBy(F.pmod("pick", F.lit(1 << 31)), "pick", "lang").limit(2 * sample_rows).toArrow().sort_by([("pick", "ascending"), ("lang", "ascending")])
     rows = [(np.append(i.values.to_numpy(), np.int32(SIZE)), np.append(x.values.to_numpy() * idf[i.values.to_numpy()] * SCALE, 1.0).astype(np.float32)) for i, x in zip(table["i"], table["x"], strict=True)]
     labels = np.array([languages.index(x) for x in table["lang"].to_pylist()], np.int64)
     del table
