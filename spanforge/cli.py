@@ -129,8 +129,9 @@ def determine_strand(a: argparse.Namespace) -> None:
 
 def feature_count(a: argparse.Namespace) -> None:
     spark = _session()
-    reads = sam.alignments(load_reads(spark, a.input)).select("chrom", "start", "end", "strand", "blocks")
-    _table(reports.feature_count(reads, T.read_bed(spark, a.transcripts), a.strand, a.mode), a.output)
+    reads = sam.alignments(load_reads(spark, a.input))
+    counted = pairing.fragments(reads) if a.type == "paired" else reads
+    _table(reports.feature_count(counted, T.read_bed(spark, a.transcripts), a.strand, a.mode, paired=a.type == "paired"), a.output)
 
 
 def report_ratio(a: argparse.Namespace) -> None:
@@ -208,7 +209,7 @@ def parser() -> argparse.ArgumentParser:
     add("gtf-information", gtf_information, "input", "output")
     add("append-canonical", append_canonical, "input", "canonical", "output")
     add("determine-strand", determine_strand, "input", "output", protocol={"choices": ["fr", "rf"]}, genes={})
-    add("feature-count", feature_count, "input", "transcripts", "output", strand={"choices": ["forward", "reverse"]}, mode={"choices": ["overlap", "coincide"], "default": "overlap"})
+    add("feature-count", feature_count, "input", "transcripts", "output", strand={"choices": ["forward", "reverse"]}, mode={"choices": ["overlap", "coincide"], "default": "overlap"}, type={"choices": ["single", "paired"], "default": "single"})
     add("report-mismatch-ratio", report_ratio, "input", "output")
     add("statistic-mismatch-event", statistic, "input", "output", snps={}, min_distance={"type": int, "default": 5}, min_quality={"type": int, "default": 20})
     add("extract-snp", extract_snp, "input", "output")

@@ -124,13 +124,13 @@ def contains(b: Column, inner: Column) -> Column:
 
 def coincides(ref: Column, query: Column) -> Column:
     """Whether query is splice-compatible with ref: inner edges of query lie on block edges of ref, whole blocks
-    of ref may be skipped. Not symmetric."""
+    of ref may be skipped. Not symmetric. An empty query is compatible."""
     a, z = first(query), last(query)
     single = F.exists(ref, lambda x: (x["s"] <= a["s"]) & (x["e"] >= a["e"]))
     head = F.exists(ref, lambda x: (x["s"] <= a["s"]) & (x["e"] == a["e"]))
     middle = F.forall(F.slice(query, 2, F.greatest(F.size(query) - 2, F.lit(0))), lambda y: F.exists(ref, lambda x: (x["s"] == y["s"]) & (x["e"] == y["e"])))
     tail = F.exists(ref, lambda x: (x["s"] == z["s"]) & (x["e"] >= z["e"]))
-    return F.when(F.size(query) == 1, single).otherwise(head & middle & tail)
+    return F.when(F.size(query) == 0, True).when(F.size(query) == 1, single).otherwise(head & middle & tail)
 
 
 def clip(b: Column, start: Column | int, end: Column | int, strict: bool = False) -> Column:

@@ -61,6 +61,19 @@ def in_order(df: DataFrame, *ties: str) -> DataFrame:
     return df.orderBy("chrom", "start", "end", *ties)
 
 
+def placed(df: DataFrame, *ties: str, width: int = 1 << 20) -> DataFrame:
+    """df with place: each row's number from 1 in the order of in_order().
+
+    Rows are numbered inside coordinate bins; only one row a bin, with its count, is windowed over all bins.
+    """
+    keyed = df.withColumn("_bin", F.floor(F.col("start") / width))
+    before = Window.orderBy("chrom", "_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("chrom", "_bin").agg(F.count("*").alias("_n"))
+    offsets = counts.select("chrom", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = Window.partitionBy("chrom", "_bin").orderBy("start", "end", *ties)
+    return keyed.join(offsets, ["chrom", "_bin"]).withColumn("place", (F.col("_before") + F.row_number().over(local)).cast("long")).drop("_bin", "_before")
+
+
 def merge_sorted(*inputs: DataFrame) -> DataFrame:
     """All rows with container (the input's number), in order; ties go to the smaller number."""
     tagged = [d.withColumn("container", F.lit(i)) for i, d in enumerate(inputs)]

@@ -15,24 +15,29 @@ def _after_overlap(condition: Column) -> Column:
     return F.when(I.overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")), condition).otherwise(False)
 
 
-def feature_count(reads: DataFrame, features: DataFrame, strand: str | None = None, mode: str = "overlap", width: int = 1000) -> DataFrame:
-    """name, Length, Count for every feature, also those without reads.
+def feature_count(reads: DataFrame, features: DataFrame, strand: str | None = None, mode: str = "overlap", width: int = 1000, paired: bool = False) -> DataFrame:
+    """name, Length, Count for every feature, also those without reads; features of one name are counted apart.
 
-    features: name, chrom, start, end, strand[, blocks]; reads: chrom, start, end, strand[, blocks]. strand: forward (the same),
-    reverse (the other) or None; mode: overlap (spans), coincide or contain (blocks).
+    features: name, chrom, start, end, strand[, blocks]; reads: chrom, start, end, strand[, blocks], or fragments with mate1 and
+    mate2 if paired. strand: forward (the same), reverse (the other) or None; mode: overlap (spans), coincide or contain
+    (blocks, of both mates if paired).
     """
     if strand not in (None, "forward", "reverse") or mode not in ("overlap", "coincide", "contain"):
         raise ValueError("unknown strand or mode")
-    used = ["chrom", "start", "end", "strand", *(["blocks"] if mode != "overlap" else [])]
-    # the counted side has fewer columns than the pairs: only names go on
-    met = overlap_join(reads.select(*used), features.select("name", *used), width=width)
+    span = ["chrom", "start", "end", "strand"]
+    looked = [] if mode == "overlap" else ["mate1.blocks", "mate2.blocks"] if paired else ["blocks"]
+    used = [*span, *(["blocks"] if looked else [])]
+    size = B.length(F.col("blocks")) if "blocks" in features.columns else F.col("end") - F.col("start")
+    named = features.select("name", size.alias("Length"), *used, F.xxhash64("name", *used).alias("_id"))
+    # the counted side has fewer columns than the pairs: only ids go on; equal features are one
+    own = reads.select(*span, *[F.col(c).alias(f"_blocks{i}") for i, c in enumerate(looked)])
+    met = overlap_join(own, named.select("_id", *used).dropDuplicates(["_id"]), width=width)
     if strand:
         met = met.filter(F.col("strand") == F.col("r_strand") if strand == "forward" else F.col("strand") != F.col("r_strand"))
-    if mode != "overlap":
-        met = met.filter(_after_overlap((B.coincides if mode == "coincide" else B.contains)(F.col("r_blocks"), F.col("blocks"))))
-    counts = met.groupBy(F.col("r_name").alias("name")).agg(F.count("*").alias("Count"))
-    size = B.length(F.col("blocks")) if "blocks" in features.columns else F.col("end") - F.col("start")
-    return features.select("name", size.alias("Length")).join(counts, "name", "left").select("name", "Length", F.coalesce("Count", F.lit(0)).alias("Count"))
+    for i in range(len(looked)):
+        met = met.filter(_after_overlap((B.coincides if mode == "coincide" else B.contains)(F.col("r_blocks"), F.col(f"_blocks{i}"))))
+    counts = met.groupBy(F.col("r__id").alias("_id")).agg(F.count("*").alias("Count"))
+    return named.select("name", "Length", "_id").join(counts, "_id", "left").select("name", "Length", F.coalesce("Count", F.lit(0)).alias("Count"))
 
 
 def assign_strand(fragments: DataFrame, transcripts: DataFrame, key: str, width: int = 1000) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -55,13 +55,22 @@ def feature_count_coincide(spark, d):
     return reports.feature_count(V.fragments(spark, d), V.transcripts(spark, d), mode="coincide", width=2000)
 
 
+@query("""SELECT t.name, (SELECT CAST(sum(x.e - x.s) AS BIGINT) FROM exons x WHERE x.part = t.part) AS "Length", CAST(count(f.id) AS BIGINT) AS "Count" FROM transcripts t LEFT JOIN fragments f ON t.chrom = f.chrom AND t."start" < f."end" AND t."end" > f."start"
+ AND len(list_filter(t.b, lambda x: x.s <= f."start" AND x.e >= f."start" + f.n)) > 0 AND len(list_filter(t.b, lambda x: x.s <= f."start" + 100 AND x.e >= f."start" + 100 + f.n)) > 0 GROUP BY ALL""", V.TRANSCRIPTS, V.FRAGMENTS)
+def feature_count_paired(spark, d):
+    """Fragments of which each mate by itself coincides."""
+    mate = lambda i: F.struct(F.array(F.get("blocks", F.lit(i))).alias("blocks"))
+    pairs = V.fragments(spark, d).withColumns({"mate1": mate(0), "mate2": mate(1)}).drop("blocks")
+    return reports.feature_count(pairs, V.transcripts(spark, d), mode="coincide", width=2000, paired=True)
+
+
 JOINED = f'SELECT r.chrom, r."start" AS r_start, r."end" AS r_end, r.strand, f.name FROM reads r JOIN features f ON {OVER}'
 
 
 @query(JOINED, V.READS, V.FEATURES)
 def overlap_join(spark, d):
-    """By equality of chrom and a range condition."""
-    out = joins.overlap_join_plain(V.reads(spark, d), V.features(spark, d), prefix="f_")
+    """Rows meet in the bins of their coordinates."""
+    out = joins.overlap_join(V.reads(spark, d), V.features(spark, d), width=1000, prefix="f_")
     return out.select("chrom", c("start").alias("r_start"), c("end").alias("r_end"), "strand", c("f_name").alias("name"))
 
 
@@ -159,8 +168,7 @@ def iv_shift(spark, d):
 
 @query('SELECT name, CAST(row_number() OVER (ORDER BY chrom, "start", "end", name) AS BIGINT) AS place FROM features', V.FEATURES)
 def iv_sort(spark, d):
-    key = Window.orderBy(I.order_key(c("chrom"), c("start"), c("end")), "name")
-    return V.features(spark, d).select("name", F.row_number().over(key).cast("long").alias("place"))
+    return islands.placed(V.features(spark, d), "name").select("name", "place")
 
 
 @query("""SELECT name, CASE WHEN "start" < e2 AND "end" > s2 THEN CAST(greatest("start", s2) AS VARCHAR) || '-' || CAST(least("end", e2) AS VARCHAR) END AS both,
@@ -352,7 +360,7 @@ def bundle_capacity(spark, d):
 def kway_merge(spark, d):
     own = ["chrom", "start", "end", "name"]
     out = islands.merge_sorted(V.features(spark, d).select(*own), _tx(spark, d).select(*own))
-    return out.select("container", "name", F.row_number().over(Window.orderBy("chrom", "start", "end", "container", "name")).cast("long").alias("place"))
+    return islands.placed(out, "container", "name").select("container", "name", "place")
 
 
 @query("""SELECT name FROM (SELECT name, "start", "end", lag("start") OVER w AS ps, lag("end") OVER w AS pe FROM features WINDOW w AS (PARTITION BY chrom ORDER BY name)) WHERE ps IS NOT NULL AND ("start" < ps OR ("start" = ps AND "end" < pe))""", V.FEATURES)
@@ -638,7 +646,7 @@ def fragment_blocks(spark, d):
 @query("""SELECT 'q' || CAST(id AS VARCHAR) AS qname, "start" AS s1, "start" + 60 AS s2 FROM fragments""", V.FRAGMENTS)
 def name_pairs(spark, d):
     """Mates by their place in a name-paired file."""
-    f = V.fragments(spark, d).selectExpr("concat('q', cast(id as string)) as qname", "start", "row_number() over (order by id) - 1 as n")
+    f = V.fragments(spark, d).selectExpr("concat('q', cast(id as string)) as qname", "start", "id as n")
     both = f.selectExpr("qname", "start", "n * 2 as ordinal").unionByName(f.selectExpr("qname", "start + 60 as start", "n * 2 + 1 as ordinal"))
     out = pairing.name_paired(both, "ordinal")
     return out.select("qname", c("mate1.start").alias("s1"), c("mate2.start").alias("s2"))

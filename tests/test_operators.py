@@ -119,3 +119,16 @@ def test_all_registered_queries_have_oracles():
     from spanforge.plans import catalogue
 
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES) and len(catalogue.QUERIES) > 80
+
+
+def test_features_of_one_name_are_counted_apart(spark):
+    from spanforge.operators import reports
+
+    whole, half = [(10, 20), (30, 40)], [(10, 20)]
+    features = spark.createDataFrame([("G", "chrX", 10, 40, "+", whole), ("G", "chrY", 10, 40, "+", whole), ("H", "chrX", 10, 20, "+", half), ("H", "chrX", 10, 20, "+", half)], "name string, chrom string, start long, end long, strand string, blocks array<struct<s:bigint,e:bigint>>")
+    kind = "chrom string, start long, end long, strand string, mate1 struct<blocks:array<struct<s:bigint,e:bigint>>>, mate2 struct<blocks:array<struct<s:bigint,e:bigint>>>"
+    pairs = spark.createDataFrame([("chrX", 12, 38, "+", ([(12, 15)],), ([(31, 38)],)), ("chrX", 12, 38, "-", ([(12, 20), (30, 31)],), ([(31, 38)],)), ("chrX", 12, 29, "+", ([(12, 15)],), ([(22, 29)],))], kind)
+    count = lambda **how: sorted(map(tuple, reports.feature_count(pairs, features, paired=True, **how).collect()))
+    assert count() == [("G", 20, 0), ("G", 20, 3), ("H", 10, 3), ("H", 10, 3)]
+    assert count(mode="coincide") == [("G", 20, 0), ("G", 20, 2), ("H", 10, 0), ("H", 10, 0)]
+    assert count(mode="coincide", strand="forward") == [("G", 20, 0), ("G", 20, 1), ("H", 10, 0), ("H", 10, 0)]
