@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from .flat import shared_dir
 
 LEVELS = 32
-#: Shares of a block's postings: worked through to set a mark, and between looks at the bounds; share of its rows whose exact
+#: Shares of a block's postings: worked through to set a mark, after the point from which a vector not met at all cannot reach it,
+#: and between further looks at the bounds; share of its rows whose exact
 #: scores cost less than the postings between two looks.
-SEEDS, STEP, FEW = 0.04, 0.08, 0.15
+SEEDS, FIRST, STEP, FEW = 0.02, 0.18, 0.08, 0.25
 PACKED = "dim int, block int, ids binary, data binary"
 #: Bytes of queries that are broadcast at a time; lengths with several blocks that are broadcast at most.
 PIECE_BYTES, FEW_LENGTHS = 32 << 20, 10_000
@@ -74,7 +75,7 @@ class Index:
         self.values = values
         n, dims = values.shape
         by = np.argsort(values, axis=0, kind="stable").T
-        self.docs = by.astype(np.int32)
+        self.docs = np.ascontiguousarray(by)
         sorted_ = np.take_along_axis(values.T, by, 1)
         span = np.maximum(sorted_[:, -1:] - sorted_[:, :1], 1)
         level = (sorted_ - sorted_[:, :1]).astype(float) * LEVELS // (span + 1)
@@ -111,10 +112,10 @@ class Index:
             next_ = np.clip(np.where(high, n - count - 1, count), 0, n - 1)
             best = np.where(count < n, weight * self.vals[np.arange(dims), next_], 0.0)  # most that an unseen posting adds
             ends = [(j, slice(n - c, n) if h else slice(0, c)) for j, (c, h) in enumerate(zip(count.tolist(), high.tolist(), strict=True)) if c]
-            docs = np.concatenate([self.docs[j, s] for j, s in ends])
-            gains = np.concatenate([self.vals[j, s] * weight[j] - best[j] for j, s in ends])
             # what has been met in place of the bound for it, over the bounds of all components
-            reach = best.sum() + np.bincount(docs, gains, n)
+            reach = np.full(n, best.sum())
+            for j, s in ends:
+                reach[self.docs[j, s]] += self.vals[j, s] * weight[j] - best[j]
             reach[skip] = -np.inf
             return reach
 
@@ -127,6 +128,7 @@ class Index:
         to = min(int(np.searchsorted(work, SEEDS * n * dims, "left")) + 1, len(order))
         mark = marked(bounds(to))
         to = min(max(to, int(np.searchsorted(-unseen, -mark, "right")) + 1), len(order))
+        to = min(int(np.searchsorted(work, work[to - 1] + FIRST * n * dims, "left")) + 1, len(order))
         while True:
             reach = bounds(to)
             mark = max(mark, marked(reach))
