@@ -134,6 +134,18 @@ def feature_count(a: argparse.Namespace) -> None:
     _table(reports.feature_count(counted, T.read_bed(spark, a.transcripts), a.strand, a.mode, paired=a.type == "paired"), a.output)
 
 
+def identify_events(a: argparse.Namespace) -> None:
+    """Mismatch events as tags of reads, or of both mates and their fragments; the reference is that of the MD tags or a FASTA's."""
+    spark = _session()
+    reads = sam.alignments(load_reads(spark, a.input))
+    chunks = None if a.genome is None else T.chunked(T.read_fasta(spark, a.genome).withColumn("name", F.regexp_extract("name", r"^\S+", 0)), 1 << 12)
+    if a.type == "paired":
+        out = pairing.as_reads(events.identified_pairs(pairing.fragments(events.mapped(reads)), chunks, 1 << 12))
+    else:
+        out = events.identified(reads, chunks, 1 << 12)
+    sam.write_sam(out, a.output)
+
+
 def report_ratio(a: argparse.Namespace) -> None:
     """Mismatch ratios and co-occurrence, from the events of the CE or else the ME tag."""
     reads = load_reads(_session(), a.input).filter(F.col("tags")["ME"].isNotNull())
@@ -210,6 +222,7 @@ def parser() -> argparse.ArgumentParser:
     add("append-canonical", append_canonical, "input", "canonical", "output")
     add("determine-strand", determine_strand, "input", "output", protocol={"choices": ["fr", "rf"]}, genes={})
     add("feature-count", feature_count, "input", "transcripts", "output", strand={"choices": ["forward", "reverse"]}, mode={"choices": ["overlap", "coincide"], "default": "overlap"}, type={"choices": ["single", "paired"], "default": "single"})
+    add("identify-mismatch-events", identify_events, "input", "output", genome={}, type={"choices": ["single", "paired"], "default": "single"})
     add("report-mismatch-ratio", report_ratio, "input", "output")
     add("statistic-mismatch-event", statistic, "input", "output", snps={}, min_distance={"type": int, "default": 5}, min_quality={"type": int, "default": 20})
     add("extract-snp", extract_snp, "input", "output")

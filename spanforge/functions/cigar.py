@@ -145,6 +145,17 @@ def _events(n: Column, found: Column, deletions: bool, insertions: bool) -> Colu
     return F.array_sort(F.transform(all_, row)).cast(EVENTS)
 
 
+def base_events(cigar: Column, start: Column, md: Column, seq: Column, qual: Column) -> Column:
+    """Mismatches and deletions, these with an event for each base (alt -, quality 0); dist: mapped bases to the nearer end."""
+    return let(mapped_length(cigar), lambda n: _base_events(n, snvs(cigar, start, md, seq, qual)))
+
+
+def _base_events(n: Column, found: Column) -> Column:
+    row = lambda x, i: F.struct((x["g0"] + i).alias("pos"), F.substring(x["ref"], i.cast("int") + 1, F.lit(1)).alias("ref"), F.coalesce(x["alt"], F.lit("-")).alias("alt"), F.coalesce(x["quals"], F.array(F.lit(0))).alias("qual"), F.least(x["m0"] + i, n - 1 - x["m0"] - i).alias("dist"))
+    each = lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["m1"] - x["m0"] - 1), lambda i: row(x, i))
+    return F.flatten(F.transform(F.filter(found, lambda x: x["kind"] != "I"), each)).cast(EVENTS)
+
+
 def reference_sequence(cigar: Column, md: Column, seq: Column) -> Column:
     """The reference's bases under the mapped bases, from the read and its MD tag."""
     return let(aligned_sequence(cigar, seq), lambda read: F.array_join(F.transform(parse_md(md), lambda i: F.coalesce(i["bases"], F.substring(read, i["m0"].cast("int") + 1, (i["m1"] - i["m0"]).cast("int")))), ""))

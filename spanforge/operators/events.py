@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import cigar as C
 from ..functions import sequence as S
+from ..functions.let import let
 from . import pairing as P
 
 
@@ -81,6 +83,105 @@ def cross_checked(events: DataFrame, other_base: Column, other_qual: Column) ->
     return events.withColumns({"alt": base, "qual": score}).filter(F.col("alt").isNotNull() & (F.col("alt") != F.col("ref")))
 
 
+def _against(events: Column, other: Column) -> Column:
+    """events of one mate with the other mate's base, score and distance in place of theirs where its score is higher; alt is null
+    where scores tie over different bases."""
+
+    def judged(e: Column, at: Column, scores: Column, n: Column) -> Column:
+        off = e["pos"] - at["g0"]
+        base = F.when(at["op"] == "M", F.substring(other["seq"], (at["r0"] + off).cast("int") + 1, F.lit(1))).when(at["op"] == "D", "-")
+        score = F.when(at["op"] == "M", F.coalesce(F.get(scores, (at["r0"] + off).cast("int")), F.lit(0))).when(at["op"] == "D", 0)
+        own = F.get(e["qual"], F.lit(0))
+        alt = F.when(score > own, base).when((score == own) & (base != e["alt"]), F.lit(None)).otherwise(e["alt"])
+        dist = F.when(score > own, F.least(at["m0"] + off, n - 1 - at["m0"] - off)).otherwise(e["dist"])
+        return F.struct(e["pos"].alias("pos"), e["ref"].alias("ref"), alt.alias("alt"), F.array(F.when(score > own, score).otherwise(own)).alias("qual"), dist.alias("dist"))
+
+    covers = lambda e: lambda x: (x["g0"] <= e["pos"]) & (e["pos"] < x["g1"])
+    one = lambda ops, scores, n: lambda e: let(F.get(F.filter(ops, covers(e)), F.lit(0)), lambda at: judged(e, at, scores, n))
+    return let(C.operations(other["cigar"], other["start"]), lambda ops: let(C.qualities(other["qual"]), lambda scores: let(C.mapped_length(other["cigar"]), lambda n: F.transform(events, one(ops, scores, n)))))
+
+
+def pair_events(first: Column, second: Column) -> Column:
+    """Events of a fragment (base_events() of both mates, structs of cigar, start, seq, qual and tags) with every position once.
+
+    The other mate's base at an event's position replaces it if its score is higher; of different bases with equal scores none
+    stays; what then is the reference's base goes. Where both mates have an event the first mate's counts.
+    """
+    own = lambda m: C.base_events(m["cigar"], m["start"], m["tags"]["MD"], m["seq"], m["qual"])
+
+    def both(a: Column, b: Column) -> Column:
+        new = F.filter(b, lambda y: ~F.exists(a, lambda x: x["pos"] == y["pos"]))
+        return F.filter(F.concat(_against(a, second), _against(new, first)), lambda e: e["alt"].isNotNull() & (e["alt"] != e["ref"]))
+
+    return let(own(first), lambda a: let(own(second), lambda b: both(a, b)))
+
+
+def pair_reference(first: Column, second: Column) -> Column:
+    """The reference's bases under a fragment, by the mates' MD tags: the first mate's, then the second's outside the first's blocks."""
+    bases = lambda m: C.reference_sequence(m["cigar"], m["tags"]["MD"], m["seq"])
+    places = F.flatten(F.transform(second["blocks"], lambda x: F.sequence(x["s"], x["e"] - 1)))
+    listed = F.arrays_zip(places.alias("p"), F.split(bases(second), "").alias("b"))
+    outside = F.filter(listed, lambda x: x["p"].isNotNull() & ~B.includes(first["blocks"], x["p"]))
+    return F.concat(bases(first), F.array_join(F.transform(outside, lambda x: x["b"]), ""))
+
+
+def genome_counts(ranges: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
+    """chrom, blocks, counts: the genome's bases (as text, upper case) under each distinct row of blocks; chunks: of sources.text.chunked()
+    by that size. Blocks on no contig have no row; bases beyond a contig's end don't count."""
+    spans = ranges.select("chrom", "blocks").distinct()
+    each = spans.select("chrom", "blocks", F.explode("blocks").alias("_b"))
+    touched = each.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_b.s") / size), F.floor((F.col("_b.e") - 1) / size))))
+    low, high = F.greatest(F.col("_b.s") - F.col("chunk") * size, F.lit(0)), F.least(F.col("_b.e") - F.col("chunk") * size, F.lit(size))
+    piece = F.upper(F.substring("_part", low.cast("int") + 1, (high - low).cast("int")))
+    parts = touched.join(chunks.select(F.col("name").alias("chrom"), "chunk", F.col("sequence").alias("_part")), ["chrom", "chunk"]).withColumn("_piece", piece)
+    letters = sorted("ACGTN")
+    sums = parts.groupBy("chrom", "blocks").agg(*[F.sum(S.base_count(F.col("_piece"), x)).alias(x) for x in letters])
+    shown = F.array_join(F.array_compact(F.array(*[F.when(F.col(x) > 0, F.concat(F.lit(f"{x},"), F.col(x).cast("string"))) for x in letters])), ";")
+    return sums.select("chrom", "blocks", shown.alias("counts"))
+
+
+def _retagged(tags: Column, **values: Column) -> Column:
+    new = [x for k, v in values.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))]
+    return F.map_concat(F.map_filter(tags, lambda k, _: ~k.isin(*values)), F.create_map(*new))
+
+
+def _counted(df: DataFrame, counts: DataFrame, blocks: str, name: str) -> DataFrame:
+    own = counts.select(F.col("chrom").alias("_chrom"), F.col("blocks").alias("_blocks"), F.col("counts").alias(name))
+    return df.join(own, (F.col("chrom") == F.col("_chrom")) & (F.col(blocks) == F.col("_blocks")), "left").drop("_chrom", "_blocks")
+
+
+def identified(reads: DataFrame, chunks: DataFrame | None = None, size: int = 1 << 12) -> DataFrame:
+    """Alignments with the tags ME (base_events()) and RC (bases of the reference under the blocks, A to T).
+
+    The reference is that of the MD tags, so nothing is shuffled, or the genome's if its chunks (of that size) are given.
+    Unmapped, secondary and supplementary reads are left out; a read without MD has empty tags.
+    """
+    kept, md = mapped(reads), F.col("tags")["MD"]
+    if chunks is None:
+        out = kept.withColumn("_rc", S.base_counts(C.reference_sequence(F.col("cigar"), md, F.col("seq"))))
+    else:
+        out = _counted(kept, genome_counts(kept, chunks, size), "blocks", "_rc")
+    me = C.encode_events(C.base_events(F.col("cigar"), F.col("start"), md, F.col("seq"), F.col("qual")))
+    return out.withColumn("tags", _retagged(F.col("tags"), ME=me, RC=F.col("_rc"))).drop("_rc")
+
+
+def identified_pairs(pairs: DataFrame, chunks: DataFrame | None = None, size: int = 1 << 12) -> DataFrame:
+    """Fragments (as pairing.fragments() gives them) whose mates have the tags ME and RC, the first mate also PE (pair_events())
+    and PC (bases under the fragment's blocks). The reference is found as by identified()."""
+    one, two = F.col("mate1"), F.col("mate2")
+    if chunks is None:
+        rc = lambda m: S.base_counts(C.reference_sequence(m["cigar"], m["tags"]["MD"], m["seq"]))
+        out = pairs.withColumns({"_rc1": rc(one), "_rc2": rc(two), "_pc": S.base_counts(pair_reference(one, two))})
+    else:
+        every = pairs.select("chrom", F.explode(F.array("mate1.blocks", "mate2.blocks", "blocks")).alias("blocks"))
+        counts = genome_counts(every, chunks, size)
+        out = _counted(_counted(_counted(pairs, counts, "mate1.blocks", "_rc1"), counts, "mate2.blocks", "_rc2"), counts, "blocks", "_pc")
+    me = lambda m: C.encode_events(C.base_events(m["cigar"], m["start"], m["tags"]["MD"], m["seq"], m["qual"]))
+    first = _retagged(one["tags"], ME=me(one), RC=F.col("_rc1"), PE=C.encode_events(pair_events(one, two)), PC=F.col("_pc"))
+    second = _retagged(two["tags"], ME=me(two), RC=F.col("_rc2"))
+    return out.withColumns({"mate1": one.withField("tags", first), "mate2": two.withField("tags", second)}).drop("_rc1", "_rc2", "_pc")
+
+
 def single_side(events: DataFrame, other_qual: Column) -> DataFrame:
     """Events that the mate doesn't cover, or whose score is above the mate's there."""
     return events.filter(other_qual.isNull() | (F.col("qual") > other_qual))

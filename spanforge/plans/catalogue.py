@@ -535,6 +535,17 @@ def fasta_blocks_rc(spark, d):
     return T.fetch(ranges, contigs, "blocks").select("part", c("sequence").alias("spliced"))
 
 
+BLOCK_BASES = ", ".join(f"CASE WHEN strpos(under, '{b}') > 0 THEN '{b},' || (length(under) - length(replace(under, '{b}', ''))) END" for b in "ACGT")
+
+
+@query(f"SELECT part, concat_ws(';', {BLOCK_BASES}) AS counts FROM (SELECT part, substring(seq, 6, 10) || substring(seq, 31, 15) || substring(seq, 61, 4) AS under FROM dna)", V.DNA)
+def genome_base_counts(spark, d):
+    """Bases of a genome in pieces of 16 under blocks, the last of which goes beyond its contig."""
+    dna = V.dna(spark, d).withColumns({"name": c("part").cast("string"), "sequence": c("seq")})
+    spans = dna.select(c("name").alias("chrom"), B.literal([(5, 15), (30, 45), (60, 90)]).alias("blocks"))
+    return E.genome_counts(spans, T.chunked(dna, 16), 16).select(c("chrom").cast(dna.schema["part"].dataType).alias("part"), "counts")
+
+
 @query("SELECT part, substring(seq, CAST(size % 20 + 1 AS INTEGER), 35) AS piece FROM dna", V.DNA)
 def fasta_chunked(spark, d):
     ranges = V.dna(spark, d).select("part", c("part").cast("string").alias("chrom"), F.lit("+").alias("strand"), (c("size") % 20).alias("start"), (c("size") % 20 + 35).alias("end"))
@@ -713,6 +724,33 @@ def event_cross_check(spark, d):
     return E.cross_checked(met, c("o_alt"), c("o_qual")).select("fragment", "pos", "alt", "qual")
 
 
+def _covered_twice(spark, d) -> DataFrame:
+    """Each read with a second mate over its first block and beyond; by part the second mate's score is higher, equal or lower, in
+    the first two cases over complementary bases."""
+    reads = _alignments(spark, d)
+    own = S.complement(F.substring("seq", 4, 20))
+    head = F.when(c("part") % 3 < 2, own).otherwise(F.substring("seq", 4, 20))
+    score = F.when(c("part") % 3 == 0, "7").when(c("part") % 3 == 1, "5").otherwise("3")
+    span = lambda x: x.withColumn("blocks", C.blocks(c("cigar"), c("start")))
+    mate = F.struct("cigar", "start", "seq", "qual", "tags", "blocks")
+    one = span(reads).select("part", "chrom", mate.alias("mate1"))
+    two = span(reads.withColumns({"seq": F.concat(head, F.substring("seq", 40, 15)), "cigar": F.lit("20M20N15M"), "qual": F.repeat(score, F.lit(35)), "tags": F.create_map(F.lit("MD"), F.lit("34A0"))})).select("part", mate.alias("mate2"))
+    return one.join(two, "part").withColumn("blocks", B.fusion(c("mate1.blocks"), c("mate2.blocks")))
+
+
+PAIR_TAGS = """pairs AS (SELECT part, part * 10 AS s, x, substring(seq, CAST(4 + x AS INTEGER), 1) AS b, substring(seq, 54, 1) AS far, CASE part % 3 WHEN 0 THEN 22 WHEN 1 THEN 20 ELSE 18 END AS q,
+ substring(seq, 4, CAST(x AS INTEGER)) || 'N' || substring(seq, CAST(5 + x AS INTEGER), CAST(19 - x AS INTEGER)) || substring(seq, 26, 10) || 'ACGT' || substring(seq, 36, 21) || substring(seq, 43, 11) || 'A' AS under FROM (SELECT *, size % 19 AS x FROM dna))"""
+LETTERS = ", ".join(f"CASE WHEN strpos(under, '{b}') > 0 THEN '{b},' || (length(under) - length(replace(under, '{b}', ''))) END" for b in "ACGNT")
+
+
+@query(f"""SELECT part, concat_ws(';', CASE part % 3 WHEN 0 THEN (s + x) || ',N,' || translate(b, 'ACGT', 'TGCA') || ',22,' || least(x, 34 - x) WHEN 2 THEN (s + x) || ',N,' || b || ',20,' || least(x, 54 - x) END,
+ (s + 30) || ',A,-,0,24', (s + 31) || ',C,-,0,23', (s + 32) || ',G,-,0,22', (s + 33) || ',T,-,0,21', CASE WHEN far <> 'A' THEN (s + 54) || ',A,' || far || ',' || q || ',0' END) AS "PE", concat_ws(';', {LETTERS}) AS "PC" FROM pairs""", V.DNA, PAIR_TAGS)
+def pair_event_tags(spark, d):
+    """Events of fragments, each mate's checked against the other's bases, and the bases under both."""
+    out = E.identified_pairs(_covered_twice(spark, d))
+    return out.select("part", c("mate1.tags")["PE"].alias("PE"), c("mate1.tags")["PC"].alias("PC"))
+
+
 @query("SELECT chrom, pos, ref, alt, max(qual) AS qual, max(qual * 1000 + dist) % 1000 AS dist FROM mismatches GROUP BY chrom, pos, ref, alt", V.MISMATCHES)
 def event_dedup(spark, d):
     return E.sites(V.mismatches(spark, d))

@@ -1,7 +1,7 @@
 """Alignments: SAM text and BAM files.
 
 SAM is parsed with column expressions. BAM files are gzip members of binary records; each file is decoded by one
-task in a streaming pass, and rows come in Arrow batches.
+task in a streaming pass, and rows come in Arrow batches. Rows become members of a file in the tasks that hold them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .text import TAB, last_wins
 
 #: Fixed codes of BAM.
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+NUMBER_TAGS = ("NM", "NH", "HI", "AS")
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 
 
@@ -37,7 +38,7 @@ def parse_sam(df: DataFrame) -> DataFrame:
     return body.select(at(0).alias("qname"), at(1).cast("int").alias("flag"), star(at(2)).alias("chrom"), (at(3).cast("long") - 1).alias("start"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"), next_chrom.alias("next_chrom"), (at(7).cast("long") - 1).alias("next_start"), at(8).cast("long").alias("tlen"), at(9).alias("seq"), at(10).alias("qual"), last_wins(tags).alias("tags"))
 
 
-def sam_line(number_tags: tuple[str, ...] = ("NM", "NH", "HI", "AS")) -> Column:
+def sam_line(number_tags: tuple[str, ...] = NUMBER_TAGS) -> Column:
     """A SAM line; tags are text (Z) except for the named whole numbers (i)."""
     tag = lambda e: F.concat(e["key"], F.when(e["key"].isin(*number_tags), ":i:").otherwise(":Z:"), e["value"])
     fixed = [F.col("qname"), F.col("flag").cast("string"), F.coalesce("chrom", F.lit("*")), (F.col("start") + 1).cast("string"), F.coalesce(F.col("mapq"), F.lit(255)).cast("string"), F.coalesce("cigar", F.lit("*")), F.when(F.col("next_chrom") == F.col("chrom"), "=").otherwise(F.coalesce("next_chrom", F.lit("*"))), (F.coalesce("next_start", F.lit(-1)) + 1).cast("string"), F.coalesce("tlen", F.lit(0)).cast("string"), F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*"))]
@@ -88,15 +89,21 @@ def _tags(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def decode_bam(f: io.BufferedIOBase) -> Iterator[tuple]:
-    """The rows (as READ) of an opened BAM file, in file order."""
+def _head(f: io.BufferedIOBase) -> tuple[str, list[tuple[str, int]]]:
+    """The header text and the references with their lengths, from an opened BAM file's begin."""
     if _exactly(f, 4) != b"BAM\x01":
         raise ValueError("not a BAM file")
-    _exactly(f, struct.unpack("<i", _exactly(f, 4))[0])
-    names: list[str | None] = []
+    text = _exactly(f, struct.unpack("<i", _exactly(f, 4))[0]).rstrip(b"\0").decode()
+    found = []
     for _ in range(struct.unpack("<i", _exactly(f, 4))[0]):
-        names.append(_exactly(f, struct.unpack("<i", _exactly(f, 4))[0])[:-1].decode())
-        _exactly(f, 4)
+        name = _exactly(f, struct.unpack("<i", _exactly(f, 4))[0])[:-1].decode()
+        found.append((name, struct.unpack("<i", _exactly(f, 4))[0]))
+    return text, found
+
+
+def decode_bam(f: io.BufferedIOBase) -> Iterator[tuple]:
+    """The rows (as READ) of an opened BAM file, in file order."""
+    names: list[str | None] = [n for n, _ in _head(f)[1]]
     names.append(None)  # reference -1
     while head := f.read(4):
         data = _exactly(f, struct.unpack("<i", head)[0])
@@ -139,47 +146,85 @@ def read_bam(spark: SparkSession, path: str | list[str], batch: int = 4096) -> D
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 
 
-def encode_bam(rows: Iterable[tuple], references: dict[str, int], text: str = "@HD\tVN:1.6\n") -> Iterator[bytes]:
-    """The blocks of a BAM file of rows (as READ); references: lengths by name, in the header's order."""
-    def block(data: bytes) -> bytes:
-        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = packer.compress(data) + packer.flush()
-        return struct.pack("<BBBBIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+def bam_header(spark: SparkSession, path: str) -> tuple[str, dict[str, int]]:
+    """The header text of a BAM file and its references' lengths by name, in order: what write_bam() takes as a template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                text, found = _head(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())))
+                yield pa.RecordBatch.from_arrays([pa.array([text]), pa.array([[(n, size) for n, size in found]], pa.map_(pa.string(), pa.int64()))], ["text", "found"])
+
+    one = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "text string, found map<string,bigint>").first()
+    return one["text"], dict(one["found"])
+
+
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    return struct.pack("<BBBBIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _members(pieces: Iterable[bytes], size: int = 60_000) -> Iterator[bytes]:
+    out = bytearray()
+    for piece in pieces:
+        out += piece
+        while len(out) >= size:
+            yield _member(bytes(out[:size]))
+            del out[:size]
+    if out:
+        yield _member(bytes(out))
+
 
-    at = {n: i for i, n in enumerate(references)} | {None: -1}
-    out = bytearray(b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(references)))
+def encode_header(references: dict[str, int], text: str = "@HD\tVN:1.6\n") -> bytes:
+    """What a BAM file begins with, not yet packed; references: lengths by name, in order."""
+    out = bytearray(b"BAM\x01" + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(references)))
     for n, size in references.items():
         out += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
-    for qname, flag, chrom, start, mapq, cigar, next_chrom, next_start, tlen, seq, qual, tags in rows:
-        ops, number = [], ""
-        for c in "" if cigar in (None, "*") else cigar:
-            if c.isdigit():
-                number += c
-            else:
-                ops.append(int(number) << 4 | OPS.index(c))
-                number = ""
-        seq = "" if seq in (None, "*") else seq
-        codes = [BASES.index(c) if c in BASES else 15 for c in seq] + [0]
-        packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
-        scores = bytes([255] * len(seq)) if qual in (None, "*") else bytes(ord(c) - 33 for c in qual)
-        extra = b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in (tags or {}).items())
-        fixed = struct.pack("<iiBBHHHiiii", at[chrom], start if start is not None else -1, len(qname) + 1, 255 if mapq is None else mapq, 0, len(ops), flag, len(seq), at[next_chrom], -1 if next_start is None else next_start, tlen or 0)
-        record = fixed + qname.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + packed + scores + extra
-        out += struct.pack("<i", len(record)) + record
-        while len(out) >= 60_000:
-            yield block(bytes(out[:60_000]))
-            del out[:60_000]
-    if out:
-        yield block(bytes(out))
-    yield block(b"")
+    return bytes(out)
 
 
-def write_bam(df: DataFrame, path: str, references: dict[str, int]) -> None:
-    """One BAM file on the driver's disk, in the DataFrame's order; rows pass through one partition at a time."""
+def encode_record(row: tuple, at: dict[str | None, int], number_tags: tuple[str, ...] = NUMBER_TAGS) -> bytes:
+    """A row (as READ) as a record of a BAM file, not yet packed; at: places of the references, -1 for None."""
+    qname, flag, chrom, start, mapq, cigar, next_chrom, next_start, tlen, seq, qual, tags = row
+    ops, number = [], ""
+    for c in "" if cigar in (None, "*") else cigar:
+        if c.isdigit():
+            number += c
+        else:
+            ops.append(int(number) << 4 | OPS.index(c))
+            number = ""
+    seq = "" if seq in (None, "*") else seq
+    codes = [BASES.index(c) if c in BASES else 15 for c in seq] + [0]
+    packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
+    scores = bytes([255] * len(seq)) if qual in (None, "*") else bytes(ord(c) - 33 for c in qual)
+    extra = b"".join(k.encode() + (b"i" + struct.pack("<i", int(v)) if k in number_tags else b"Z" + v.encode() + b"\0") for k, v in (tags or {}).items())
+    fixed = struct.pack("<iiBBHHHiiii", at[chrom], start if start is not None else -1, len(qname) + 1, 255 if mapq is None else mapq, 0, len(ops), flag, len(seq), at[next_chrom], -1 if next_start is None else next_start, tlen or 0)
+    record = fixed + qname.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + packed + scores + extra
+    return struct.pack("<i", len(record)) + record
+
+
+def write_bam(df: DataFrame, path: str, references: dict[str, int], text: str = "@HD\tVN:1.6\n", number_tags: tuple[str, ...] = NUMBER_TAGS) -> None:
+    """One BAM file on the driver's disk, in the DataFrame's order, with the given header.
+
+    Tasks encode and pack their rows; the driver appends their packed members, one partition at a time. Tags are text (Z) except for
+    the named whole numbers (i).
+    """
     names = [x.split()[0] for x in READ.split(", ")]
+    at: dict[str | None, int] = {n: i for i, n in enumerate(references)} | {None: -1}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        records = (encode_record((*r[:-1], dict(r[-1] or ())), at, number_tags) for r in rows)
+        for member in _members(records):
+            yield pa.RecordBatch.from_arrays([pa.array([member], pa.binary())], ["member"])
+
     with open(path, "wb") as f:
-        for part in encode_bam((tuple(r) for r in df.select(*names).toLocalIterator()), references):
-            f.write(part)
+        for member in _members([encode_header(references, text)]):
+            f.write(member)
+        for r in df.select(*names).mapInArrow(run, "member binary").toLocalIterator():
+            f.write(r["member"])
+        f.write(_member(b""))
 
 
 def alignments(reads: DataFrame, keep_unmapped: bool = False) -> DataFrame:

@@ -100,6 +100,14 @@ def test_sam_and_bam(spark, tmp_path):
     sam.write_bam(df, path, {"c": 1000})
     assert sorted(map(str, sam.read_bam(spark, path).collect())) == sorted(map(str, df.collect()))
     assert gzip.open(path).read(4) == b"BAM\x01"
+    assert sam.bam_header(spark, path) == ("@HD\tVN:1.6\n", {"c": 1000})
+    many = df.filter("flag = 99").crossJoin(spark.range(5000)).withColumn("qname", F.concat("qname", F.lit("."), F.col("id").cast("string"))).drop("id")
+    text, refs = "@HD\tVN:1.6\n@CO\tü\n", {"z": 5, "c": 1000}
+    sam.write_bam(many.repartition(3).sortWithinPartitions("qname"), str(tmp_path / "many.bam"), refs, text)
+    assert sam.bam_header(spark, str(tmp_path / "many.bam")) == (text, refs) and list(sam.bam_header(spark, str(tmp_path / "many.bam"))[1]) == ["z", "c"]
+    assert sorted(map(str, sam.read_bam(spark, str(tmp_path / "many.bam")).collect())) == sorted(map(str, many.collect()))
+    sam.write_bam(df.limit(0), str(tmp_path / "none.bam"), refs)
+    assert sam.read_bam(spark, str(tmp_path / "none.bam")).count() == 0
     rows = sam.alignments(sam.read_bam(spark, path)).orderBy("start").collect()
     assert [(r.start, r.end, r.strand) for r in rows] == [(10, 15, "+"), (30, 33, "-")]
 
@@ -127,6 +135,27 @@ def test_commands(spark, tmp_path):
     assert T.read_bed(spark, str(tmp_path / "info/transcripts.bed.gz")).count() == 1
 
 
+def test_identified_events(spark, tmp_path):
+    """Mates that overlap in 12..15: the second has a better base at 12, another one, equally good, at 14, and a deletion at 15."""
+    lines = ["p\t99\tc\t11\t60\t6M\t=\t13\t9\tACTTAC\tIIIIII\tMD:Z:2G1C0A0", "p\t147\tc\t13\t60\t3M1D3M\t=\t11\t-9\tGTCGGA\tJIIIII\tMD:Z:2A0^T0A2", "q\t0\tc\t1\t60\t4M\t*\t0\t0\tAAAA\tIIII"]
+    src, out = write(tmp_path / "p.sam", lines), str(tmp_path / "id.sam")
+    cli.main(["identify-mismatch-events", src, out])
+    tags = {(r.qname, r.flag): r.tags for r in sam.read_sam(spark, out).collect()}
+    assert tags["p", 99]["ME"] == "12,G,T,40,2;14,C,A,40,1;15,A,C,40,0" and tags["p", 99]["RC"] == "A,2;C,2;G,1;T,1"
+    assert tags["p", 147]["ME"] == "14,A,C,40,2;15,T,-,0,3;16,A,G,40,2" and tags["q", 0]["ME"] == "" and tags["q", 0]["RC"] == ""
+    cli.main(["identify-mismatch-events", src, str(tmp_path / "pe.sam"), "--type", "paired"])
+    tags = {(r.qname, r.flag): r.tags for r in sam.read_sam(spark, str(tmp_path / "pe.sam")).collect()}
+    # 12: the mate's G is the reference's and better; 14: A against C with equal scores; 15: the mate's deletion is worse
+    assert set(tags) == {("p", 99), ("p", 147)} and tags["p", 99]["PE"] == "15,A,C,40,0;16,A,G,40,2" and "PE" not in tags["p", 147]
+    assert tags["p", 99]["PC"] == "A,4;C,2;G,2;T,1"
+    fasta = write(tmp_path / "g.fa", [">c some words", "acgtacgtac", "ACGTCAAGN"])
+    cli.main(["identify-mismatch-events", src, str(tmp_path / "ge.sam"), "--type", "paired", "--genome", fasta])
+    tags = {(r.qname, r.flag): r.tags for r in sam.read_sam(spark, str(tmp_path / "ge.sam")).collect()}
+    assert tags["p", 99]["RC"] == "A,2;C,2;G,1;T,1" and tags["p", 147]["RC"] == "A,2;C,1;G,2;N,1;T,1" and tags["p", 99]["PC"] == "A,3;C,2;G,2;N,1;T,1"
+    cli.main(["identify-mismatch-events", src, str(tmp_path / "gs.sam"), "--genome", fasta])
+    assert {r.qname: r.tags["RC"] for r in sam.read_sam(spark, str(tmp_path / "gs.sam")).collect()}["q"] == "A,1;C,1;G,1;T,1"
+
+
 def test_stream_counts(spark, tmp_path):
     reads = spark.createDataFrame([("c", 1, 5, "+"), ("c", 3, 9, "+"), ("d", 1, 2, "-")], "chrom string, start long, end long, strand string")
     reads.write.parquet(str(tmp_path / "in"))
