@@ -26,6 +26,29 @@ def _numbered(df: DataFrame, mode: int, spacing: int, width: int) -> DataFrame:
     return counted.withColumn("_island", F.col("_offset") + F.col("_here")).drop("_bin", "_carried", "_reach", "_new", "_here", "_offset")
 
 
+def _merged(islands: DataFrame, min_capacity: int, piece: int = 256) -> DataFrame:
+    """chrom, _island, _first: the island that begins the bundle of each, where a bundle takes islands while it has fewer rows.
+
+    One expression folds a chromosome's counts (two numbers an island), in pieces, so that lists don't grow by one element at a time.
+    """
+    listed = islands.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("_island", "count"))).alias("all"))
+    state = lambda n, first, out: F.struct(n.cast("long").alias("n"), first.cast("long").alias("first"), out.alias("out"))
+
+    def step(a, x):
+        more = (a["n"] > 0) & (a["n"] < min_capacity)
+        first = F.when(more, a["first"]).otherwise(x["_island"])
+        return state(F.when(more, a["n"]).otherwise(F.lit(0)) + x["count"], first, F.concat(a["out"], F.array(first)))
+
+    def whole(a, p):
+        inner = F.aggregate(p, state(a["n"], a["first"], F.array().cast("array<bigint>")), step)
+        return F.transform(F.array(inner), lambda r: state(r["n"], r["first"], F.concat(a["out"], F.array(r["out"]))))[0]
+
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size("all") / piece).cast("int") - 1), lambda i: F.slice("all", i * piece + 1, F.lit(piece)))
+    firsts = F.flatten(F.aggregate(pieces, state(F.lit(0), F.lit(0), F.array().cast("array<array<bigint>>")), whole)["out"])
+    each = listed.select("chrom", F.explode(F.arrays_zip(F.col("all").alias("x"), firsts.alias("_first"))).alias("_e"))
+    return each.select("chrom", F.col("_e.x._island").alias("_island"), F.col("_e._first").alias("_first"))
+
+
 def bundle(df: DataFrame, mode: int = START_AND_END, min_capacity: int = 1, min_spacing: int = 0, keep: list[str] | None = None, width: int = 1 << 20) -> DataFrame:
     """chrom, start_min, start_max, end_min, end_max, mode, count and, with keep, data (these columns of the members, in order).
 
@@ -39,20 +62,11 @@ def bundle(df: DataFrame, mode: int = START_AND_END, min_capacity: int = 1, min_
     data = F.array_sort(F.collect_list(F.struct("start", "end", *[c for c in keep or [] if c not in ("start", "end")])))
     islands = numbered.groupBy("chrom", "_island").agg(*measures, *([data.alias("data")] if keep is not None else []))
     if min_capacity > 1:
-        # a greedy pass over islands, not rows; for min_spacing >= 0 it makes the same bundles
-        fields = ["_island", "start_min", "start_max", "end_min", "end_max", "count", *(["data"] if keep is not None else [])]
-        listed = islands.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
-
-        def merge(a, x):
-            top = F.get(a, F.size(a) - 1)
-            join = {"_island": top["_island"], "start_min": F.least(top["start_min"], x["start_min"]), "start_max": F.greatest(top["start_max"], x["start_max"]), "end_min": F.least(top["end_min"], x["end_min"]), "end_max": F.greatest(top["end_max"], x["end_max"]), "count": top["count"] + x["count"]}
-            if keep is not None:
-                join["data"] = F.concat(top["data"], x["data"])
-            joined = F.struct(*[join[f].alias(f) for f in fields])
-            plain = F.struct(*[x[f].alias(f) for f in fields])
-            return F.when((F.size(a) > 0) & (top["count"] < min_capacity), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(a, F.array(plain)))
-
-        islands = listed.select("chrom", F.inline(F.aggregate("all", F.slice("all", 1, 0), merge)))
+        # a greedy pass over the islands' counts, not rows; for min_spacing >= 0 it makes the same bundles
+        merged = islands.join(_merged(islands, min_capacity), ["chrom", "_island"]).groupBy("chrom", "_first")
+        joined = [F.min("start_min").alias("start_min"), F.max("start_max").alias("start_max"), F.min("end_min").alias("end_min"), F.max("end_max").alias("end_max"), F.sum("count").alias("count")]
+        members = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_island", "data"))), lambda x: x["data"])) if keep is not None else None
+        islands = merged.agg(*joined, *([members.alias("data")] if keep is not None else []))
     return islands.withColumn("mode", F.lit(mode)).select("chrom", "start_min", "start_max", "end_min", "end_max", "mode", "count", *(["data"] if keep is not None else []))
 
 

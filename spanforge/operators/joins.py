@@ -36,16 +36,23 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", width: i
     """Pairs of rows with the same chrom whose [start, end) overlap; how: inner, left, left_semi or left_anti.
 
     right's columns get the prefix. width: about the length of most rows. Each side is read once for every way that
-    its rows are used; for rows of mixed lengths, levels keep the copies few.
+    its rows are used; for rows of mixed lengths, levels keep the copies few. Rows whose span is null have no partners.
     """
-    lid = "_left"
     right = right.select(*[F.col(f"`{c}`").alias(prefix + c) for c in right.columns])
+    span = ["chrom", "start", "end"]
+    if how != "inner":
+        # rows of one span have the same partners, so the distinct spans are joined and rows find theirs by the span itself
+        met = _met(left.select(*span).distinct(), right, width, most_bins, prefix)
+        more = [F.col(f"`{c}`") for c in right.columns] if how == "left" else []
+        return left.join(met.select(*span, *more), span, how).select(*[F.col(f"`{c}`") for c in left.columns], *more)
+    return _met(left, right, width, most_bins, prefix)
+
+
+def _met(left: DataFrame, right: DataFrame, width: int, most_bins: int, prefix: str) -> DataFrame:
+    """The pairs; right's columns have the prefix."""
     rs, re = F.col(f"{prefix}start"), F.col(f"{prefix}end")
     tagged = left.withColumn("_level", _level(F.col("start"), F.col("end"), width, most_bins))
     other = right.withColumn("_rlevel", _level(rs, re, width, most_bins))
-    keyed = how != "inner"
-    if keyed:
-        tagged = tagged.withColumn(lid, F.monotonically_increasing_id())
     # which levels have rows of their own on either side: a few numbers, from one pass over the coordinates
     present = tagged.select(F.lit("l").alias("side"), F.col("_level").alias("k")).union(other.select(F.lit("r"), "_rlevel")).distinct().collect()
     left_levels, right_levels = ([r["k"] for r in present if r["side"] == side] for side in "lr")
@@ -62,13 +69,7 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", width: i
     w = F.element_at(F.array(*[F.lit(width * most_bins**k).cast("long") for k in range(LEVELS)]), F.col("_k") + 1)
     on = (F.col("chrom") == F.col(f"{prefix}chrom")) & (F.col("_k") == F.col("_rk")) & (F.col("_b") == F.col("_rb")) & (F.col("_r") == F.col("_rr"))
     hit = (F.col("start") < re) & (F.col("end") > rs) & (F.col("_b") == F.floor(F.greatest(F.col("start"), rs) / w))
-    met = a.join(b, on & hit).drop("_k", "_b", "_r", "_rk", "_rb", "_rr", "_level", "_rlevel")
-    if not keyed:
-        return met
-    tagged = tagged.drop("_level")
-    if how == "left":
-        return tagged.join(met.select(lid, *right.columns), lid, "left").drop(lid)
-    return tagged.join(met.select(lid), lid, how).drop(lid)
+    return a.join(b, on & hit).drop("_k", "_b", "_r", "_rk", "_rb", "_rr", "_level", "_rlevel")
 
 
 def overlap_join_plain(left: DataFrame, right: DataFrame, how: str = "inner", prefix: str = "r_") -> DataFrame:
