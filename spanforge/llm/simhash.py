@@ -234,7 +234,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     told = placed.join(ids, "root").select("fp", "root", "component_id", F.ceil(F.col("n") / HOT).alias("parts"))
     hot = told.filter("parts > 1").select("fp", F.col("parts").alias("_parts"))  # one in HOT rows at most
-    salted = prints.join(few(hot), "fp", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("rid", F.monotonically_increasing_id()), F.col("_parts")), F.lit(0)))
+    # numbered as the checkpoint holds them, before any shuffle: a task that runs again deals its rows alike
+    numbered = prints.withColumn("_row", F.monotonically_increasing_id())
+    salted = numbered.join(few(hot), "fp", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("rid", "_row"), F.col("_parts")), F.lit(0)))
     spread = told.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
     return salted.join(spread, ["fp", "_salt"]).select("doc_id", "rid", "fp", "root", "component_id")
 
