@@ -25,6 +25,14 @@ def check(start: Column, end: Column) -> Column:
     return F.when(is_valid(start, end), start).otherwise(F.raise_error(F.lit("invalid span")))
 
 
+def fits_blocks(start: Column, end: Column, b: Column) -> Column:
+    """Whether a span, ends of which may be null, and its blocks go together: valid blocks that begin and end where it does; without
+    blocks, a valid span."""
+    low, high = F.get(b, F.lit(0))["s"], F.get(b, F.size(b) - 1)["e"]
+    same = (start.isNull() | (start == low)) & (end.isNull() | (end == high)) & B.is_valid(b)
+    return F.coalesce(F.when(b.isNull() | (F.size(b) == 0), is_valid(start, end)).otherwise(same), F.lit(False))
+
+
 def valid_strand(strand: Column) -> Column:
     return strand.isNull() | strand.isin(".", "+", "-")
 

@@ -13,6 +13,7 @@ from ..functions import interval as I
 from ..functions import sequence as S
 from ..operators import events as E
 from ..operators import islands, joins, models, pairing, reports
+from ..sources import sam
 from ..sources import text as T
 from . import views as V
 
@@ -355,6 +356,40 @@ def bundle_capacity(spark, d):
     return islands.bundle(V.features(spark, d), min_capacity=5, width=5000).drop("mode")
 
 
+@query("""SELECT chrom, min("start") AS start_min, CAST(count(*) AS BIGINT) AS count, string_agg(name, ',' ORDER BY "start", "end", name) AS names FROM numbered GROUP BY chrom, island""", V.FEATURES,
+       """marked AS (SELECT *, CASE WHEN "start" < max("end") OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM features WHERE size < 30)""",
+       """numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM marked)""")
+def bundle_keep(spark, d):
+    """Bundles with their members."""
+    out = islands.bundle(V.features(spark, d).filter("size < 30"), keep=["name"], width=5000)
+    return out.select("chrom", "start_min", "count", F.array_join(F.transform("data", lambda x: x["name"]), ",").alias("names"))
+
+
+PAIRED_BLOCKS = """two AS (SELECT part, size, size - 3 AS a, size - 3 + part % 4 AS b, part % 60 AS c, part % 60 + part % 5 AS d FROM dna)"""
+
+
+def _two_blocks(spark, d) -> DataFrame:
+    """Two blocks for each part, some of them invalid or out of order."""
+    low, later = c("size") - 3, c("part") % 60
+    return V.dna(spark, d).withColumn("blocks", F.array(B.block(low, low + c("part") % 4), B.block(later, later + c("part") % 5)))
+
+
+@query("""SELECT part, a >= 0 AND a < b AND c >= b AND c < d AS valid, a < c OR (a = c AND b <= d) AS sorted, CASE WHEN a < c OR (a = c AND b <= d) THEN a || '-' || b || ';' || c || '-' || d ELSE c || '-' || d || ';' || a || '-' || b END AS in_order FROM two""", V.DNA, PAIRED_BLOCKS)
+def bk_checked(spark, d):
+    """Whether blocks are valid and sorted, and the sorted blocks."""
+    return _two_blocks(spark, d).select("part", B.is_valid(c("blocks")).alias("valid"), B.is_sorted(c("blocks")).alias("sorted"), B.text(B.sort(c("blocks"))).alias("in_order"))
+
+
+@query("""SELECT part, a >= 0 AND a < c AS valid, coalesce(strand = '+', FALSE) AS forward, coalesce(strand = '-', FALSE) AS reverse, a >= 0 AND a < b AND c >= b AND c < d AND (s IS NULL OR s = a) AND (e IS NULL OR e = d) AS fits
+ FROM (SELECT *, CASE part % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '.' END AS strand, CASE WHEN part % 3 > 0 THEN a + CASE WHEN part % 7 = 0 THEN 1 ELSE 0 END END AS s, CASE WHEN part % 2 = 0 THEN d END AS e FROM two)""", V.DNA, PAIRED_BLOCKS)
+def iv_checked(spark, d):
+    """Valid spans, their direction, and spans that go with their blocks."""
+    b, part = c("blocks"), c("part")
+    strand = F.when(part % 4 == 0, "+").when(part % 4 == 1, "-").when(part % 4 == 2, ".")
+    start, end = F.when(part % 3 > 0, b[0]["s"] + F.when(part % 7 == 0, 1).otherwise(0)), F.when(part % 2 == 0, b[1]["e"])
+    return _two_blocks(spark, d).select("part", I.is_valid(b[0]["s"], b[1]["s"]).alias("valid"), I.is_forward(strand).alias("forward"), I.is_reverse(strand).alias("reverse"), I.fits_blocks(start, end, b).alias("fits"))
+
+
 @query("""SELECT 0 AS container, name, CAST(row_number() OVER (ORDER BY chrom, "start", "end", container, name) AS BIGINT) AS place FROM (SELECT *, 0 AS container FROM features) WHERE FALSE UNION ALL
  SELECT container, name, CAST(row_number() OVER (ORDER BY chrom, "start", "end", container, name) AS BIGINT) AS place FROM (SELECT chrom, "start", "end", name, 0 AS container FROM features UNION ALL SELECT chrom, "start", "end", name, 1 FROM transcripts)""", V.FEATURES, V.TRANSCRIPTS)
 def kway_merge(spark, d):
@@ -724,6 +759,19 @@ def event_cross_check(spark, d):
     return E.cross_checked(met, c("o_alt"), c("o_qual")).select("fragment", "pos", "alt", "qual")
 
 
+@query("SELECT part, CAST(part * 10 AS VARCHAR) || '-' || (part * 10 + 43) || ';' || (part * 10 + 93) || '-' || (part * 10 + 105) AS merged FROM dna", V.DNA)
+def cigar_merge_deletions(spark, d):
+    return _alignments(spark, d).select("part", B.text(C.merge_deletions(c("cigar"), c("start"))).alias("merged"))
+
+
+@query("""SELECT 'r' || part AS qname, CAST(0 AS INTEGER) AS flag, 'chr' || (part % 5 + 1) AS chrom, part * 10 AS "start", CASE WHEN part % 3 = 0 THEN 255 ELSE 60 END AS mapq, '3S20M2I10M4D9M50N12M8S' AS cigar, CASE WHEN part % 2 = 0 THEN 'chr' || (part % 5 + 1) END AS next_chrom, part * 10 + 7 AS next_start, seq, (size % 19) || 'N' || (29 - size % 19) || '^ACGT21' AS md, CAST(size AS VARCHAR) AS nm FROM dna""", V.DNA)
+def sam_roundtrip(spark, d):
+    """Reads as SAM lines and back."""
+    own = _alignments(spark, d).withColumns({"mapq": F.when(c("part") % 3 != 0, 60), "next_chrom": F.when(c("part") % 2 == 0, c("chrom")), "next_start": c("start") + 7, "tlen": F.lit(0).cast("long"), "tags": F.map_concat("tags", F.create_map(F.lit("NM"), c("size").cast("string")))})
+    back = sam.parse_sam(own.select(sam.sam_line().alias("value")))
+    return back.select("qname", "flag", "chrom", "start", "mapq", "cigar", "next_chrom", "next_start", "seq", c("tags")["MD"].alias("md"), c("tags")["NM"].alias("nm"))
+
+
 def _covered_twice(spark, d) -> DataFrame:
     """Each read with a second mate over its first block and beyond; by part the second mate's score is higher, equal or lower, in
     the first two cases over complementary bases."""
