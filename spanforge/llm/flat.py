@@ -8,6 +8,7 @@ from __future__ import annotations
 import ctypes
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,18 @@ def shared_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends; what it gave was written or checkpointed."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 #: Most rows and bytes of one Arrow batch between Spark and a Python worker; texts are long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

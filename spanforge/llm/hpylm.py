@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flat import U64, Words, chunks, mix, shared_dir, small_batches, trim, words
+from .flat import U64, Words, chunks, mix, shared_dir, shuffles_freed, small_batches, trim, words
 
 #: Bits of a word's hash that tell words apart, beside the word's last two bytes in the lowest bits.
 ENDING = U64((1 << 16) - 1)
@@ -487,18 +486,6 @@ def _sums(df: DataFrame, n: int) -> list[float]:
     return list(df.agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)) for i in range(n)]).first())
 
 
-@contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Inside, the shuffle files of a query go when it ends; what it gave was written."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def _class_sums(df: DataFrame, values: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The classes of the CLASSES rows of df, sorted, and each one's sums."""
     width = values + 1
@@ -522,7 +509,7 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id",
     buckets = int(max(8, -(-size // bucket_bytes)))
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/hpylm-{uuid.uuid4().hex}"
     grouped = lambda *tables: reduce(DataFrame.unionByName, tables).groupBy("to")
-    with _shuffles_freed(spark):
+    with shuffles_freed(spark):
         state = _kept(own.mapInArrow(_pairs(buckets, batch_bytes), WIRE).groupBy("to").applyInArrow(_lean(_state), WIRE), f"{folder}/state")
         core, back, contexts, docs = (state.filter(F.col("kind") == k) for k in (CORE, BACK, OWN, DOCS))
         tokens, types, *ones = _sums(core, 9)

@@ -13,7 +13,12 @@ large-star and small-star steps in Spark. The rows of a frequent fingerprint are
 near_texts() groups texts by the part of their shingles that they share. A radius of 3 bits finds next to none of
 the pairs that share 0.8 of their five-word shingles (see README), so beside the covering tables each text has
 further fingerprints, of bands of sampled shingles; of texts that share one, each is paired with the nearest by
-SimHash and with the one at the group's middle. All pairs are checked exactly, by all their shingles.
+SimHash and with the one at the group's middle. All pairs are checked exactly, by all their shingles. That joins most
+of what belongs together, but not surely all, so a second pass (rest()) looks at every pair left that could be similar.
+Shingles have one order, frequent ones last; of two similar texts the first shingle that they share lies early in both.
+Texts of different groups meet by each of their early shingles, and drop out where the rest of the two can't hold enough
+in common or the parities of their shingles differ in too many places, both of which are bounds. What is left is checked
+exactly, a few pairs of two groups at a time, until the groups are joined or have no pair left.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a null doc_id belongs
 to its component and is never its id (a component of null doc_ids only has a null id); repeated rows each
@@ -27,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .flat import U64, chunks, mix, shared_dir, small_batches, text_bytes, words
+from .flat import U64, chunks, mix, shared_dir, shuffles_freed, small_batches, text_bytes, words
 from .substrings import BASE_KEY, rolling
 
 SEED = 42
@@ -40,6 +45,14 @@ DIRECT = 512
 HOT = 100_000
 #: Bands of a text, sampled shingles in each, and bits by which texts differ that surely aren't similar.
 BANDS, ROWS, FAR = 16, 4, 28
+#: Texts sampled for the order of shingles, how many of them a frequent shingle is in, and how many of those are told apart.
+SAMPLE, OFTEN, FREQUENT = 6_000, 3, 1 << 16
+#: Entries of a shingle in one task, and pairs of two groups checked in the first round (each later round: so many times more).
+BLOCK, ROUND = 4096, 4
+#: Parts of one shingle's entries at most; two parts are numbered as one.
+PARTS = 1 << 20
+#: What rounding may add to a bound.
+SLACK = 1e-6
 LANES = np.uint64(0x0001000100010001)
 
 
@@ -277,7 +290,38 @@ def bands(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
-def _prints(shingle: int, limit: int):
+def _sets(hashes: np.ndarray, count: np.ndarray, common: np.ndarray) -> Iterator[np.ndarray]:
+    """The sorted different shingles of each row that has any, renumbered: the common ones last, in the order given."""
+    by = np.argsort(common)
+    known = common[by]
+    token = hashes >> U64(1)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        token = np.where(known[at] == hashes, by[at].astype(np.uint64) | U64(1 << 63), token)
+    ends = np.cumsum(count)
+    for y, n in zip(ends[count > 0].tolist(), count[count > 0].tolist(), strict=True):
+        yield np.unique(token[y - n : y])
+
+
+def early(size: int, least: float) -> int:
+    """Among how many of its first shingles a set has the first one that it shares with any set like it."""
+    return size - int(np.ceil(least * size - SLACK)) + 1
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Bits (64 or a larger power of two, at least two for each token) of whether an odd number of tokens falls on them; sets differ
+    in as many tokens as these bits or more."""
+    size = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens) & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parities (in bytes) over fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def _prints(shingle: int, least: float, common: np.ndarray, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, "_text", limit):
             hashes, row, count, node = _shingles(table["_text"], shingle)
@@ -285,12 +329,40 @@ def _prints(shingle: int, limit: int):
             keys = bands(hashes, np.repeat(np.arange(len(some)), count[some]), len(some))
             offsets = np.concatenate([[0], np.cumsum(np.where(count > 0, BANDS, 0))])
             made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            cols = [table["doc_id"].combine_chunks(), table["_rid"].combine_chunks(), pa.array(node.view(np.int64)), pa.array(fingerprint(hashes, count).view(np.int64)), made]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "node", "fp", "bands"])
+            size, brief, first, odd = np.zeros(len(count), np.int64), np.zeros(len(count), np.uint64), [np.zeros(0, np.uint64)] * len(count), [b""] * len(count)
+            for i, tokens in zip(some.tolist(), _sets(hashes, count, common), strict=True):
+                bits = parities(tokens)
+                size[i], brief[i], first[i], odd[i] = len(tokens), folded(bits, 8).view("<u8")[0], tokens[: early(len(tokens), least)], bits.tobytes()
+            ends = np.cumsum([0, *[len(x) for x in first]])
+            low = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(first).view(np.int64)))
+            cols = [table["doc_id"].combine_chunks(), table["_rid"].combine_chunks(), pa.array(node.view(np.int64)), pa.array(fingerprint(hashes, count).view(np.int64)), made, pa.array(size), pa.array(brief.view(np.int64)), low, pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "node", "fp", "bands", "size", "brief", "low", "odd"])
 
     return run
 
 
+def _counted(shingle: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, "_text", limit):
+            hashes, row, _, _ = _shingles(table["_text"], shingle)
+            by = np.lexsort((row, hashes))
+            hashes, row = hashes[by], row[by]
+            new = (np.diff(hashes, prepend=0) != 0) | (np.diff(row, prepend=-1) != 0)
+            key, n = np.unique(hashes[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return run
+
+
+def common_shingles(own: DataFrame, shingle: int, limit: int) -> np.ndarray:
+    """The shingles that are frequent in a sample of texts (_rid, _text), the most frequent last. They only set an order."""
+    rows = own.count()
+    part = own.filter(F.pmod(F.xxhash64("_rid", F.lit("sample")), F.lit(max(1, -(-rows // SAMPLE)))) == 0)
+    counted = part.mapInArrow(_counted(shingle, limit), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    got = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    return np.asarray(got["key"]).view(np.uint64)[::-1].copy()
+
+
 def _candidates():
     """Rows (key, zero, node, fp) sorted by key to pairs of nodes worth an exact look: each with its nearest and the middle one
     of its group, by fingerprint; a long group's parts are tied by their middles."""
@@ -347,6 +419,62 @@ def _similar(shingle: int, least: float, limit: int):
     return run
 
 
+def _possible(least: float):
+    """Rows (key, pair, node, root, size, left, brief, part) sorted by key and pair to pairs of nodes of different groups that may be
+    similar. left: how many of a node's shingles come from key on. A pair of different parts skips pairs within a part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, pair, node, root, size, left, brief, part), _, _ in _groups(batches, ["key", "pair", "node", "root", "size", "left", "brief", "part"], 1 << 62):
+            brief = brief.view(np.uint64)
+            head = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(pair) != 0)) + 1]).astype(np.int64)
+            sizes = np.diff(np.append(head, len(key)))
+            end, at, out, k = np.repeat(head + sizes, sizes), np.arange(len(key)), [np.zeros((0, 2), np.int64)], 1
+            within = pair % (PARTS + 1) == 0
+            while len(at := at[at + k < end[at]]):
+                x, y = at, at + k
+                both = size[x] + size[y]
+                good = (root[x] != root[y]) & (np.minimum(left[x], left[y]) >= least / (1 + least) * both - SLACK)
+                good &= (np.bitwise_count(brief[x] ^ brief[y]) <= (1 - least) / (1 + least) * both + SLACK) & (within[x] | (part[x] != part[y]))
+                if good.any():
+                    out.append(np.stack([np.maximum(node[x[good]], node[y[good]]), np.minimum(node[x[good]], node[y[good]])], 1))
+                k += 1
+            made = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["u", "v"])
+
+    return run
+
+
+def _close(least: float):
+    """Pairs (u, v, their sizes n and m, parities a and b) that may be similar, with the places in which parities differ (far)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (1 - least) / (1 + least) * (np.asarray(b.column("n")) + np.asarray(b.column("m"))) + SLACK
+            far = np.zeros(b.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                far[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+            good = pa.array(far <= most)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(far)], ["u", "v", "far"]).filter(good)
+
+    return run
+
+
+def rest(nodes: DataFrame, roots: DataFrame, tried: DataFrame, least: float) -> DataFrame:
+    """u, v, far: all pairs of nodes (node, size, low, odd, brief) of different groups (roots: node, root) that bounds don't rule
+    out, without those tried."""
+    placed = nodes.filter("size > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = placed.select("node", "root", "size", "brief", F.posexplode("low").alias("at", "key")).withColumn("left", F.col("size") - F.col("at")).drop("at")
+    own = Window.partitionBy("key")
+    met = entries.select("*", F.count("*").over(own).alias("n"), (F.min("root").over(own) < F.max("root").over(own)).alias("mixed")).filter("mixed")
+    # a frequent shingle's entries are dealt to parts, and each two parts meet in a task
+    dealt = met.withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.withColumn("pair", F.least("part", "other") * PARTS + F.greatest("part", "other")).select("key", "pair", "node", "root", "size", "left", "brief", "part")
+    pairs = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_possible(least), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+    told = lambda c, n, p: nodes.select(F.col("node").alias(c), F.col("size").alias(n), F.col("odd").alias(p))
+    return pairs.join(told("u", "n", "a"), "u").join(told("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b").mapInArrow(_close(least), "u long, v long, far long")
+
+
 def near_texts(df: DataFrame, rid: Column, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = 3, batch_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, rid, node, root of every row: rows with one root are linked by texts with the same words (a node), or that share at
     least `similarity` of their different shingles. rid: a column that identifies a row. A text of fewer words than a shingle
@@ -355,19 +483,42 @@ def near_texts(df: DataFrame, rid: Column, text: str = "text", doc_id: str = "do
     shared_dir(spark)
     small_batches(spark)
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), rid.alias("_rid"), F.col(text).alias("_text"))
-    prints = own.mapInArrow(_prints(shingle, batch_bytes), "doc_id long, rid long, node long, fp long, bands array<long>").checkpoint()
-    nodes = prints.groupBy("node").agg(F.min("rid").alias("rid"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
-    keys = nodes.select(F.explode("bands").alias("key"), F.lit(0).alias("zero"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
-    same = nodes.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
-    alike = nodes.join(same, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    ends = lambda c, n: same.select(F.col("fp").alias(c), F.col("first").alias(n))
-    covered = links(same, radius).join(ends("u", "x"), "u").join(ends("v", "y"), "v").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-    pairs = keys.mapInArrow(_candidates(), "u long, v long").union(alike).union(covered).distinct().checkpoint()
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    # one text of each node that is to be looked at
-    wanted = nodes.select("node", "rid").join(asked, "node", "left_semi")
-    texts = own.select(F.col("_rid").alias("rid"), "_text").join(wanted, "rid").groupBy("node").agg(F.min("_text").alias("_text")).checkpoint()
-    told = lambda c, t: texts.select(F.col("node").alias(c), F.col("_text").alias(t))
-    checked = pairs.join(told("u", "a"), "u").join(told("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_similar(shingle, similarity, batch_bytes), "u long, v long")
-    roots = components(checked).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    common = common_shingles(own, shingle, batch_bytes)
+    columns = "doc_id long, rid long, node long, fp long, bands array<long>, size long, brief long, low array<long>, odd binary"
+    with shuffles_freed(spark):
+        prints = own.mapInArrow(_prints(shingle, similarity, common, batch_bytes), columns).checkpoint()
+        nodes = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("rid", "fp", "bands", "size", "brief", "low", "odd")])
+        keys = nodes.select(F.explode("bands").alias("key"), F.lit(0).alias("zero"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
+        same = nodes.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
+        alike = nodes.join(same, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+        ends = lambda c, n: same.select(F.col("fp").alias(c), F.col("first").alias(n))
+        covered = links(same, radius).join(ends("u", "x"), "u").join(ends("v", "y"), "v").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+        pairs = keys.mapInArrow(_candidates(), "u long, v long").union(alike).union(covered).distinct().checkpoint()
+
+        def texts_of(pairs: DataFrame) -> DataFrame:
+            asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+            # one text of each node that is to be looked at
+            wanted = nodes.select("node", "rid").join(asked, "node", "left_semi").checkpoint()
+            return own.select(F.col("_rid").alias("rid"), "_text").join(few(wanted), "rid").groupBy("node").agg(F.min("_text").alias("_text")).checkpoint()
+
+        def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+            told = lambda c, t: texts.select(F.col("node").alias(c), F.col("_text").alias(t))
+            return pairs.join(told("u", "a"), "u").join(told("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_similar(shingle, similarity, batch_bytes), "u long, v long")
+
+        def joined(edges: DataFrame) -> DataFrame:
+            return components(edges).select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+        roots = joined(check(pairs, texts_of(pairs)))
+        left = rest(nodes, roots, pairs, similarity).checkpoint()
+        most, texts = ROUND, None
+        while not left.isEmpty():
+            texts = texts or texts_of(left)
+            root = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
+            now = left.join(root("u", "x"), "u", "left").join(root("v", "y"), "v", "left").select("u", "v", "far", F.coalesce("x", "u").alias("x"), F.coalesce("y", "v").alias("y")).filter("x <> y")
+            turn = F.row_number().over(Window.partitionBy(F.greatest("x", "y"), F.least("x", "y")).orderBy("far", "u", "v"))
+            now = now.select("u", "v", "far", turn.alias("turn")).checkpoint()
+            left = now.filter(F.col("turn") > most).select("u", "v", "far")
+            found = check(now.filter(F.col("turn") <= most).select("u", "v"), texts)
+            roots = joined(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
+            most *= 16
     return prints.select("doc_id", "rid", "node").join(roots, "node", "left").select("doc_id", "rid", "node", F.coalesce("root", "node").alias("root"))

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from spanforge.llm import simhash as S
@@ -120,6 +121,72 @@ def test_near_texts_match_all_pairs(spark):
     assert S.near_texts(df.filter("false"), F.col("doc_id")).count() == 0
 
 
+def rare_miss():
+    """Two texts of 1,500 words that share 0.8 of their five-word shingles, but no band and no near fingerprint."""
+    r = random.Random(909)
+    a = [f"w{r.randrange(10**6)}" for _ in range(1500)]
+    b, lose = list(a), (1500 - 4) // 9
+    for k in range(lose // 5):
+        b[20 + 7 * k] = f"x{r.randrange(10**6)}"
+    for k in range(lose % 5):
+        b[-1 - k] = f"y{k}"
+    return [" ".join(a), " ".join(b)]
+
+
+def test_pairs_that_share_no_band_are_found(spark):
+    from pyspark.sql import functions as F
+
+    texts = rare_miss()
+    hashes, row, count, _ = S._shingles(pa.chunked_array([pa.array(texts)]), 5)
+    keys, prints = S.bands(hashes, row, 2), S.fingerprint(hashes, count)
+    assert not (keys[0] == keys[1]).any() and np.bitwise_count(prints[0] ^ prints[1]) > 3 and similar(texts) == [[0, 1]]
+    got = S.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id")).collect()
+    assert len({x.root for x in got}) == 1
+
+
+def test_the_second_pass_alone_loses_no_link(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "BLOCK", 7)
+    monkeypatch.setattr(S, "_candidates", lambda: lambda batches: iter(()))
+    monkeypatch.setattr(S, "links", lambda nodes, radius: nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0))
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    passage = [r.choice(vocabulary) for _ in range(40)]
+    texts = [" ".join([r.choice(vocabulary) for _ in range(n)] + passage * (n % 3 > 0)) for n in range(5, 60)] + [None, "", "w1 w2"]
+    for _ in range(120):
+        w = texts[r.randrange(55)].split()
+        for _ in range(r.choice((0, 1, 1, 2, 3))):
+            at = r.choice((0, len(w) - 1, r.randrange(len(w))))
+            w[at] = r.choice(vocabulary)
+        texts.append(" ".join(w))
+    # a text with one more word before and after each time: neighbours are alike, the ends aren't
+    line = [r.choice(vocabulary) for _ in range(120)]
+    texts += [" ".join(line[i : i + 40]) for i in range(0, 80, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    groups = {}
+    for x in S.near_texts(df, F.col("doc_id")).collect():
+        groups.setdefault(x.root, []).append(x.doc_id)
+    assert sorted(map(sorted, groups.values())) == similar(texts)
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(6)
+    for n in (1, 5, 9, 45, 300, 1500):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            gone = r.random(n) < r.choice((0.02, 0.1, 0.2))
+            b = np.unique(np.concatenate([a[~gone], r.integers(0, 1 << 63, int(r.integers(0, n // 8 + 2)), dtype=np.uint64)]))
+            if not len(b):
+                continue
+            both, x, y = np.intersect1d(a, b, return_indices=True)
+            x_bits, y_bits = S.parities(a), S.parities(b)
+            size = min(len(x_bits), len(y_bits))
+            assert np.bitwise_count(S.folded(x_bits, size) ^ S.folded(y_bits, size)).sum() <= len(a) + len(b) - 2 * len(both)
+            if 5 * len(both) >= 4 * (len(a) + len(b) - len(both)):
+                assert x.min() < S.early(len(a), 0.8) and y.min() < S.early(len(b), 0.8)
+
+
 def test_long_documents_and_no_rows(spark):
     h = np.random.default_rng(2).integers(0, 1 << 63, 200_000, dtype=np.uint64)
     want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
