@@ -51,12 +51,20 @@ SINGLY, BLOCK = 48, 48
 
 
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    by_byte = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize)
+    turned = np.empty(by_byte.shape[::-1], np.uint8)
+    for i in range(x.itemsize):  # a copy of each plane is several times faster than one of the transposed whole
+        turned[i] = by_byte[:, i]
+    return zstandard.ZstdCompressor(level=1).compress(turned)
 
 
 def unpack(b: bytes, kind: str) -> np.ndarray:
     k = np.dtype(kind)
-    return np.frombuffer(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(k.itemsize, -1).T.tobytes(), k)
+    turned = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(k.itemsize, -1)
+    by_byte = np.empty(turned.shape[::-1], np.uint8)
+    for i in range(k.itemsize):
+        by_byte[:, i] = turned[i]
+    return by_byte.reshape(-1).view(k)
 
 
 @dataclass
@@ -94,16 +102,23 @@ def seat(customers: np.ndarray, a: np.ndarray, b: np.ndarray, d: float, rng: np.
     tables are binomial, at the chance in its middle.
     """
     tables = np.ones(len(customers))
-    by = np.argsort(-customers, kind="stable")
+    by = np.argsort(narrow(customers.max(initial=0) - customers), kind="stable")
     n, a, b, k = customers[by], a[by], b[by], tables[by]
+    less = -n
+    first, second = np.empty(len(n)), np.empty(len(n))
     i = 1
-    while m := int(np.searchsorted(-n, -i, "left")):  # sections with more than i customers
-        size = 1 if i < SINGLY else np.minimum(i // BLOCK, n[:m] - i)
-        new = a[:m] + b[:m] * k[:m]
-        chance = new / (new + i - d * k[:m])
+    while m := int(np.searchsorted(less, -i, "left")):  # sections with more than i customers
         if i < SINGLY:
-            k[:m] += rng.random(m) < chance
+            new = np.multiply(b[:m], k[:m], out=first[:m])
+            new += a[:m]
+            rest = np.add(new, i, out=second[:m])
+            rest -= d * k[:m]
+            new /= rest
+            k[:m] += rng.random(out=rest) < new
         else:
+            size = np.minimum(i // BLOCK, n[:m] - i)
+            new = a[:m] + b[:m] * k[:m]
+            chance = new / (new + i - d * k[:m])
             middle = k[:m] + chance * size / 2
             new = a[:m] + b[:m] * middle
             k[:m] += rng.binomial(size, new / (new + i + size / 2 - d * middle))
@@ -131,6 +146,11 @@ def _endings(w: Words) -> np.ndarray:
     return last | np.where(w.ends - w.starts > 1, before << U64(8), U64(0))
 
 
+def _by_ending(context: np.ndarray) -> np.ndarray:
+    """Contexts turned so that they sort by their endings first."""
+    return context << U64(48) | context >> U64(16)
+
+
 def _pairs(buckets: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, table in enumerate(chunks(batches, "text", limit)):
@@ -147,7 +167,7 @@ def _pairs(buckets: int, limit: int):
             del w, where
             counted = np.repeat(train, n)
             # of a word the contexts of one class lie together
-            by = np.lexsort((context, context & ENDING, token))
+            by = np.lexsort((_by_ending(context), token))
             new = np.ones(len(by), bool)
             new[1:] = (np.diff(token[by]) != 0) | (np.diff(context[by]) != 0)
             heads = np.flatnonzero(new)
@@ -221,7 +241,7 @@ def _state(table: pa.Table) -> pa.Table:
     every, of = np.unique(np.concatenate(w), return_inverse=True)
     customers, sections = (np.bincount(of, np.concatenate(x), len(every)).astype(np.int64) for x in (customers, sections))
     own, ctx, n = np.repeat(of, np.concatenate(runs)), np.concatenate(ctx), np.concatenate(n).astype(np.int64)
-    by = np.lexsort((ctx, ctx & ENDING, own))
+    by = np.lexsort((_by_ending(ctx), own))
     new = np.ones(len(by), bool)
     new[1:] = (np.diff(own[by]) != 0) | (np.diff(ctx[by]) != 0)
     heads = np.flatnonzero(new)

@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -122,6 +123,52 @@ def test_agrees_with_one_by_one_gibbs_sampling(spark):
     assert max(abs(x - y) for x, y in zip(mine, want, strict=True)) < 0.35
 
 
+def plain_seat(customers, a, b, d, rng):
+    tables = np.ones(len(customers))
+    by = np.argsort(-customers, kind="stable")
+    n, a, b, k = customers[by], a[by], b[by], tables[by]
+    i = 1
+    while m := int((n > i).sum()):
+        size = 1 if i < H.SINGLY else np.minimum(i // H.BLOCK, n[:m] - i)
+        new = a[:m] + b[:m] * k[:m]
+        chance = new / (new + i - d * k[:m])
+        if i < H.SINGLY:
+            k[:m] += rng.random(m) < chance
+        else:
+            middle = k[:m] + chance * size / 2
+            new = a[:m] + b[:m] * middle
+            k[:m] += rng.binomial(size, new / (new + i + size / 2 - d * middle))
+        i += 1 if i < H.SINGLY else i // H.BLOCK
+    tables[by] = k
+    return tables
+
+
+def test_quick_forms_equal_plain_ones_and_cost_less():
+    r = np.random.default_rng(9)
+    for kind in ("<u8", "<i8", "<u4", "<i4", "<u2", "u1"):
+        for n in (0, 1, 7, 1000):
+            x = r.integers(0, 200, n).astype(kind)
+            assert H.unpack(H.pack(x), kind).tolist() == x.tolist()
+    x = r.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    order = H._by_ending(x)
+    assert (np.argsort(order) == np.lexsort((x, x & H.ENDING))).all()
+    for most in (2, 60, 5000, 100_000):
+        customers, a, b = r.integers(1, most, 3000), r.random(3000) * 3, r.random(3000)
+        assert (H.seat(customers, a, b, 0.6, np.random.default_rng(3)) == plain_seat(customers, a, b, 0.6, np.random.default_rng(3))).all()
+    assert len(H.seat(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0.6, r)) == 0
+
+    def seconds(f):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            f()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    zeros = np.zeros(2_000_000, np.uint64)  # next to no work for the compressor
+    assert seconds(lambda: H.pack(zeros)) < seconds(lambda: zeros.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
 def test_seating_follows_the_restaurant_process():
     """Mean number of tables against the sum over customers of the chance of a new table, by recursion."""
     def mean(n, a, b, d):
