@@ -45,8 +45,9 @@ DIRECT = 512
 HOT = 100_000
 #: Bands of a text, sampled shingles in each, and bits by which texts differ that surely aren't similar.
 BANDS, ROWS, FAR = 16, 4, 28
-#: Texts sampled for the order of shingles, how many of them a frequent shingle is in, and how many of those are told apart.
-SAMPLE, OFTEN, FREQUENT = 6_000, 3, 1 << 16
+#: For the order of shingles one text in SHARE is sampled, or more to have SAMPLE of them; how many of the sample a frequent shingle
+#: is in, and how many of those are told apart.
+SHARE, SAMPLE, OFTEN, FREQUENT = 4, 6_000, 3, 1 << 20
 #: Entries of a shingle in one task, and pairs of two groups checked in the first round (each later round: so many times more).
 BLOCK, ROUND = 4096, 4
 #: Parts of one shingle's entries at most; two parts are numbered as one.
@@ -290,10 +291,9 @@ def bands(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
-def _sets(hashes: np.ndarray, count: np.ndarray, common: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted different shingles of each row that has any, renumbered: the common ones last, in the order given."""
-    by = np.argsort(common)
-    known = common[by]
+def _sets(hashes: np.ndarray, count: np.ndarray, known: np.ndarray, by: np.ndarray) -> Iterator[np.ndarray]:
+    """The sorted different shingles of each row that has any, renumbered: the common ones (known, sorted) last, in the order of their
+    places (by)."""
     token = hashes >> U64(1)
     if len(known):
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
@@ -323,6 +323,8 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 def _prints(shingle: int, least: float, common: np.ndarray, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = np.argsort(common)
+        known = common[by]
         for table in chunks(batches, "_text", limit):
             hashes, row, count, node = _shingles(table["_text"], shingle)
             some = np.flatnonzero(count)
@@ -330,7 +332,7 @@ def _prints(shingle: int, least: float, common: np.ndarray, limit: int):
             offsets = np.concatenate([[0], np.cumsum(np.where(count > 0, BANDS, 0))])
             made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
             size, brief, first, odd = np.zeros(len(count), np.int64), np.zeros(len(count), np.uint64), [np.zeros(0, np.uint64)] * len(count), [b""] * len(count)
-            for i, tokens in zip(some.tolist(), _sets(hashes, count, common), strict=True):
+            for i, tokens in zip(some.tolist(), _sets(hashes, count, known, by), strict=True):
                 bits = parities(tokens)
                 size[i], brief[i], first[i], odd[i] = len(tokens), folded(bits, 8).view("<u8")[0], tokens[: early(len(tokens), least)], bits.tobytes()
             ends = np.cumsum([0, *[len(x) for x in first]])
@@ -355,12 +357,21 @@ def _counted(shingle: int, limit: int):
 
 
 def common_shingles(own: DataFrame, shingle: int, limit: int) -> np.ndarray:
-    """The shingles that are frequent in a sample of texts (_rid, _text), the most frequent last. They only set an order."""
+    """The shingles that are frequent in a sample of texts (_rid, _text), the most frequent last. They only set an order. The sample
+    grows with the texts: with a fixed one, shingles of as many texts as before would come early in a larger table."""
     rows = own.count()
-    part = own.filter(F.pmod(F.xxhash64("_rid", F.lit("sample")), F.lit(max(1, -(-rows // SAMPLE)))) == 0)
-    counted = part.mapInArrow(_counted(shingle, limit), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
-    got = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    return np.asarray(got["key"]).view(np.uint64)[::-1].copy()
+    some = own.filter(F.pmod(F.xxhash64("_rid", F.lit("sample")), F.lit(min(SHARE, max(1, -(-rows // SAMPLE))))) == 0)
+    counted = some.mapInArrow(_counted(shingle, limit), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN).checkpoint()
+    # about FREQUENT of them go to the driver: of the least count that fits in part only, a part
+    least, part, room = 0, PARTS, FREQUENT
+    for n, keys in sorted(((x["n"], x["keys"]) for x in counted.groupBy("n").agg(F.count("*").alias("keys")).collect()), reverse=True):
+        if keys > room:
+            least, part = n, room * PARTS // keys
+            break
+        room -= keys
+    got = counted.filter((F.col("n") > least) | (F.col("n") == least) & (F.pmod("key", F.lit(PARTS)) < part)).toArrow()
+    key, n = np.asarray(got["key"]).view(np.uint64), np.asarray(got["n"])
+    return key[np.lexsort((~key, n))]
 
 
 def _candidates():
@@ -483,9 +494,9 @@ def near_texts(df: DataFrame, rid: Column, text: str = "text", doc_id: str = "do
     shared_dir(spark)
     small_batches(spark)
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), rid.alias("_rid"), F.col(text).alias("_text"))
-    common = common_shingles(own, shingle, batch_bytes)
     columns = "doc_id long, rid long, node long, fp long, bands array<long>, size long, brief long, low array<long>, odd binary"
     with shuffles_freed(spark):
+        common = common_shingles(own, shingle, batch_bytes)
         prints = own.mapInArrow(_prints(shingle, similarity, common, batch_bytes), columns).checkpoint()
         nodes = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("rid", "fp", "bands", "size", "brief", "low", "odd")])
         keys = nodes.select(F.explode("bands").alias("key"), F.lit(0).alias("zero"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")

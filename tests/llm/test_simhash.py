@@ -170,6 +170,40 @@ def test_the_second_pass_alone_loses_no_link(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == similar(texts)
 
 
+def test_pairs_to_look_at_grow_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE", 75)
+
+    def met(n):
+        """Pairs of n texts, 30 of which share a passage, that meet by an early shingle."""
+        r = random.Random(21)
+        passages = [[f"p{k}_{i}" for i in range(60)] for k in range(n // 30)]
+        texts = [" ".join([f"w{r.randrange(10**6)}" for _ in range(120)] + passages[i % len(passages)]) for i in range(n)]
+        own = spark.createDataFrame(list(enumerate(texts)), "_rid long, _text string")
+        common = S.common_shingles(own, 5, 1 << 20)
+        table = pa.table({"doc_id": range(n), "_rid": range(n), "_text": texts})
+        low = [x for b in S._prints(5, 0.8, common, 1 << 20)(iter(table.to_batches())) for x in b.column("low").to_pylist()]
+        at = {}
+        for i, keys in enumerate(low):
+            for k in keys:
+                at.setdefault(k, []).append(i)
+        return len({p for x in at.values() for p in itertools.combinations(x, 2)})
+
+    few, many = met(300), met(1500)
+    assert many <= max(6 * few, 1500)
+
+
+def test_only_the_most_frequent_shingles_are_told_apart(spark, monkeypatch):
+    rows = [(i, " ".join(f"{x}{j}" for x, n in (("a", 4), ("b", 7), ("c", 9)) if i < n for j in range(8))) for i in range(9)]
+    own = spark.createDataFrame(rows, "_rid long, _text string")
+    everything = S.common_shingles(own, 5, 1 << 20)
+    assert len(everything) == 4 + 4 + 4 + 4 + 4  # of each run of words, and where runs meet: ab (4 texts) and bc (7)
+    monkeypatch.setattr(S, "FREQUENT", 9)
+    got = S.common_shingles(own, 5, 1 << 20)
+    assert got[-4:].tolist() == everything[-4:].tolist() and set(got) <= set(everything[-12:]) and 4 < len(got) < 12
+    monkeypatch.setattr(S, "FREQUENT", 4)
+    assert S.common_shingles(own, 5, 1 << 20).tolist() == everything[-4:].tolist()
+
+
 def test_bounds_hold():
     r = np.random.default_rng(6)
     for n in (1, 5, 9, 45, 300, 1500):
