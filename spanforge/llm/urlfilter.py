@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .flat import shared_dir
 
-#: Fixed rules: verdict, host, path.
+#: Rules used where none are given: verdict, host, path. op6_url_filter gives those of its contract.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: Blocked hosts that are broadcast at most; parts into which a host's pages are dealt beyond that.
 FEW_HOSTS, SALTS = 20_000, 64

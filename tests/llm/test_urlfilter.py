@@ -94,3 +94,12 @@ def test_verdicts_do_not_depend_on_the_number_of_hosts(spark):
         df = spark.createDataFrame(rows, "d double, t double, s double")
         got = [r[0] for r in df.select(U.suspect(F.col("d"), F.col("t"), F.col("s"), F.col("s"), 2.0, F.lit(False))).collect()]
         assert got == [True, False, False, True, False], scale
+
+
+def test_the_query_has_the_rules_of_its_contract(spark, tmp_path):
+    from spanforge.llm.queries import op6_url_filter
+
+    urls = ["http://a.com/en/1", "http://example.com/en/71", "http://b.net/de/1", "http://NET/de/", "http://www.example.net/de/80", "http://example.net/de/9", "http://c.org/es/"]
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r.rule, r.verdict) for r in op6_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]
