@@ -169,6 +169,7 @@ def encode_events(e: Column) -> Column:
 
 def decode_events(t: Column) -> Column:
     """Events from text; empty text has none."""
-    part = lambda x, i: F.get(F.split(x, ","), F.lit(i))
-    one = lambda x: F.struct(part(x, 0).cast("long").alias("pos"), part(x, 1).alias("ref"), part(x, 2).alias("alt"), F.split(part(x, 3), "/").cast("array<int>").alias("qual"), part(x, 4).cast("long").alias("dist"))
-    return F.when(t == "", F.array().cast(EVENTS)).otherwise(F.transform(F.split(t, ";"), one).cast(EVENTS))
+    part = lambda p, i: F.get(p, F.lit(i))
+    row = lambda p: F.struct(part(p, 0).cast("long").alias("pos"), part(p, 1).alias("ref"), part(p, 2).alias("alt"), F.split(part(p, 3), "/").cast("array<int>").alias("qual"), part(p, 4).cast("long").alias("dist"))
+    one = lambda x: let(F.split(x, ","), row)
+    return let(t, lambda v: F.when(v == "", F.array().cast(EVENTS)).otherwise(F.transform(F.split(v, ";"), one).cast(EVENTS)))

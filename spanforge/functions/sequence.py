@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
 
 #: Fixed: bases and their complements.
 BASES, COMPLEMENTS = "ACGTNacgtn", "TGCANtgcan"
@@ -45,7 +46,9 @@ def base_count(seq: Column, base: str) -> Column:
 
 def base_counts(seq: Column, bases: str = "ACGTN") -> Column:
     """Counts of the bases that occur, as text like A,3;C,1 in alphabetic order."""
-    parts = [F.when(base_count(seq, x) > 0, F.concat(F.lit(f"{x},"), base_count(seq, x).cast("string"))) for x in sorted(bases)]
-    return F.array_join(F.array_compact(F.array(*parts)), ";")
 
+    def counted(upper: Column, base: str) -> Column:
+        n = F.length(upper) - F.length(F.replace(upper, F.lit(base), F.lit("")))
+        return let(n, lambda many: F.when(many > 0, F.concat(F.lit(f"{base},"), many.cast("string"))))
 
+    return let(F.upper(seq), lambda upper: F.array_join(F.array_compact(F.array(*[counted(upper, x) for x in sorted(bases)])), ";"))

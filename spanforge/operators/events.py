@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import blocks as B
 from ..functions import cigar as C
 from ..functions import sequence as S
-from ..functions.let import let
+from ..functions.let import exploded, let, once
 from . import pairing as P
 
 
@@ -32,7 +32,7 @@ def tagged(reads: DataFrame) -> DataFrame:
 
 def rows(reads: DataFrame, key: str, events: str = "events") -> DataFrame:
     """One row for each event: key, chrom, pos, ref, alt, qual (the best of several), dist."""
-    return reads.select(key, "chrom", F.explode(events).alias("x")).select(key, "chrom", "x.pos", "x.ref", "x.alt", F.array_max("x.qual").alias("qual"), "x.dist")
+    return exploded(reads, "x", F.col(events)).select(key, "chrom", "x.pos", "x.ref", "x.alt", F.array_max("x.qual").alias("qual"), "x.dist")
 
 
 def per_base(events: DataFrame) -> DataFrame:
@@ -107,22 +107,34 @@ def pair_events(first: Column, second: Column) -> Column:
     The other mate's base at an event's position replaces it if its score is higher; of different bases with equal scores none
     stays; what then is the reference's base goes. Where both mates have an event the first mate's counts.
     """
-    own = lambda m: C.base_events(m["cigar"], m["start"], m["tags"]["MD"], m["seq"], m["qual"])
+    return let(_own_events(first), lambda a: let(_own_events(second), lambda b: _pair_events(first, second, a, b)))
 
-    def both(a: Column, b: Column) -> Column:
-        new = F.filter(b, lambda y: ~F.exists(a, lambda x: x["pos"] == y["pos"]))
-        return F.filter(F.concat(_against(a, second), _against(new, first)), lambda e: e["alt"].isNotNull() & (e["alt"] != e["ref"]))
 
-    return let(own(first), lambda a: let(own(second), lambda b: both(a, b)))
+def _own_events(mate: Column) -> Column:
+    return C.base_events(mate["cigar"], mate["start"], mate["tags"]["MD"], mate["seq"], mate["qual"])
+
+
+def _pair_events(first: Column, second: Column, a: Column, b: Column) -> Column:
+    """pair_events() from the mates' own events a and b."""
+    new = F.filter(b, lambda y: ~F.exists(a, lambda x: x["pos"] == y["pos"]))
+    return F.filter(F.concat(_against(a, second), _against(new, first)), lambda e: e["alt"].isNotNull() & (e["alt"] != e["ref"]))
 
 
 def pair_reference(first: Column, second: Column) -> Column:
     """The reference's bases under a fragment, by the mates' MD tags: the first mate's, then the second's outside the first's blocks."""
-    bases = lambda m: C.reference_sequence(m["cigar"], m["tags"]["MD"], m["seq"])
+    return _pair_reference(first, second, _own_reference(first), _own_reference(second))
+
+
+def _own_reference(mate: Column) -> Column:
+    return C.reference_sequence(mate["cigar"], mate["tags"]["MD"], mate["seq"])
+
+
+def _pair_reference(first: Column, second: Column, a: Column, b: Column) -> Column:
+    """pair_reference() from the references a and b under the mates."""
     places = F.flatten(F.transform(second["blocks"], lambda x: F.sequence(x["s"], x["e"] - 1)))
-    listed = F.arrays_zip(places.alias("p"), F.split(bases(second), "").alias("b"))
+    listed = F.arrays_zip(places.alias("p"), F.split(b, "").alias("b"))
     outside = F.filter(listed, lambda x: x["p"].isNotNull() & ~B.includes(first["blocks"], x["p"]))
-    return F.concat(bases(first), F.array_join(F.transform(outside, lambda x: x["b"]), ""))
+    return F.concat(a, F.array_join(F.transform(outside, lambda x: x["b"]), ""))
 
 
 def genome_counts(ranges: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
@@ -133,7 +145,8 @@ def genome_counts(ranges: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     touched = each.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_b.s") / size), F.floor((F.col("_b.e") - 1) / size))))
     low, high = F.greatest(F.col("_b.s") - F.col("chunk") * size, F.lit(0)), F.least(F.col("_b.e") - F.col("chunk") * size, F.lit(size))
     piece = F.upper(F.substring("_part", low.cast("int") + 1, (high - low).cast("int")))
-    parts = touched.join(chunks.select(F.col("name").alias("chrom"), "chunk", F.col("sequence").alias("_part")), ["chrom", "chunk"]).withColumn("_piece", piece)
+    # pieces are many more rows than the file of their contigs suggests, so they are never broadcast
+    parts = touched.join(chunks.select(F.col("name").alias("chrom"), "chunk", F.col("sequence").alias("_part")).hint("merge"), ["chrom", "chunk"]).withColumn("_piece", piece)
     letters = sorted("ACGTN")
     sums = parts.groupBy("chrom", "blocks").agg(*[F.sum(S.base_count(F.col("_piece"), x)).alias(x) for x in letters])
     shown = F.array_join(F.array_compact(F.array(*[F.when(F.col(x) > 0, F.concat(F.lit(f"{x},"), F.col(x).cast("string"))) for x in letters])), ";")
@@ -169,17 +182,20 @@ def identified_pairs(pairs: DataFrame, chunks: DataFrame | None = None, size: in
     """Fragments (as pairing.fragments() gives them) whose mates have the tags ME and RC, the first mate also PE (pair_events())
     and PC (bases under the fragment's blocks). The reference is found as by identified()."""
     one, two = F.col("mate1"), F.col("mate2")
+    a, b = F.col("_e1"), F.col("_e2")
+    own = {"_e1": _own_events(one), "_e2": _own_events(two)}
     if chunks is None:
-        rc = lambda m: S.base_counts(C.reference_sequence(m["cigar"], m["tags"]["MD"], m["seq"]))
-        out = pairs.withColumns({"_rc1": rc(one), "_rc2": rc(two), "_pc": S.base_counts(pair_reference(one, two))})
+        known = once(pairs, **own, _ref1=_own_reference(one), _ref2=_own_reference(two))
+        x, y = F.col("_ref1"), F.col("_ref2")
+        out = known.withColumns({"_rc1": S.base_counts(x), "_rc2": S.base_counts(y), "_pc": S.base_counts(_pair_reference(one, two, x, y))}).drop("_ref1", "_ref2")
     else:
         every = pairs.select("chrom", F.explode(F.array("mate1.blocks", "mate2.blocks", "blocks")).alias("blocks"))
         counts = genome_counts(every, chunks, size)
         out = _counted(_counted(_counted(pairs, counts, "mate1.blocks", "_rc1"), counts, "mate2.blocks", "_rc2"), counts, "blocks", "_pc")
-    me = lambda m: C.encode_events(C.base_events(m["cigar"], m["start"], m["tags"]["MD"], m["seq"], m["qual"]))
-    first = _retagged(one["tags"], ME=me(one), RC=F.col("_rc1"), PE=C.encode_events(pair_events(one, two)), PC=F.col("_pc"))
-    second = _retagged(two["tags"], ME=me(two), RC=F.col("_rc2"))
-    return out.withColumns({"mate1": one.withField("tags", first), "mate2": two.withField("tags", second)}).drop("_rc1", "_rc2", "_pc")
+        out = once(out, **own)
+    first = _retagged(one["tags"], ME=C.encode_events(a), RC=F.col("_rc1"), PE=C.encode_events(_pair_events(one, two, a, b)), PC=F.col("_pc"))
+    second = _retagged(two["tags"], ME=C.encode_events(b), RC=F.col("_rc2"))
+    return out.withColumns({"mate1": one.withField("tags", first), "mate2": two.withField("tags", second)}).drop("_rc1", "_rc2", "_pc", "_e1", "_e2")
 
 
 def single_side(events: DataFrame, other_qual: Column) -> DataFrame:

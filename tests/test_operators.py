@@ -132,3 +132,65 @@ def test_features_of_one_name_are_counted_apart(spark):
     assert count() == [("G", 20, 0), ("G", 20, 3), ("H", 10, 3), ("H", 10, 3)]
     assert count(mode="coincide") == [("G", 20, 0), ("G", 20, 2), ("H", 10, 0), ("H", 10, 0)]
     assert count(mode="coincide", strand="forward") == [("G", 20, 0), ("G", 20, 1), ("H", 10, 0), ("H", 10, 0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+READ = "part long, chrom string, flag int, start long, cigar string, seq string, qual string, tags map<string,string>"
+
+
+def test_reads_are_decoded_once(spark):
+    df = spark.createDataFrame([(1, "c", 0, 100, "4M1D4M", "ACGTACGT", "IIIIIIII", {"MD": "1A2^G4"})], READ)
+    tagged = events.tagged(df).select(C.encode_events(C.decode_events(F.col("tags")["ME"])).alias("ME"), F.col("tags")["RC"].alias("RC"))
+    assert tuple(tagged.first()) == ("101,A,C,40,1;104,G,-,0,4", "A,3;C,1;G,3;T,2")
+    assert plan(events.tagged(df)).count("regexp_extract_all") < 10
+    rows = events.rows(events.called(df), "part")
+    assert [(r.pos, r.ref) for r in rows.orderBy("pos").collect()] == [(101, "A"), (104, "G")]
+    # no filter by the size of the events, which finds them twice
+    assert plan(rows).count("regexp_extract_all") == 3
+    none = spark.createDataFrame([(1, "c", 0, 100, "4M", "ACGT", "IIII", {"MD": "4"})], READ)
+    assert events.rows(events.called(none), "part").count() == 0
+
+
+def test_few_small_rows_are_dealt_to_many_tasks(spark):
+    from spanforge.plans import views
+
+    assert views.dna(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == views.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+
+
+def test_isoforms_are_compared_from_bound_blocks(spark):
+    df = spark.createDataFrame([([(0, 10), (20, 30), (40, 50)],)], "b array<struct<s:bigint,e:bigint>>")
+    other = F.transform("b", lambda x: B.block(x["s"], x["e"] + 1))
+    assert tuple(df.select(B.compare(F.col("b"), other).alias("x")).first().x) == (None, None)
+    assert plan(df.select(B.compare(F.col("b"), other))).count("+ 1)") == 2
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(f"chr{r.randrange(2)}", s := r.randrange(3000), s + 1 + r.randrange(60), "+-"[i % 2], i) for i in range(200)]
+    a = spark.createDataFrame(rows, "chrom string, start long, end long, strand string, id int")
+    named = a.withColumn("name", F.col("id").cast("string"))
+    want = [sorted(map(str, x.collect())) for x in (joins.overlap_join(a, a, width=20), reports.feature_count(a, named, "forward", width=20))]
+    monkeypatch.setattr(joins, "FEW_ROWS", 10)
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 30)
+    got = joins.overlap_join(a, a, width=20), reports.feature_count(a, named, "forward", width=20)
+    assert [sorted(map(str, x.collect())) for x in got] == want
+    for x in got:
+        text = x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin [chrom#" in text and text.count("14), REPARTITION_BY_NUM") == 2, text
+
+
+def test_pieces_of_contigs_are_not_broadcast(spark):
+    from spanforge.sources import text as T
+
+    genome = spark.createDataFrame([("c", "ACGTACGTAC" * 4)], "name string, sequence string")
+    spans = spark.createDataFrame([(1, "c", "+", 3, 33)], "id int, chrom string, strand string, start long, end long")
+    counts = events.genome_counts(spans.withColumn("blocks", F.array(B.block(F.col("start"), F.col("end")))), T.chunked(genome, 7), 7)
+    fetched = T.fetch_chunked(spans, T.chunked(genome, 7), "id", 7)
+    under = ("ACGTACGTAC" * 4)[3:33]
+    assert counts.first().counts == ";".join(f"{x},{under.count(x)}" for x in "ACGT")
+    assert fetched.first().sequence == under
+    for df in (counts, fetched):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
