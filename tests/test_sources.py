@@ -169,3 +169,51 @@ def test_stream_counts(spark, tmp_path):
     q = overlaps.annotate(stream, features, lambda df, n: seen.append(df.select(F.col("r_name")).count())).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sum(seen) == 3
+
+
+def test_quick_attributes_are_those_of_the_map(spark):
+    import itertools
+
+    from spanforge.functions.let import once
+
+    gtf = ['gene_id "G"; transcript_id "T";', 'gene_id "G"; gene_id "H"; transcript_id "T";', 'note "a; gene_id x;"; gene_id  "G" ;', 'note "gene_id"; gene_id "G"; transcript_id "T";', 'gene_id G; transcript_id  ; x "y";', 'gene_id "G"', 'a  ;gene_id "";transcript_id "t;u";',
+           'gene_id "G\x02x"; transcript_id "T\x01";', 'gene_id "G\nH"; transcript_id "T";', "", "  ;; ", 'gene_ids "G"; transcript_id "gene_id";', 'gene_id "a" ; b c; gene_id d e ;']
+    gff = ["ID=a;Parent=b", "ID=a;ID=b", " ID=x ;Parent = y;Parent", "XID=a;ID", "ID;Parent=p,q;", 'ID="a b" ;Parent="c"', "ID =x;Parent=", "Parent=u;ID=v;Parent=w;", "", ";;", "Parents=1;ID=P=2"]
+    gff += [";".join(x) for x in itertools.permutations(["ID=1", "Parent", " Parent= 2 ", "ID"], 3)]
+    for texts, keys, read, quick in ((gtf, ("gene_id", "transcript_id"), T.gtf_attributes, T._gtf_value), (gff, ("ID", "Parent"), T.gff_attributes, T._gff_value)):
+        df = once(spark.createDataFrame([(x,) for x in texts], "t string"), m=read(F.col("t")))
+        for key in keys:
+            rows = df.select("t", F.col("m")[key].alias("want"), F.when(T._odd(F.col("t")), F.col("m")[key]).otherwise(quick(F.col("t"), key)).alias("got"), (T._gtf_has if read is T.gtf_attributes else T._gff_has)(F.col("t"), key).alias("has")).collect()
+            assert [(r.t, r.got, r.has) for r in rows] == [(r.t, r.want, r.want is not None) for r in rows]
+
+
+def plain_gtf(text):
+    """Attributes by the patterns of the format's description."""
+    import re
+
+    out = {}
+    for item in re.findall(r"""[^ ;]+ +(?:"[^"]*"|[^";]+);""", text):
+        value = re.match(r"^[^ ]+ +(.*);$", item)
+        out[re.match(r"[^ ]+", item)[0]] = re.sub('^"(.*)"$', r"\1", value[1]) if value else ""
+    return out
+
+
+def test_gtf_attributes_match_plain_patterns(spark):
+    import random
+
+    r = random.Random(5)
+    texts = ["".join(r.choice(['a', 'gene_id', ' ', '  ', '"', ';', '; ', 'v w', '"x; y"', '""']) for _ in range(r.randrange(14))) for _ in range(400)]
+    got = [x.m for x in spark.createDataFrame([(t,) for t in texts], "t string").select(T.gtf_attributes(F.col("t")).alias("m")).collect()]
+    assert got == [plain_gtf(t) for t in texts]
+
+
+def test_models_read_lines_few_times(spark):
+    lines = ["c\ts\tgene\t1\t90\t.\t+\t.\tID=g", "c\ts\ttranscript\t1\t90\t.\t+\t.\tID=t;Parent=g", "c\ts\texon\t1\t90\t.\t+\t.\tID=e;Parent=t,g", "c\ts\texon\t1\t90\t.\t+\t.\tID=e;Parent=t"]
+    df = T.parse_gff(spark.createDataFrame([(x,) for x in lines], "value string"))
+    tree = models.feature_tree(df)
+    rows = sorted((r.name, r.root, r.depth, r.n_children) for r in tree.collect())
+    assert rows == [("e", "g", 1, 0), ("e", "g", 2, 0), ("e", "g", 2, 0), ("g", "g", 0, 2), ("t", "g", 1, 2)]
+    final = tree._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Scan ExistingRDD") <= 2 or final.count("ReusedExchange") >= 2, final
+    # the map of attributes is not made where models need one key
+    assert "map_from_entries" not in tree._jdf.queryExecution().optimizedPlan().toString().split("Generate")[-1]
