@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.let import exploded
 
 LEVELS = 6
+#: Rows of a side up to which Spark may broadcast it; rows of both sides for each task of a join in which none is.
+FEW_ROWS, ROWS_A_TASK = 1 << 18, 1 << 20
 
 
 def _level(start: Column, end: Column, width: int, most_bins: int) -> Column:
@@ -53,21 +56,26 @@ def _met(left: DataFrame, right: DataFrame, width: int, most_bins: int, prefix:
     rs, re = F.col(f"{prefix}start"), F.col(f"{prefix}end")
     tagged = left.withColumn("_level", _level(F.col("start"), F.col("end"), width, most_bins))
     other = right.withColumn("_rlevel", _level(rs, re, width, most_bins))
-    # which levels have rows of their own on either side: a few numbers, from one pass over the coordinates
-    present = tagged.select(F.lit("l").alias("side"), F.col("_level").alias("k")).union(other.select(F.lit("r"), "_rlevel")).distinct().collect()
+    # which levels have rows of their own on either side, and how many: a few numbers, from one pass over the coordinates
+    present = tagged.select(F.lit("l").alias("side"), F.col("_level").alias("k")).union(other.select(F.lit("r"), "_rlevel")).groupBy("side", "k").count().collect()
     left_levels, right_levels = ([r["k"] for r in present if r["side"] == side] for side in "lr")
 
     def spread(df: DataFrame, level: str, start: Column, end: Column, others: list[int], own_roles: list[int], guest_role: int, k: str, b: str, role: str) -> DataFrame:
         ways = [(F.col(level), r, F.lit(True)) for r in own_roles] + [(F.lit(x), guest_role, F.col(level) < x) for x in others]
         at = lambda x, r: F.transform(_bins(x, start, end, width, most_bins), lambda i: F.struct(x.cast("int").alias("k"), i.alias("b"), F.lit(r).alias("r")))
         none = F.slice(at(F.lit(0), 0), 1, 0)
-        return df.withColumn("_x", F.explode(F.concat(*[F.when(use, at(x, r)).otherwise(none) for x, r, use in ways]))).withColumns({k: F.col("_x.k"), b: F.col("_x.b"), role: F.col("_x.r")}).drop("_x")
+        return exploded(df, "_x", F.concat(*[F.when(use, at(x, r)).otherwise(none) for x, r, use in ways])).withColumns({k: F.col("_x.k"), b: F.col("_x.b"), role: F.col("_x.r")}).drop("_x")
 
     # role 0: left rows at home, right rows at home or guests; role 1: left guests, right rows at home
     a = spread(tagged, "_level", F.col("start"), F.col("end"), right_levels, [0], 1, "_k", "_b", "_r")
     b = spread(other, "_rlevel", rs, re, left_levels, [0, 1], 0, "_rk", "_rb", "_rr")
     w = F.element_at(F.array(*[F.lit(width * most_bins**k).cast("long") for k in range(LEVELS)]), F.col("_k") + 1)
     on = (F.col("chrom") == F.col(f"{prefix}chrom")) & (F.col("_k") == F.col("_rk")) & (F.col("_b") == F.col("_rb")) & (F.col("_r") == F.col("_rr"))
+    rows = [sum(r["count"] for r in present if r["side"] == side) for side in "lr"]
+    if min(rows) > FEW_ROWS:
+        # Spark goes by the size of files, which tells little of the rows and copies here: it would broadcast what does not fit
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(rows) // ROWS_A_TASK + 1)
+        a, b = a.repartition(tasks, "chrom", "_k", "_b", "_r"), b.repartition(tasks, f"{prefix}chrom", "_rk", "_rb", "_rr").hint("merge")
     hit = (F.col("start") < re) & (F.col("end") > rs) & (F.col("_b") == F.floor(F.greatest(F.col("start"), rs) / w))
     return a.join(b, on & hit).drop("_k", "_b", "_r", "_rk", "_rb", "_rr", "_level", "_rlevel")
 

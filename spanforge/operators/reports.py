@@ -33,7 +33,8 @@ def feature_count(reads: DataFrame, features: DataFrame, strand: str | None = No
     own = reads.select(*span, *[F.col(c).alias(f"_blocks{i}") for i, c in enumerate(looked)])
     met = overlap_join(own, named.select("_id", *used).dropDuplicates(["_id"]), width=width)
     if strand:
-        met = met.filter(F.col("strand") == F.col("r_strand") if strand == "forward" else F.col("strand") != F.col("r_strand"))
+        # as part of the join's condition, not one of its keys, by which the rows would be shuffled anew
+        met = met.filter(_after_overlap(F.col("strand") == F.col("r_strand") if strand == "forward" else F.col("strand") != F.col("r_strand")))
     for i in range(len(looked)):
         met = met.filter(_after_overlap((B.coincides if mode == "coincide" else B.contains)(F.col("r_blocks"), F.col(f"_blocks{i}"))))
     counts = met.groupBy(F.col("r__id").alias("_id")).agg(F.count("*").alias("Count"))
